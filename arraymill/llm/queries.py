@@ -41,6 +41,34 @@ WINDOW g AS (PARTITION BY t)
 """
 
 
+def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import near_dedup
+
+    return near_dedup(table(spark, sf_dir, "documents"), radius=2, shingle=3, seed=42)
+
+
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_files import token_output
+
+    return token_output(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=2)
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import archive
+
+    out = archive(table(spark, sf_dir, "pages"), least_bytes=100)
+    return out.withColumn("page_id", F.col("page_id").cast("string")).withColumn("refers_to", F.col("refers_to").cast("string"))
+
+
+OP8_SQL = """
+SELECT page_id::VARCHAR AS page_id, n AS payload_bytes, d AS payload_digest,
+       CASE WHEN n >= 100 AND page_id <> m THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 100 AND page_id <> m THEN m::VARCHAR END AS refers_to
+FROM (SELECT page_id, octet_length(encode(t)) AS n, sha256(t) AS d, min(page_id) OVER (PARTITION BY t) AS m
+      FROM (SELECT page_id, coalesce(html, '') AS t FROM pages))
+"""
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontamination import decontaminate
 
@@ -74,7 +102,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_simhash_near_dedup": op4_simhash_near_dedup,
+    "op5_token_files": op5_token_files,
+    "op8_warc": op8_warc,
     "op9_decontamination": op9_decontamination,
     "op10_token_counts": op10_token_counts,
 }
-ORACLE_SQL = {"op3_exact_dedup": OP3_SQL, "op9_decontamination": OP9_SQL}
+ORACLE_SQL = {"op3_exact_dedup": OP3_SQL, "op8_warc": OP8_SQL, "op9_decontamination": OP9_SQL}
