@@ -85,7 +85,7 @@ def write_warc(decided: DataFrame, path: str, file_bytes: int = 64 << 20) -> Dat
             name = f"part-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}.warc.gz"
             index: list[tuple] = []
             at = 0
-            with store.open_output_stream(f"{root}/{name}") as out:
+            with store.open_output_stream(f"{root}/{name}", compression=None) as out:
                 while row is not None:
                     page_id, url, payload, digest, refers_to = row
                     kind = "response" if refers_to is None else "revisit"
