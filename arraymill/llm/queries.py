@@ -53,6 +53,12 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=2)
 
 
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bpe import encode_decode
+
+    return encode_decode(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import archive
 
@@ -104,6 +110,7 @@ QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_token_files": op5_token_files,
+    "op6_bpe": op6_bpe,
     "op8_warc": op8_warc,
     "op9_decontamination": op9_decontamination,
     "op10_token_counts": op10_token_counts,
