@@ -20,6 +20,13 @@ def held_out(fold: int, name: str = "doc_id"):
     return F.pmod(F.crc32(F.col(name).cast("string").cast("binary")), F.lit(fold)) == 0
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm import lm_scores
+
+    scored = lm_scores(table(spark, sf_dir, "documents"), train=~held_out(10), order=3)
+    return scored.select("doc_id", held_out(10).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import score_toxicity
 
@@ -106,6 +113,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_lm_scoring": op1_lm_scoring,
     "op2_toxicity": op2_toxicity,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
