@@ -150,7 +150,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, train_on: Column, most_la
     n = chosen.count()
     if n > most_labelled:
         chosen = chosen.where(F.col("h") < int(1_000_000 * most_labelled / n))
-    sample = saved(texts.join(chosen, "__id").select("label", F.pmod(F.xxhash64(F.lit(seed + 1), "__id"), F.lit(6)).alias("fold"), "text"), "toxicity-sample")
+    # about most_labelled ids at most, so they are broadcast and no text is shuffled
+    sample = saved(texts.join(F.broadcast(chosen.select("__id", "label")), "__id").select("label", F.pmod(F.xxhash64(F.lit(seed + 1), "__id"), F.lit(6)).alias("fold"), "text"), "toxicity-sample")
     seen = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(seen) < 2:
         share = float(next(iter(seen), 0.0))
