@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import cut
+
 SUBJECT = "subject_id"
 PHASES = ("training", "validation", "inference")
 ALL = "all"
@@ -125,11 +127,12 @@ def global_rank(df: DataFrame, order: list[Column]) -> DataFrame:
     """df with `rank` 1, 2, ... in the given total order, without a single-partition window.
 
     Rows are range-partitioned by the order, numbered inside each part, and shifted by the counts of the parts before.
+    The parts are checkpointed: their bounds come from a sample, which a second evaluation would draw anew.
     """
     names = [f"__o{i}" for i in range(len(order))]
     keyed = df.select("*", *[c.alias(n) for c, n in zip(order, names, strict=True)])
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = keyed.repartitionByRange(parts, *names).withColumn("__part", F.spark_partition_id())
+    placed = cut(keyed.repartitionByRange(parts, *names).withColumn("__part", F.spark_partition_id()))
     sizes = placed.groupBy("__part").agg(F.count("*").alias("__c"))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     base = sizes.select("__part", F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__base"))
