@@ -7,7 +7,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import WITH_SPACE, by_bytes, cache
+from .tokens import WITH_SPACE, WordCache, by_bytes, cache
 
 
 def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text", batch_chars: int = 1 << 20) -> DataFrame:
@@ -23,7 +23,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 512, id_col:
     kind = docs.schema[id_col].dataType.simpleString()
 
     def count(batches):
-        known = cache("length", tokenizer_path, len)
+        known = cache("length", tokenizer_path, lambda path: WordCache(path, len))
         for batch in batches:
             texts = batch.column(1).to_pylist()
             lengths: list[int] = []

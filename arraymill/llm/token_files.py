@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import new_path, partitions
-from .tokens import WITHOUT_SPACE, by_bytes, cache
+from .tokens import LETTERS_OR_REST, EndedWordCache, by_bytes, cache, lowered
 
 #: Parquet writer settings: dictionary pages for ids with delta encoding beyond them, row groups small enough to read
 #: selectively, and short pages, each with its entry in the column index and the offset index.
@@ -21,29 +21,25 @@ LAYOUT = {
 }
 
 
-def _packed(ids: list[int]) -> bytes:
-    return np.array(ids, "<i4").tobytes()
-
-
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", batch_chars: int = 1 << 20) -> None:
     """Encodes whole texts and writes (part, row, id_col, part_start, n_tokens, tokens) in ascending id order.
 
     Texts are range-partitioned by id on sampled splitters and sorted, encoded after that shuffle (so that each text is
     encoded once), and written as one file per part, rows in id order. part_start counts the ids before a document in
-    its part. The tokenizer must drop white space: texts are cut there, and each word is encoded once per worker while
-    it stays in a bounded table. Null texts count as empty and hold the end id only; null ids come first; repeated ids
+    its part. The tokenizer must lower-case and drop white space: texts are cut at white space and before plain punctuation,
+    and each word is encoded once per worker while it stays in a bounded table. Null texts count as empty and hold the end id only; null ids come first; repeated ids
     stay in the order in which the sort leaves them; an empty table gives an empty file. Other columns are not written.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
     def encode(batches):
-        known = cache("ids", tokenizer_path, _packed)
+        known = cache("ids", tokenizer_path, EndedWordCache)
         part, row, start = TaskContext.get().partitionId(), 0, 0
-        end = _packed([end_id])
+        end = np.array([end_id], "<i4").tobytes()
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in by_bytes(texts, batch_chars):
-                words = [WITHOUT_SPACE.findall(x) for x in texts[a:b]]
+                words = [LETTERS_OR_REST.findall(lowered(x)) for x in texts[a:b]]
                 table = known.table(set().union(*words))
                 packed = [b"".join([*map(table.__getitem__, x), end]) for x in words]
                 sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
