@@ -232,6 +232,7 @@ class Automaton:
 
     def __init__(self, block: Block, counts: Counts, model: Model, order: int):
         self.block, self.order = block, order
+        self.start = 1 + block.begin if order > 1 and counts.of[0][block.begin] > 0 else 0
         sizes = [len(c) for c in counts.of]
         self.base = [0, *np.cumsum(sizes).tolist()]  # arc numbers of order n begin at base[n - 1]; state numbers are 1 + them
         p = [model.base(counts.of[0])]
@@ -273,9 +274,7 @@ class Automaton:
         at = b.first[longest_first] + 1
         left = np.searchsorted(-b.sizes[longest_first], -np.arange(2, int(b.sizes.max(initial=1)) + 1), side="right")
         total = np.zeros(len(at))
-        state = np.full(len(at), 1 + b.begin)
-        if self.order < 2 or not self._has_begin():
-            state[:] = 0
+        state = np.full(len(at), self.start)
         for active in left.tolist():
             place, s, sum_ = at[:active], state[:active], total[:active]
             arc = np.full(active, -1)
@@ -298,9 +297,6 @@ class Automaton:
         out[longest_first] = total
         return out
 
-    def _has_begin(self) -> bool:
-        return self.level[1 + self.block.begin] == 1 and not np.isnan(self.weight[self.block.begin])
-
 
 def _statistics(block: Block, counts: Counts, model: Model, order: int) -> pa.Table:
     """Histogram over training tokens of log2 (left-one-out n-gram estimate / lower estimate), by order and context bin."""
