@@ -73,16 +73,16 @@ def accuracy(df: DataFrame, keys: list[str], predicted: Column, label: Column) -
 def roc_table(df: DataFrame, keys: list[str], probability: Column, positive: Column, points: int = 10) -> DataFrame:
     """AG34: counts and rates at `points` thresholds from 0 to 1; one aggregate, the thresholds are a literal array."""
     cuts = F.array(*[F.lit(i / (points - 1)) for i in range(points)])
-    rows = df.select(*keys, probability.cast("double").alias("p"), positive.alias("y"), F.posexplode(cuts).alias("k", "threshold"))
-    over, y = _c("p") > _c("threshold"), _c("y")
-    counts = rows.groupBy(*keys, "k", "threshold").agg(*[F.count_if(c).cast("long").alias(n) for n, c in (("tp", over & y), ("fp", over & ~y), ("fn", ~over & y), ("tn", ~over & ~y))])
-    return counts.select(*keys, "k", "threshold", "tp", "fp", "fn", "tn", *[F.expr(OVERLAP[x]).alias(x) for x in ("accuracy", "sensitivity", "specificity")])
+    rows = df.select(*keys, probability.cast("double").alias("__p"), positive.alias("__y"), F.posexplode(cuts).alias("point", "threshold"))
+    over, y = _c("__p") > _c("threshold"), _c("__y")
+    counts = rows.groupBy(*keys, "point", "threshold").agg(*[F.count_if(c).cast("long").alias(n) for n, c in (("tp", over & y), ("fp", over & ~y), ("fn", ~over & y), ("tn", ~over & ~y))])
+    return counts.select(*keys, "point", "threshold", "tp", "fp", "fn", "tn", *[F.expr(OVERLAP[x]).alias(x) for x in ("accuracy", "sensitivity", "specificity")])
 
 
 def roc_auc(df: DataFrame, keys: list[str], probability: Column, positive: Column, points: int = 10) -> DataFrame:
     """AG35: trapezoid area under the curve of roc_table, thresholds taken downwards."""
     table = roc_table(df, keys, probability, positive, points)
-    w = Window.partitionBy(*keys).orderBy(F.desc("k"))
+    w = Window.partitionBy(*keys).orderBy(F.desc("point"))
     x, y = 1 - _c("specificity"), _c("sensitivity")
     steps = table.select(*keys, ((x - F.lag(x).over(w)) * (y + F.lag(y).over(w)) / 2).alias("a"))
     return steps.groupBy(*keys).agg(F.sum("a").alias("auc"))

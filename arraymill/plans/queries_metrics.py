@@ -74,11 +74,11 @@ def _roc_input(spark, d):
     return _labelled(spark, d), ["lang"], F.least(F.col("n_chars") / F.lit(5000.0), F.lit(1.0)), F.col("quality") == 1
 
 
-@query(f"""WITH {_ROC} SELECT lang, k, round(threshold, 6) AS threshold, tp, fp, fn, tn, round((tp+tn)/nullif(tp+fp+fn+tn,0),6) AS accuracy,
+@query(f"""WITH {_ROC} SELECT lang, k AS point, round(threshold, 6) AS threshold, tp, fp, fn, tn, round((tp+tn)/nullif(tp+fp+fn+tn,0),6) AS accuracy,
 round(tp/nullif(tp+fn,0),6) AS sensitivity, round(tn/nullif(tn+fp,0),6) AS specificity FROM c""")
 def roc_table(spark, d):
     out = M.roc_table(*_roc_input(spark, d))
-    return out.select("lang", "k", F.round("threshold", 6).alias("threshold"), "tp", "fp", "fn", "tn", *[F.round(x, 6).alias(x) for x in ("accuracy", "sensitivity", "specificity")])
+    return out.select("lang", "point", F.round("threshold", 6).alias("threshold"), "tp", "fp", "fn", "tn", *[F.round(x, 6).alias(x) for x in ("accuracy", "sensitivity", "specificity")])
 
 
 @query(f"""WITH {_ROC}, s AS (SELECT lang, k, 1 - tn/nullif(tn+fp,0) AS x, tp/nullif(tp+fn,0) AS y FROM c),

@@ -22,8 +22,8 @@ def look_up(name: str, known: list[str] | dict) -> str:
     """PF14: the name where it is known, else an error that names what it could mean (distance up to 3)."""
     if name in known:
         return name
-    near = sorted((edit_distance(name.lower(), k.lower()), k) for k in known)
-    hint = f"; did you mean {near[0][1]}?" if near and near[0][0] <= 3 else ""
+    near = sorted((edit_distance(name.lower(), k.lower()), edit_distance(name, k), k) for k in known)
+    hint = f"; did you mean {near[0][2]}?" if near and near[0][0] <= 3 else ""
     raise ValueError(f"unknown: {name}{hint}")
 
 
