@@ -299,7 +299,7 @@ def component_metrics(spark, d):
 
 @query(f"""WITH {VOX}, m AS (SELECT vec_id, x, y, z, value, value > 0 AS seg FROM vox), {_S6}, {_border_join('seg')},
 j AS (SELECT m.*, b.vec_id IS NOT NULL AS b FROM m LEFT JOIN bseg b USING (vec_id, x, y, z) WHERE seg)
-SELECT vec_id, round(sum(value) * 1.5, 6) AS vol_prob, round(count(*) * 1.5, 6) AS vol, round(sum(value) FILTER (b) * 1.5, 6) AS surf_prob, round(count(*) FILTER (b) * 1.5, 6) AS surf,
+SELECT vec_id, round(sum(value) * 1.5, 6) AS vol_prob, round(count(*) * 1.5::DOUBLE, 6) AS vol, round(sum(value) FILTER (b) * 1.5, 6) AS surf_prob, round(count(*) FILTER (b) * 1.5::DOUBLE, 6) AS surf,
  round(avg(x) FILTER (value > 0.05), 6) AS centre_x, round(avg(y) FILTER (value > 0.05), 6) AS centre_y, round(avg(z) FILTER (value > 0.05), 6) AS centre_z,
  round(count(*) FILTER (b) / count(*), 6) AS sav, round(pow(count(*) FILTER (b) * 1.5, 1.5) / (count(*) * 1.5), 6) AS compactness FROM j GROUP BY vec_id""")
 def surface_volume(spark, d):
