@@ -35,10 +35,13 @@ def _mean(a: Column) -> Column:
 
 def _quantile(a: Column, q: float) -> Column:
     """Linear quantile of an array."""
-    s = F.array_sort(a)
-    at = (F.size(a) - 1) * F.lit(q)
-    low, high = F.get(s, F.floor(at).cast("int")), F.get(s, F.ceil(at).cast("int"))
-    return low + (high - low) * (at - F.floor(at))
+
+    def of(s: Column) -> Column:
+        at = (F.size(s) - 1) * F.lit(q)
+        low, high = F.get(s, F.floor(at).cast("int")), F.get(s, F.ceil(at).cast("int"))
+        return low + (high - low) * (at - F.floor(at))
+
+    return _let(F.sort_array(a), of)
 
 
 def generalisation_loss(a: Column) -> Column:
@@ -51,7 +54,7 @@ def _median_filtered(a: Column, size: int) -> Column:
     """Running median, the ends reflected (edge values repeated)."""
     n, h = F.size(a), size // 2
     inside = lambda i: F.when(i < 0, -i - 1).when(i >= n, 2 * n - i - 1).otherwise(i)
-    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(F.array_sort(F.transform(F.sequence(i - h, i + h), lambda j: F.get(a, F.least(F.greatest(inside(j), F.lit(0)), n - 1)))), F.lit(h)))
+    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(F.sort_array(F.transform(F.sequence(i - h, i + h), lambda j: F.get(a, F.least(F.greatest(inside(j), F.lit(0)), n - 1)))), F.lit(h)))
 
 
 def _gradient(a: Column) -> Column:
@@ -65,10 +68,11 @@ def should_stop(history: Column, mode: str = "mean", min_delta: float = 0.03, ke
     """ST9-ST14: whether a history (an array, oldest first) says stop. Null where the rule has nothing to compare."""
     last, rest = F.element_at(history, -1), F.slice(history, 1, F.size(history) - 1)
     if mode == "mean":
-        return last > _mean(rest)
+        return last > _let(rest, _mean)
     if mode == "robust_mean":
-        low, high = _quantile(rest, 0.05), _quantile(rest, 0.95)
-        return last > _mean(F.filter(rest, lambda x: (x > low) & (x < high)))
+        ends = lambda r: F.struct(_quantile(r, 0.05).alias("low"), _quantile(r, 0.95).alias("high"))
+        inner = lambda r: _let(ends(r), lambda e: F.filter(r, lambda x: (x > e["low"]) & (x < e["high"])))
+        return last > _let(_let(rest, inner), _mean)
     if mode == "median":
         return last > _quantile(rest, 0.5)
     if mode == "generalisation_loss":

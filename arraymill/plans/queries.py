@@ -1,4 +1,4 @@
 """All registered queries of the engine."""
 
-from . import queries_catalog, queries_losses, queries_metrics, queries_volume, queries_windows  # noqa: F401
+from . import queries_catalog, queries_losses, queries_metrics, queries_more, queries_volume, queries_windows  # noqa: F401
 from .registry import ORACLE, QUERIES  # noqa: F401
