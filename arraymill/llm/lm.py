@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .blocks import bucketed, pack, pack_bytes, ranked, unpack, unpack_bytes
 from .common import partitions
 
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 12 << 20
 #: Bits of an n-gram's key. Two n-grams share one with a chance of about (number of n-grams) / 2 ** 56.
 KEY_BITS = 56
 BINS, RATIOS, RATIO_LOW = 40, 64, -16
@@ -145,10 +145,10 @@ class Block:
             rolled = mixed(shifted, hashes[self.text])
             real = np.flatnonzero(place >= n - 1)
             keys = rolled[real] >> np.uint64(64 - KEY_BITS)
-            order_ = np.argsort(keys, kind="stable")
+            order_ = np.argsort(keys, kind="stable").astype(np.uint32)
             keys = keys[order_]
             new = np.r_[True, keys[1:] != keys[:-1]][: len(keys)]
-            number = np.cumsum(new) - 1
+            number = np.cumsum(new, dtype=np.int32) - 1
             at = np.full(len(self.text), -1, np.int32)
             at[real[order_]] = number
             self.keys.append(keys[new])
