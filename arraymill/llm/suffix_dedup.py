@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .blocks import bucketed, pack, pack_bytes, ragged, unpack, unpack_bytes
 from .common import partitions
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 KEY_BITS = 56
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -62,7 +62,7 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
 class Anchors:
     """Anchors of a block: position, hash, and the starts [low, high] of the strings that each one names."""
 
-    def __init__(self, data: np.ndarray, lengths: np.ndarray, size: int, gram: int, most: int = 4 << 20):
+    def __init__(self, data: np.ndarray, lengths: np.ndarray, size: int, gram: int, most: int = 1 << 20):
         ends = np.cumsum(lengths)
         found = []
         at = 0
@@ -250,6 +250,7 @@ def remove_repeats(docs: DataFrame, size: int = 200, gram: int = 32, id_col: str
     `size` bytes; an empty table gives an empty one; other columns are ignored.
     """
     kind, buckets = docs.schema[id_col].dataType.simpleString(), partitions(docs.sparkSession)
+    merges = 2 * buckets
     blocks = _texts(docs, id_col, text_col, block_bytes)
 
     def send(batches):
@@ -287,10 +288,10 @@ def remove_repeats(docs: DataFrame, size: int = 200, gram: int = 32, id_col: str
             return _rows([])
         _, _, s = shard(left, right)
         keys = s.hash[s.first]
-        cut = _cuts(keys, buckets)
+        cut = _cuts(keys, merges)
         name = left.column("block")[0].as_py()
         rows = []
-        for k in range(buckets):
+        for k in range(merges):
             a, b = int(cut[k]), int(cut[k + 1])
             if a < b:
                 rows.append((name, k, pack(np.diff(keys[a:b], prepend=np.uint64(0))), pack(s.weight[a:b]), pack(s.left[s.first[a:b]].astype(np.uint32)), *pack_bytes(s.contexts[a:b])))
