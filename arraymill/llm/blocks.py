@@ -56,6 +56,13 @@ def ranked(values: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return coded.dictionary.take(pa.array(order)), rank[codes] if n else np.zeros(0, np.uint32)
 
 
+def sliced(batches, rows: int = 256):
+    """Arrow batches cut into slices of at most `rows` rows: a block closes near its size even where one batch holds more."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, rows):
+            yield batch.slice(a, rows)
+
+
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Indices start, start + 1, ... of each run, one run after the other."""
     ends = np.cumsum(lengths)

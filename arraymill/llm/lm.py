@@ -9,10 +9,10 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import bucketed, pack, pack_bytes, ranked, unpack, unpack_bytes
+from .blocks import bucketed, pack, pack_bytes, ranked, sliced, unpack, unpack_bytes
 from .common import partitions
 
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 8 << 20
 #: Bits of an n-gram's key. Two n-grams share one with a chance of about (number of n-grams) / 2 ** 56.
 KEY_BITS = 56
 BINS, RATIOS, RATIO_LOW = 40, 64, -16
@@ -42,7 +42,7 @@ def _blocks(docs: DataFrame, train: Column, id_col: str, text_col: str, block_by
         block = TaskContext.get().partitionId() << 32
         held: list[pa.RecordBatch] = []
         size = 0
-        for batch in batches:
+        for batch in sliced(batches):
             held.append(batch)
             size += batch.nbytes
             if size >= block_bytes:
