@@ -65,6 +65,17 @@ def vox_zoom_cubic(spark, d):
     return rounded(Z.zoom_cubic(vox(spark, d), K, SHAPE, (7, 7, 7)).where("x % 2 = 0 and y % 2 = 0 and z % 2 = 0"))
 
 
+_HALVES = """(VALUES (0, 0, 1.0), (1, 0, 0.6), (1, 1, 0.475), (1, 2, -0.1), (1, 3, 0.025), (2, 1, 1.0), (3, 0, -0.125), (3, 1, 0.625), (3, 2, 0.625), (3, 3, -0.125),
+(4, 2, 1.0), (5, 0, 0.025), (5, 1, -0.1), (5, 2, 0.475), (5, 3, 0.6), (6, 3, 1.0)) t(o, i, w)"""
+
+
+@query(f"""WITH {VOX}, h AS (SELECT o::INT AS o, i::INT AS i, w::DOUBLE AS w FROM {_HALVES})
+SELECT vec_id, a.o AS x, b.o AS y, c.o AS z, round(sum(a.w * b.w * c.w * value), 6) AS value FROM vox JOIN h a ON a.i = x JOIN h b ON b.i = y JOIN h c ON c.i = z GROUP BY vec_id, a.o, b.o, c.o""")
+def vox_zoom_cubic_all(spark, d):
+    """All 343 voxels of the zoom from 4 to 7; the SQL has the exact weights of the mirrored spline at knots and halves."""
+    return rounded(Z.zoom_cubic(vox(spark, d), K, SHAPE, (7, 7, 7)))
+
+
 @query(f"WITH {VOX} SELECT vec_id, x, y, z, round(value, 6) AS value FROM vox", name="vox_elastic_identity")
 def vox_elastic_identity(spark, d):
     return rounded(Z.elastic(vox(spark, d), K, SHAPE, 4, 0.0))
