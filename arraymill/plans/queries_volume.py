@@ -92,6 +92,15 @@ def vox_index_transforms(spark, d):
     return vox(spark, d).where("x % 2 = 0").select("vec_id", "x", "y", "z", fx.alias("fx"), fy.alias("fy"), fz.alias("fz"), rx.alias("rx"))
 
 
+@query(f"WITH {VOX} SELECT vec_id, x, y, z, (4 - x)::INT AS fx, (4 - y)::INT AS fy, z AS fz, trunc(x::FLOAT * 2.5::FLOAT)::INT AS rx FROM vox")
+def vox_index_transforms_all(spark, d):
+    """Of all voxels, also those whose resampled index has a fraction, which is cut off (F-A11)."""
+    point = [F.col(a) for a in V.AXES]
+    fx, fy, fz = V.reorient_index(point, SHAPE, "RAS", "LPS")
+    rx = V.resample_index(point, (2.5, 1.0, 1.0), (1.0, 1.0, 1.0))[0]
+    return vox(spark, d).select("vec_id", "x", "y", "z", fx.alias("fx"), fy.alias("fy"), fz.alias("fz"), rx.alias("rx"))
+
+
 @query(f"WITH {VOX} SELECT a.vec_id, a.x, a.y - 1 AS y, a.z - 1 AS z, round(b.value - a.value, 6) AS value FROM vox a JOIN vox b ON a.vec_id = b.vec_id AND a.x + 2 = b.x AND a.y = b.y AND a.z = b.z WHERE a.y IN (1, 2) AND a.z IN (1, 2)")
 def vox_gradient(spark, d):
     return rounded(V.gradient(vox(spark, d), K, SHAPE, 0))

@@ -48,3 +48,9 @@ def test_zoom_cubic_at_every_voxel(spark, shape, to):
 def test_zoom_query_returns_the_interpolated_voxels(spark):
     counts = QUERIES["vox_zoom_cubic_all"](spark, SF).groupBy("vec_id").count().collect()
     assert counts and {r["count"] for r in counts} == {343}
+
+
+def test_index_transforms_of_every_voxel(spark):
+    rows = QUERIES["vox_index_transforms_all"](spark, SF).select("vec_id", "x", "rx").collect()
+    assert len(rows) == 64 * len({r.vec_id for r in rows})
+    assert {(r.x, r.rx) for r in rows} == {(0, 0), (1, 2), (2, 5), (3, 7)}
