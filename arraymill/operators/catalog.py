@@ -194,23 +194,36 @@ def longest_common_substring(a: Column, b: Column) -> Column:
     return F.when((n > 0) & (F.length(b) > 0), F.array_max(F.transform(F.sequence(F.lit(1), n), here))).otherwise(0)
 
 
+def _grams(df: DataFrame, name: str, n: int) -> DataFrame:
+    """A row for each distinct substring `g` of n characters of a name."""
+    c = F.col(name)
+    return df.where(F.length(c) >= n).withColumn("g", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(c, i, n)))))
+
+
 def fuzzy_match(left: DataFrame, right: DataFrame, grams: int = 3) -> DataFrame:
     """(left_id, right_id, size): the right name with the longest common substring, ties by size / length of it;
     a left name whose best is shared by several right rows is ambiguous and left out.
 
-    left and right: (id, name). Pairs come from shared substrings of `grams` characters, so no cross join is made;
-    matches shorter than that are not considered.
+    left and right: (id, name). Pairs come from shared substrings of `grams` characters, so no cross join is made. Left
+    names without such a pair, and only those, are joined on shared substrings of one character less, down to one: their
+    matches all have that size, so the shortest right name wins, and two of a substring's shortest tell a tie.
     """
-    cut = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - grams + 1, F.lit(1))), lambda i: F.substring(c, i, grams)))
-    a = left.select(F.col("id").alias("left_id"), F.col("name").alias("a"), F.explode(cut(F.col("name"))).alias("g"))
-    b = right.select(F.col("id").alias("right_id"), F.col("name").alias("b"), F.explode(cut(F.col("name"))).alias("g"))
-    pairs = a.join(b, "g").select("left_id", "right_id", "a", "b").distinct()
-    scored = pairs.withColumn("size", longest_common_substring(F.col("a"), F.col("b"))).where(F.col("size") >= grams)
-    scored = scored.withColumn("ratio", F.col("size") / F.length("b"))
+    a = left.select(F.col("id").alias("left_id"), F.col("name").alias("a"))
+    b = right.select(F.col("id").alias("right_id"), F.col("name").alias("b"))
+    pairs = _grams(a, "a", grams).join(_grams(b, "b", grams), "g").select("left_id", "right_id", "a", "b").distinct()
+    scored = pairs.withColumn("size", longest_common_substring(F.col("a"), F.col("b"))).withColumn("ratio", F.col("size") / F.length("b"))
     best = F.rank().over(Window.partitionBy("left_id").orderBy(F.desc("size"), F.desc("ratio")))
-    top = scored.withColumn("k", best).where("k = 1")
     alone = F.count("*").over(Window.partitionBy("left_id"))
-    return top.withColumn("n", alone).where("n = 1").select("left_id", "right_id", F.col("size").cast("int").alias("size"))
+    shortest = Window.partitionBy("g").orderBy(F.length("b"), "right_id")
+    found = None
+    for n in range(grams, 0, -1):
+        if n < grams:
+            few = _grams(b, "b", n).withColumn("k", F.row_number().over(shortest)).where("k <= 2").drop("k")
+            scored = _grams(a, "a", n).join(few, "g").select("left_id", "right_id", "b").distinct().withColumn("size", F.lit(n)).withColumn("ratio", n / F.length("b"))
+        top = scored.withColumn("k", best).where("k = 1").withColumn("n", alone).select("left_id", "right_id", "size", "n")
+        found = top if found is None else found.unionByName(top)
+        a = a.join(top.select("left_id"), "left_id", "left_anti")
+    return found.where("n = 1").select("left_id", "right_id", F.col("size").cast("int").alias("size"))
 
 
 def second_degree(left: DataFrame, right: DataFrame) -> DataFrame:

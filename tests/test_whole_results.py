@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from arraymill.operators import catalog as C
 from arraymill.operators import splines as Z
 from arraymill.plans.queries import QUERIES
 
@@ -54,3 +55,23 @@ def test_index_transforms_of_every_voxel(spark):
     rows = QUERIES["vox_index_transforms_all"](spark, SF).select("vec_id", "x", "rx").collect()
     assert len(rows) == 64 * len({r.vec_id for r in rows})
     assert {(r.x, r.rx) for r in rows} == {(0, 0), (1, 2), (2, 5), (3, 7)}
+
+
+def test_fuzzy_match_of_short_names_and_overlaps(spark):
+    right = [(1, "T1"), (2, "T1_weighted"), (3, "12"), (4, "abcd"), (5, "xbcd"), (6, "q"), (7, "qq"), (8, "T2"), (9, ""), (10, None)]
+    left = [(1, "T1"), (2, "12"), (3, "9T1x"), (4, "_bcd"), (5, "zqz"), (6, "weight"), (7, "T"), (8, "~"), (9, ""), (10, None), (11, "1"), (12, "x.d"), (13, "qq")]
+
+    def size(a, b):
+        return max((k for i in range(len(a)) for k in range(1, len(a) - i + 1) if a[i : i + k] in b), default=0)
+
+    want = set()
+    for i, a in left:
+        scores = [(size(a or "", b or ""), size(a or "", b or "") / len(b) if b else 0, j) for j, b in right]
+        top = [s for s in scores if s[:2] == max(scores)[:2]]
+        if top[0][0] and len(top) == 1:
+            want.add((i, top[0][2], top[0][0]))
+    got = C.fuzzy_match(spark.createDataFrame(left, "id int, name string"), spark.createDataFrame(right, "id int, name string"))
+    assert {tuple(r) for r in got.collect()} == want
+    assert {(1, 1, 2), (2, 3, 2), (3, 1, 2), (5, 6, 1)} <= want
+    nested = [spark.createDataFrame(x, "id int, name string").selectExpr("id", "array(name) AS candidates") for x in ([(1, "aT1")], [(5, "T1")])]
+    assert [tuple(r) for r in C.match_all(nested).collect()] == [(1, 5)]
