@@ -7,6 +7,9 @@ holds its anchors in order of hash, with the bytes right of each (the suffix) an
 a Burrows-Wheeler transform keeps). A merge takes a hash range of all shards, starts from their interleave by hash,
 and refines it one symbol at a time in the intervals that are still unsettled, on both sides; the depths at which
 neighbours part are the common prefixes, and intervals of both orders give the repeated strings, compared in full.
+
+An anchor with very many different contexts is hot: a merge would hold them all in one task. Its strings are sent one by
+one instead, as 128-bit digests spread over all merges, each once a block.
 """
 
 from __future__ import annotations
@@ -25,6 +28,8 @@ from .common import partitions
 
 BLOCK_BYTES = 8 << 20
 KEY_BITS = 56
+#: An anchor hash is hot with more different contexts than this, each counted once a block.
+HOT = 8192
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -72,11 +77,20 @@ class Anchors:
             found.append(self._part(data, begin, int(ends[upto - 1]), ends[at:upto] - begin, lengths[at:upto], size, gram))
             at = upto
         join = lambda i, t: np.concatenate([f[i] for f in found]) if found else np.zeros(0, t)
-        self.at, self.low, self.high, self.hash = join(0, np.int64), join(1, np.int64), join(2, np.int64), join(3, np.uint64)
+        self.at, self.low, self.high, self.hash, self.context = join(0, np.int64), join(1, np.int64), join(2, np.int64), join(3, np.uint64), join(4, np.uint64)
+
+    def counted(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The distinct hashes, with their numbers of anchors and of different contexts."""
+        order = np.lexsort((self.context, self.hash))
+        key, context = self.hash[order], self.context[order]
+        new = np.r_[True, key[1:] != key[:-1]][: len(key)]
+        fresh = new | np.r_[True, context[1:] != context[:-1]][: len(key)]
+        start = np.flatnonzero(new)
+        return key[start], np.diff(start, append=len(key)), np.diff(np.r_[0, np.cumsum(fresh)][np.r_[start, len(key)]])
 
     @staticmethod
     def _part(data, begin, end, ends, lengths, size, gram):
-        none = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
+        none = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
         if end - begin < size:
             return none
         h = gram_hashes(data[begin:end], gram)
@@ -91,13 +105,17 @@ class Anchors:
         new = np.r_[True, (anchor[1:] != anchor[:-1]) | (starts[1:] != starts[:-1] + 1)]
         first = np.flatnonzero(new)
         last = np.r_[first[1:] - 1, len(starts) - 1]
-        return anchor[first] + begin, starts[first] + begin, starts[last] + begin, h[anchor[first]] >> np.uint64(64 - KEY_BITS)
+        at, low, high = anchor[first], starts[first], starts[last]
+        context = (at - low).astype(np.uint64)
+        for k in range(0, 2 * size - gram, gram):  # grams that cover the context, the last one repeated
+            context = (context ^ h[np.minimum(low + k, high + size - gram)]) * _BASE
+        return at + begin, low + begin, high + begin, h[at] >> np.uint64(64 - KEY_BITS), context
 
 
 class Shard:
     """Anchors in order of hash: for each, its place, and the class of equal contexts (hash, range, bytes) it is in."""
 
-    def __init__(self, data: np.ndarray, anchors: Anchors, chosen: np.ndarray, size: int):
+    def __init__(self, data: np.ndarray, anchors: Anchors, chosen: np.ndarray, size: int, hot: np.ndarray):
         order = chosen[np.argsort(anchors.hash[chosen], kind="stable")]
         self.at, self.hash = anchors.at[order], anchors.hash[order]
         low, high = anchors.low[order], anchors.high[order]
@@ -110,6 +128,20 @@ class Shard:
         self.first[self.of[::-1]] = np.arange(len(order))[::-1]
         self.weight = np.bincount(self.of, minlength=len(known)).astype(np.uint32)
         self.contexts = [contexts[i] for i in self.first.tolist()]
+        self.size = size
+        self.hot = np.isin(self.hash[self.first], hot)
+
+    def strings(self, most: int = 4096):
+        """For parts of the hot classes: class, distance left of the anchor and 128-bit digest of each of their strings."""
+        classes = np.flatnonzero(self.hot)
+        for a in range(0, len(classes), most):
+            part = classes[a : a + most]
+            left = self.left[self.first[part]]
+            number = np.fromiter((len(self.contexts[i]) - self.size + 1 for i in part.tolist()), np.int64, len(part))
+            begin = ragged(np.zeros(len(part), np.int64), number)
+            of = np.repeat(part, number)
+            digests = b"".join(hashlib.blake2b(self.contexts[i][b : b + self.size], digest_size=16).digest() for i, b in zip(of.tolist(), begin.tolist(), strict=True))
+            yield of, np.repeat(left, number) - begin, np.frombuffer(digests, np.uint64).reshape(-1, 2)
 
 
 def refined(symbols: np.ndarray, lengths: np.ndarray, order: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -190,6 +222,16 @@ def repeated(keys: np.ndarray, left: np.ndarray, weight: np.ndarray, contexts: l
     return out
 
 
+def summed(digests: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct digests in order, the sums of their weights, and the place of each row's digest among them."""
+    order = np.lexsort((digests[:, 1], digests[:, 0]))
+    ranked = digests[order]
+    new = np.r_[True, (ranked[1:] != ranked[:-1]).any(axis=1)][: len(ranked)]
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return ranked[new], np.bincount(number, weights=weight, minlength=int(new.sum())), number
+
+
 _ROWS = "block long, bucket int, keys binary, counts binary, left binary, lengths binary, contexts binary"
 
 
@@ -238,12 +280,13 @@ def _load(lengths: bytes, texts: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8), unpack(lengths).astype(np.int64)
 
 
-def remove_repeats(docs: DataFrame, size: int = 200, gram: int = 32, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, size: int = 200, gram: int = 32, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, hot: int = HOT) -> DataFrame:
     """Removes every byte covered by a `size`-byte string that also starts anywhere else, in whole texts as UTF-8 bytes.
 
     Texts are written once in blocks, bucketed, and never shuffled. Anchor hashes go by range to a count; only anchors
     that occur at least twice send their context, equal contexts of a block once, to the merge of their range; what
-    comes back is a bit for each string. Strings are judged on the input and never cross texts.
+    comes back is a bit for each string. Anchors with more than `hot` contexts send a 128-bit digest of each string, by
+    range of digest; what comes back is the repeated ones. Strings are judged on the input and never cross texts.
 
     Returns id_col, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256, kept (binary). Null texts count as
     empty; texts shorter than `size` keep all; null ids pass through; repeated rows are copies and lose all strings of
@@ -257,20 +300,21 @@ def remove_repeats(docs: DataFrame, size: int = 200, gram: int = 32, id_col: str
         for batch in batches:
             for block, lengths, texts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 data, sizes = _load(lengths, texts)
-                keys, counts = np.unique(Anchors(data, sizes, size, gram).hash, return_counts=True)
+                keys, counts, various = Anchors(data, sizes, size, gram).counted()
                 cut = _cuts(keys, buckets)
-                yield from _rows([(block, k, pack(np.diff(keys[cut[k] : cut[k + 1]], prepend=np.uint64(0))), pack(counts[cut[k] : cut[k + 1]].astype(np.uint32))) for k in range(buckets) if cut[k] < cut[k + 1]]).to_batches()
+                yield from _rows([(block, k, pack(np.diff(keys[cut[k] : cut[k + 1]], prepend=np.uint64(0))), *(pack(n[cut[k] : cut[k + 1]].astype(np.uint32)) for n in (counts, various))) for k in range(buckets) if cut[k] < cut[k + 1]]).to_batches()
 
     def count(table: pa.Table) -> pa.Table:
-        held = [(b, keys, np.cumsum(unpack(keys), dtype=np.uint64), unpack(n)) for b, keys, n in zip(*(table.column(c).to_pylist() for c in ("block", "keys", "counts")), strict=True)]
-        distinct, number = np.unique(np.concatenate([h[2] for h in held]), return_inverse=True)
-        often = np.bincount(number, weights=np.concatenate([h[3] for h in held]), minlength=len(distinct)) > 1
+        held = [(b, np.cumsum(unpack(keys), dtype=np.uint64), unpack(n), unpack(v)) for b, keys, n, v in zip(*(table.column(c).to_pylist() for c in ("block", "keys", "counts", "left")), strict=True)]
+        distinct, number = np.unique(np.concatenate([h[1] for h in held]), return_inverse=True)
+        often, many = (np.bincount(number, weights=np.concatenate([h[i] for h in held]), minlength=len(distinct)) > least for i, least in ((2, 1), (3, hot)))
         rows, at = [], 0
-        for block, _, keys, _ in held:
-            mine = keys[often[number[at : at + len(keys)]]]
+        for block, keys, *_ in held:
+            of = number[at : at + len(keys)]
+            mine = often[of]
             at += len(keys)
-            if len(mine):
-                rows.append((block, table.column("bucket")[0].as_py(), pack(np.diff(mine, prepend=np.uint64(0)))))
+            if mine.any():
+                rows.append((block, table.column("bucket")[0].as_py(), pack(np.diff(keys[mine], prepend=np.uint64(0))), pack(many[of][mine].astype(np.uint32))))
         return _rows(rows)
 
     hashes = blocks.select("block", "lengths", "texts").mapInArrow(send, _ROWS)
@@ -279,25 +323,53 @@ def remove_repeats(docs: DataFrame, size: int = 200, gram: int = 32, id_col: str
     def shard(left: pa.Table, right: pa.Table):
         data, sizes = _load(left.column("lengths")[0].as_py(), left.column("texts")[0].as_py())
         parts = [np.cumsum(unpack(k), dtype=np.uint64) for k in right.column("keys").to_pylist()]
+        keys = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+        many = np.concatenate([unpack(n) for n in right.column("counts").to_pylist()]) if parts else np.zeros(0, np.uint32)
         anchors = Anchors(data, sizes, size, gram)
-        chosen = np.flatnonzero(np.isin(anchors.hash, np.concatenate(parts) if parts else np.zeros(0, np.uint64)))
-        return data, sizes, Shard(data, anchors, chosen, size)
+        return data, sizes, Shard(data, anchors, np.flatnonzero(np.isin(anchors.hash, keys)), size, keys[many > 0])
 
     def contexts(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return _rows([])
         _, _, s = shard(left, right)
-        keys = s.hash[s.first]
+        cold = np.flatnonzero(~s.hot)
+        first, weight = s.first[cold], s.weight[cold]
+        keys = s.hash[first]
         cut = _cuts(keys, merges)
         name = left.column("block")[0].as_py()
         rows = []
         for k in range(merges):
             a, b = int(cut[k]), int(cut[k + 1])
             if a < b:
-                rows.append((name, k, pack(np.diff(keys[a:b], prepend=np.uint64(0))), pack(s.weight[a:b]), pack(s.left[s.first[a:b]].astype(np.uint32)), *pack_bytes(s.contexts[a:b])))
+                rows.append((name, k, pack(np.diff(keys[a:b], prepend=np.uint64(0))), pack(weight[a:b]), pack(s.left[first[a:b]].astype(np.uint32)), *pack_bytes([s.contexts[i] for i in cold[a:b].tolist()])))
+        for of, _, digests in s.strings():
+            digests, n, _ = summed(digests, s.weight[of])
+            cut = _cuts(digests[:, 0] >> np.uint64(64 - KEY_BITS), merges)
+            for k in range(merges):
+                a, b = int(cut[k]), int(cut[k + 1])
+                if a < b:
+                    rows.append((name, k, pack(digests[a:b, 0].copy()), pack(np.minimum(n[a:b], 2).astype(np.uint32)), pack(digests[a:b, 1].copy())))
         return _rows(rows)
 
+    def again(table: pa.Table) -> list[tuple]:
+        """For rows of digests: those that occur at least twice over all rows."""
+        held = [(b, np.stack([unpack(x), unpack(y)], axis=1), unpack(n)) for b, x, y, n in zip(*(table.column(c).to_pylist() for c in ("block", "keys", "left", "counts")), strict=True)]
+        if not held:
+            return []
+        _, total, number = summed(np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held]))
+        out, at = [], 0
+        for block, digests, _ in held:
+            mine = digests[total[number[at : at + len(digests)]] > 1]
+            at += len(digests)
+            if len(mine):
+                out.append((block, table.column("bucket")[0].as_py(), None, pack(mine[:, 0].copy()), pack(mine[:, 1].copy())))
+        return out
+
     def merge(table: pa.Table) -> pa.Table:
+        digests = again(table.filter(pc.is_null(table.column("contexts"))))
+        table = table.filter(pc.is_valid(table.column("contexts")))
+        if not table.num_rows:
+            return _rows(digests)
         held = [(b, np.cumsum(unpack(k), dtype=np.uint64), unpack(n), unpack(x).astype(np.int64), unpack_bytes(s, c)) for b, k, n, x, s, c in zip(*(table.column(c).to_pylist() for c in ("block", "keys", "counts", "left", "lengths", "contexts")), strict=True)]
         known: dict[tuple, int] = {}
         of = np.fromiter((known.setdefault(k, len(known)) for h in held for k in zip(h[1].tolist(), h[3].tolist(), h[4], strict=True)), np.int64)
@@ -308,13 +380,15 @@ def remove_repeats(docs: DataFrame, size: int = 200, gram: int = 32, id_col: str
         for block, keys, *_ in held:
             out.append((block, table.column("bucket")[0].as_py(), pack(bits[of[at : at + len(keys)]].reshape(-1))))
             at += len(keys)
-        return _rows(out)
+        return _rows(out + digests)
 
     texts = blocks.select("block", "ids", "lengths", "texts")
     pair = texts.select("block", "lengths", "texts").groupBy("block").cogroup(often.groupBy("block"))
     judged = pair.applyInArrow(contexts, _ROWS).groupBy("bucket").applyInArrow(merge, _ROWS)
-    # one table with both: what is often, and what was judged
-    answers = often.select("block", "bucket", "keys", F.lit(None).cast("binary").alias("bits")).unionByName(judged.select("block", "bucket", F.lit(None).cast("binary").alias("keys"), F.col("keys").alias("bits")))
+    # one table with both: what is often (and hot), and what was judged: bits of contexts, or both halves of digests
+    none = F.lit(None).cast("binary")
+    answers = often.select("block", "bucket", "keys", "counts", *[none.alias(c) for c in ("bits", "high", "low")])
+    answers = answers.unionByName(judged.select("block", "bucket", none.alias("keys"), none.alias("counts"), F.col("keys").alias("bits"), F.col("counts").alias("high"), F.col("left").alias("low")))
 
     def remove(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
@@ -324,8 +398,16 @@ def remove_repeats(docs: DataFrame, size: int = 200, gram: int = 32, id_col: str
         width = size - gram + 1
         start = np.zeros(len(data) + size + 1, np.int8)
         parts = [unpack(b) for _, b in sorted((k, b) for k, b in zip(right.column("bucket").to_pylist(), bits, strict=True) if b is not None)]
-        if parts:
-            table = np.concatenate(parts).reshape(-1, -(-width // 8))
+        if len(s.first):
+            table = np.zeros((len(s.first), -(-width // 8)), np.uint8)
+            if parts:
+                table[~s.hot] = np.concatenate(parts).reshape(-1, table.shape[1])
+            twice = [np.stack([unpack(x), unpack(y)], axis=1) for x, y in zip(right.column("high").to_pylist(), right.column("low").to_pylist(), strict=True) if x is not None]
+            twice = np.concatenate(twice) if twice else np.zeros((0, 2), np.uint64)
+            for of, d, digests in s.strings():
+                _, total, number = summed(np.concatenate([twice, digests]), np.r_[np.ones(len(twice)), np.zeros(len(digests))])
+                hit = total[number[len(twice) :]] > 0
+                np.bitwise_or.at(table, (of[hit], d[hit] // 8), (128 >> (d[hit] % 8)).astype(np.uint8))
             for a in range(0, len(s.at), 50_000):
                 of = s.of[a : a + 50_000]
                 i, d = np.nonzero(np.unpackbits(table[of], axis=1, count=width))
