@@ -116,6 +116,7 @@ def region_stats(df: DataFrame, keys: list[str], value: str, weight: Column | No
 
 def mquantiles(df: DataFrame, keys: list[str], value: str, probabilities: tuple[float, ...] = (0.25, 0.75)) -> DataFrame:
     """AG59: quantiles with plotting positions 0.4, 0.4 by group: the order statistics around n p + 0.4 + 0.2 p.
+    All quantiles of a single value are that value.
 
     Ranks come from a window over the group, so a group is sorted externally, not gathered in memory.
     """
@@ -125,7 +126,7 @@ def mquantiles(df: DataFrame, keys: list[str], value: str, probabilities: tuple[
         a = F.col("n") * p + (0.4 + 0.2 * p)
         k = F.floor(F.greatest(F.least(a, F.col("n") - 1), F.lit(1.0)))
         g = F.greatest(F.least(a - k, F.lit(1.0)), F.lit(0.0))
-        out.append(F.sum(F.when(_c("i") == k, (1 - g) * _c("v")).when(_c("i") == k + 1, g * _c("v"))).alias(f"q{int(100 * p)}"))
+        out.append(F.sum(F.when(_c("n") == 1, _c("v")).when(_c("i") == k, (1 - g) * _c("v")).when(_c("i") == k + 1, g * _c("v"))).alias(f"q{int(100 * p)}"))
     return ranked.groupBy(*keys).agg(*out)
 
 

@@ -45,6 +45,15 @@ def pairwise_windows(spark, d):
     return P.pairwise_windows(a, a.where("c_custkey % 2 = 0"), "c_custkey", (4, 4, 4), 2, 9)
 
 
+@query(f"""WITH {_IMG}, s AS (SELECT c_custkey, draw::INT AS draw, ({_u('c_custkey', 'draw', 0, 9)} % (X - 3))::INT AS x0, ({_u('c_custkey', 'draw', 1, 9)} % (Y - 3))::INT AS y0, ({_u('c_custkey', 'draw', 2, 9)} % (Z - 3))::INT AS z0
+FROM (SELECT img.*, unnest(range(2)) AS draw FROM img WHERE c_custkey IN (SELECT o_custkey FROM orders)) r) SELECT *, x0 + 4 AS x1, y0 + 4 AS y1, z0 + 4 AS z1 FROM s""")
+def pairwise_windows_all(spark, d):
+    """Every customer with an order has a second section."""
+    a = images(spark, d)
+    ordered = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")).distinct()
+    return P.pairwise_windows(a, a.join(ordered, "c_custkey", "left_semi"), "c_custkey", (4, 4, 4), 2, 9)
+
+
 @query("""WITH r AS (SELECT l_orderkey AS k, l_linenumber AS v FROM lineitem WHERE l_returnflag = 'A' UNION ALL SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_returnflag = 'R')
 SELECT k, CASE WHEN min(v) = max(v) THEN min(v) END AS v, min(v) <> max(v) AS conflict FROM r GROUP BY k""")
 def constraint_intersection(spark, d):

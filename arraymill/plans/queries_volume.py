@@ -287,6 +287,18 @@ def region_stats(spark, d):
     return out.select("l_returnflag", "l_suppkey", "min", "max", *[F.round(c, 6).alias(c) for c in ("mean", "std", "weighted_mean", "skewness", "kurtosis", "median")])
 
 
+@query("""WITH s AS (SELECT l_returnflag, l_suppkey, l_quantity::DOUBLE AS v, l_discount AS w FROM lineitem),
+m AS (SELECT l_returnflag, l_suppkey, avg(v) AS mean, stddev_pop(v) AS sd FROM s GROUP BY ALL)
+SELECT l_returnflag, l_suppkey, min(v) AS min, max(v) AS max, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, round(sum(v*w)/nullif(sum(w),0), 6) AS weighted_mean,
+ round(avg(pow((v - mean) / nullif(sd, 0), 3)), 6) AS skewness, round(avg(pow((v - mean) / nullif(sd, 0), 4)) - 3, 6) AS kurtosis, round(quantile_cont(v, 0.5), 6) AS median
+FROM s JOIN m USING (l_returnflag, l_suppkey) GROUP BY ALL""")
+def region_stats_all(spark, d):
+    """Of all groups; skewness and kurtosis of a group without spread are null."""
+    rows = table(spark, d, "lineitem").select("l_returnflag", "l_suppkey", "l_quantity", "l_discount")
+    out = I.region_stats(rows, ["l_returnflag", "l_suppkey"], "l_quantity", F.col("l_discount"))
+    return out.select("l_returnflag", "l_suppkey", "min", "max", *[F.round(c, 6).alias(c) for c in ("mean", "std", "weighted_mean", "skewness", "kurtosis", "median")])
+
+
 def _mq(p):
     a = f"n * {p} + 0.4 + 0.2 * {p}"
     k = f"floor(greatest(least({a}, n - 1), 1))"
@@ -302,6 +314,14 @@ def region_mquantiles(spark, d):
     return out.select("l_returnflag", "l_suppkey", F.round("q25", 6).alias("q25"), F.round("q75", 6).alias("q75"))
 
 
+@query(f"""WITH s AS (SELECT l_returnflag, l_suppkey, list(l_extendedprice ORDER BY l_extendedprice) AS x, count(*) AS n FROM lineitem GROUP BY ALL)
+SELECT l_returnflag, l_suppkey, CASE WHEN n = 1 THEN round(x[1], 6) ELSE {_mq(0.25)} END AS q25, CASE WHEN n = 1 THEN round(x[1], 6) ELSE {_mq(0.75)} END AS q75 FROM s""")
+def region_mquantiles_all(spark, d):
+    """Of all groups, those of one row included."""
+    out = I.mquantiles(_lines(spark, d), ["l_returnflag", "l_suppkey"], "l_extendedprice")
+    return out.select("l_returnflag", "l_suppkey", F.round("q25", 6).alias("q25"), F.round("q75", 6).alias("q75"))
+
+
 _X = "(c_acctbal / 2000)"
 
 

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from arraymill.operators import catalog as C
+from arraymill.operators import intensity as I
 from arraymill.operators import splines as Z
 from arraymill.plans.queries import QUERIES
 
@@ -75,3 +76,17 @@ def test_fuzzy_match_of_short_names_and_overlaps(spark):
     assert {(1, 1, 2), (2, 3, 2), (3, 1, 2), (5, 6, 1)} <= want
     nested = [spark.createDataFrame(x, "id int, name string").selectExpr("id", "array(name) AS candidates") for x in ([(1, "aT1")], [(5, "T1")])]
     assert [tuple(r) for r in C.match_all(nested).collect()] == [(1, 5)]
+
+
+def test_regions_of_one_value_and_without_spread(spark):
+    df = spark.createDataFrame([(1, 5.0), (2, 3.0), (2, 3.0), (3, 1.0), (3, 2.0)], "k int, v double")
+    stats = {r.k: (r["min"], r["max"], r["mean"], r["std"], r["skewness"], r["kurtosis"], r["median"]) for r in I.region_stats(df, ["k"], "v").collect()}
+    assert stats[1] == (5, 5, 5, 0, None, None, 5) and stats[2] == (3, 3, 3, 0, None, None, 3) and stats[3][3] == 0.5
+    assert {r.k: (r.q25, r.q75) for r in I.mquantiles(df, ["k"], "v").where("k < 3").collect()} == {1: (5, 5), 2: (3, 3)}
+
+
+def test_region_and_pair_queries_return_every_group(spark):
+    lines = spark.read.parquet(f"{SF}/lineitem.parquet").select("l_returnflag", "l_suppkey").distinct().count()
+    assert QUERIES["region_stats_all"](spark, SF).count() == QUERIES["region_mquantiles_all"](spark, SF).count() == lines
+    ordered = {r.o_custkey for r in spark.read.parquet(f"{SF}/orders.parquet").select("o_custkey").distinct().collect()}
+    assert {r.c_custkey for r in QUERIES["pairwise_windows_all"](spark, SF).collect()} == ordered
