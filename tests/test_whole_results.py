@@ -90,3 +90,48 @@ def test_region_and_pair_queries_return_every_group(spark):
     assert QUERIES["region_stats_all"](spark, SF).count() == QUERIES["region_mquantiles_all"](spark, SF).count() == lines
     ordered = {r.o_custkey for r in spark.read.parquet(f"{SF}/orders.parquet").select("o_custkey").distinct().collect()}
     assert {r.c_custkey for r in QUERIES["pairwise_windows_all"](spark, SF).collect()} == ordered
+
+
+def test_elastic_moves_voxels_as_brute_force_does(spark):
+    shape, controls, sigma, seed, key = (3, 4, 2), 4, 0.7, 5, 7
+    a = np.random.default_rng(1).normal(size=shape)
+    got = array(Z.elastic(volume(spark, a), ["k"], shape, controls, sigma, seed), shape)
+    rng = np.random.default_rng([seed, key])
+    fields = [rng.normal(0, sigma, (controls,) * 3) for _ in shape]
+
+    def spline(field, p):
+        for n, i in zip(shape, p, strict=True):  # the first axis left, each time
+            t = i * (controls - 1) / (n - 1)
+            field = np.apply_along_axis(brute_spline, 0, field, t)
+        return float(field)
+
+    def linear(p):
+        if not p:
+            return lambda b: float(b)
+        t = min(max(p[0], 0), shape[3 - len(p)] - 1)
+        low = int(t)
+        return lambda b: (1 - (t - low)) * linear(p[1:])(b[low]) + (t - low) * (linear(p[1:])(b[low + 1]) if t > low else 0)
+
+    want = np.zeros(shape)
+    for p in np.ndindex(shape):
+        want[p] = linear([i + spline(f, p) for i, f in zip(p, fields, strict=True)])(a)
+    assert np.allclose(got, want)
+    assert np.abs(got - a).max() > 0.1
+
+
+def test_crf_against_loops(spark):
+    shape, rounds, width, contrast, weight = (2, 2, 2), 3, 0.8, 0.6, 1.5
+    a = np.random.default_rng(2).normal(size=shape)
+    got = array(Z.crf(volume(spark, a), ["k"], shape, rounds, width, contrast, weight), shape)
+    at = list(np.ndindex(shape))
+    kernel = {(i, j): np.exp(-sum((x - y) ** 2 for x, y in zip(i, j, strict=True)) / (2 * width**2)) * np.exp(-((a[i] - a[j]) ** 2) / (2 * contrast**2)) for i in at for j in at if i != j}
+    q = {i: 1 / (1 + np.exp(-a[i])) for i in at}
+    for _ in range(rounds):
+        new = {}
+        for i in at:
+            total = sum(kernel[i, j] for j in at if j != i)
+            message = sum(kernel[i, j] / total * (q[j] - (1 - q[j])) for j in at if j != i)
+            new[i] = 1 / (1 + np.exp(-(a[i] + weight * message)))
+        q = new
+    assert np.allclose(got, [[[q[x, y, z] for z in range(2)] for y in range(2)] for x in range(2)])
+    assert np.abs(got - 1 / (1 + np.exp(-a))).max() > 0.01
