@@ -7,15 +7,21 @@ Whatever is looked up about words is looked up once per distinct word of a block
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, SparkSession
 
 from .common import new_path, partitions
 
 _CODEC = "zstd"
+#: Texts in an Arrow batch while blocks are written: batches hold far less than a block.
+BATCH_ROWS = 1_000
+_made: list[str] = []
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -63,6 +69,56 @@ def sliced(batches, rows: int = 256):
             yield batch.slice(a, rows)
 
 
+def buckets_for(total: int, each: int) -> int:
+    """Buckets of about `each` bytes for a total: their number follows the data, so that a group's size does not."""
+    return max(1, -(-total // each))
+
+
+def key_ranges(keys: np.ndarray, bits: int, buckets: int) -> list[tuple[int, int, int]]:
+    """(bucket, from, to) of the buckets, equal ranges of keys of `bits` bits, that hold some of the sorted keys; buckets < 2 ** 32."""
+    of = ((keys >> np.uint64(bits - 32)) * np.uint64(buckets)) >> np.uint64(32)
+    edge = np.r_[np.flatnonzero(np.r_[True, of[1:] != of[:-1]][: len(of)]), len(of)]
+    return [(int(of[a]), int(a), int(b)) for a, b in zip(edge[:-1], edge[1:], strict=True)]
+
+
+def by_bucket(words: list[bytes], buckets: int) -> list[tuple[int, np.ndarray]]:
+    """(bucket, numbers of its words in order) of the buckets that hold some of the words."""
+    of = np.fromiter((xxhash.xxh32_intdigest(w) % buckets for w in words), np.int64, len(words))
+    order = np.argsort(of, kind="stable")
+    edge = np.r_[np.flatnonzero(np.diff(of[order], prepend=-1)), len(order)]
+    return [(int(of[order[a]]), order[a:b]) for a, b in zip(edge[:-1], edge[1:], strict=True)]
+
+
+def released() -> None:
+    """Gives freed memory back to the system at the end of a group or block: workers are reused, idle ones stay for a
+    while, and an executor holds several, so what one of them keeps from its largest group counts many times."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(f):
+    """f(table) for applyInArrow, with freed memory given back after each group."""
+
+    def run(table: pa.Table) -> pa.Table:
+        out = f(table)
+        released()
+        return out
+
+    return run
+
+
+def tidy_pair(f):
+    """f(left, right) for a cogroup's applyInArrow, with freed memory given back after each group."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = f(left, right)
+        released()
+        return out
+
+    return run
+
+
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Indices start, start + 1, ... of each run, one run after the other."""
     ends = np.cumsum(lengths)
@@ -73,5 +129,28 @@ def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
     """df written once, bucketed by key, in the shared folder: joins and groups by key need no exchange of it."""
     spark = df.sparkSession
     table = f"{name}_{uuid.uuid4().hex}"
-    df.write.option("path", new_path(spark, name)).option("compression", "zstd").bucketBy(partitions(spark), key).format("parquet").saveAsTable(table)
+    with _batches_of(spark, BATCH_ROWS):
+        df.write.option("path", new_path(spark, name)).option("compression", "zstd").bucketBy(partitions(spark), key).format("parquet").saveAsTable(table)
+    _made.append(table)
     return spark.table(table)
+
+
+@contextlib.contextmanager
+def _batches_of(spark: SparkSession, rows: int):
+    """Arrow batches of at most `rows` rows for what is executed inside, as the session had them afterwards."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def drop_tables(spark: SparkSession) -> None:
+    """Drops the catalog entries of all blocks written so far by this process; call it when their results have been used.
+
+    Their files lie in the shared folder and are cleared with it.
+    """
+    while _made:
+        spark.sql(f"DROP TABLE IF EXISTS {_made.pop()}")
