@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import hashlib
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from .blocks import sliced
 from .common import saved
 
 #: Bytes of words after lower-casing A-Z; every other ASCII byte separates.
@@ -98,7 +98,7 @@ def _rarity(docs: DataFrame, items: list) -> dict[bytes, int]:
     return {bytes(r["word"]): r["n"] for r in found.collect()}
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", most_words: int = 2_000_000) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", most_words: int = 2_000_000, carry: bool = False) -> DataFrame:
     """Marks the document words inside occurrences of benchmark windows of `window` words (shorter items: the whole item).
 
     All words of a window must be in a document, so its prefix is one word: the rarest by document frequency over all
@@ -108,47 +108,53 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, share
     of that size, hits are written after each block and merged by row.
 
     Returns id_col, n_words, n_hit, n_items, items_sha256 (of the sorted item ids, comma-joined), contaminated
-    (n_hit > 0 and share * n_hit >= n_words). Null texts have no words; null ids pass through; items without words
+    (n_hit > 0 and share * n_hit >= n_words) and, with carry, the input row as struct `row`. Null texts have no words; null ids pass through; items without words
     match nothing; items with a null id mark words but are not named; repeated items count once, repeated rows each get
     a row. Empty tables: no rows, or nothing hit. Other columns are ignored.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
     items = benchmark.select(F.col(item_col).cast("string").alias("id"), item_words(F.col(item_text_col)).alias("words")).where(F.size("words") > 0).distinct()
-    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
+    carried = [F.struct(*[docs[c] for c in docs.columns]).alias("row")] if carry else []
+    texts = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col], F.lit("")).cast("binary").alias("text"), *carried)
+    more = ["row"] if carry else []
+
+    def scan(index: WindowIndex, keys: DataFrame):
+        """keys: the columns before the text."""
+        names, before, whole = [*keys.columns, "n_words", "runs", "ids"], len(keys.columns), n == 1
 
-    def scan(index: WindowIndex, row_type: str):
         def run(batches):
-            for batch in batches:
+            for batch in sliced(batches):
                 sizes, runs, ids = [], [], []
-                for text in batch.column(1).to_pylist():
+                for text in batch.column(before).to_pylist():
                     words = words_of(text)
                     r, i = index.hits(words)
                     sizes.append(len(words))
-                    runs.append([x for ab in r for x in ab])
+                    runs.append(covered(r) if whole else [x for ab in r for x in ab])
                     ids.append(sorted(i))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(runs, pa.list_(pa.int64())), pa.array(ids, pa.list_(pa.string()))], names=["id", "n_words", "runs", "ids"])
+                found = [pa.array(sizes, pa.int64()), pa.array(runs, pa.int64() if whole else pa.list_(pa.int64())), pa.array(ids, pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:before], *found], names=names)
 
-        return run, f"id {row_type}, n_words long, runs array<long>, ids array<string>"
+        kind = T.LongType() if whole else T.ArrayType(T.LongType())
+        return run, T.StructType([*keys.schema, T.StructField("n_words", T.LongType()), T.StructField("runs", kind), T.StructField("ids", T.ArrayType(T.StringType()))])
 
     found = None
     for n, block in _blocks(items, most_words):
         if n > 1 and found is None:
-            texts = saved(texts.withColumn("row", F.monotonically_increasing_id()), "decontaminate-texts")
-        run, schema = scan(WindowIndex(block, _rarity(texts, block), window), kind if n == 1 else "long")
-        part = texts.select("id" if n == 1 else F.col("row").alias("id"), "text").mapInArrow(run, schema)
+            texts = saved(texts.withColumn("__key", F.monotonically_increasing_id()), "decontaminate-texts")
+        keys = texts.select("id", *more) if n == 1 else texts.select("__key")
+        run, schema = scan(WindowIndex(block, _rarity(texts, block), window), keys)
+        part = texts.select(*keys.columns, "text").mapInArrow(run, schema)
         if n > 1:
             part = saved(part, "decontaminate-hits")
         found = part if found is None else found.unionByName(part)
     if n > 1:
-        merged = found.groupBy("id").agg(F.first("n_words").alias("n_words"), F.flatten(F.collect_list("runs")).alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("ids"))
-        found = texts.select("id", "row").join(merged.withColumnRenamed("id", "row"), "row")
+        merged = found.groupBy("__key").agg(F.first("n_words").alias("n_words"), F.flatten(F.collect_list("runs")).alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("ids"))
 
-    def digest(batches):
-        for batch in batches:
-            hit = pa.array([covered(zip(r[::2], r[1::2], strict=True)) for r in batch.column(2).to_pylist()], pa.int64())
-            ids = batch.column(3).to_pylist()
-            sha = pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in ids], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), hit, pa.array([len(x) for x in ids], pa.int64()), sha], names=[id_col, "n_words", "n_hit", "n_items", "items_sha256"])
+        def add(batches):
+            for batch in batches:
+                yield batch.set_column(2, "n_hit", pa.array([covered(zip(r[::2], r[1::2], strict=True)) for r in batch.column(2).to_pylist()], pa.int64()))
 
-    out = found.select("id", "n_words", "runs", "ids").mapInArrow(digest, f"`{id_col}` {kind}, n_words long, n_hit long, n_items long, items_sha256 string")
+        merged = merged.select("__key", "n_words", "runs", "ids").mapInArrow(add, "__key long, n_words long, n_hit long, ids array<string>")
+        found = texts.select("id", "__key", *more).join(merged, "__key").withColumnRenamed("n_hit", "runs")
+    digest = F.sha2(F.array_join("ids", ","), 256)
+    out = found.select(F.col("id").alias(id_col), "n_words", F.col("runs").alias("n_hit"), F.size("ids").cast("long").alias("n_items"), digest.alias("items_sha256"), *more)
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))

@@ -9,7 +9,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from .blocks import sliced
 from .common import attach, partitions, saved
 from .components import components
 
@@ -175,29 +177,36 @@ def _edges(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
 
 
-def near_dedup(docs: DataFrame, radius: int = 2, shingle: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_dedup(docs: DataFrame, radius: int = 2, shingle: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
     """SimHash fingerprints of whole texts and the components of documents linked at `radius` or fewer differing bits.
 
     Equal fingerprints are one node, so copies cost nothing beyond a count; components come from distributed star
     steps, and documents find theirs by a join whose hot fingerprints go by a bounded broadcast.
 
-    Returns id_col, fingerprint (16 hex digits), component_id (least id reachable). Null texts count as empty and have
-    fingerprint zero; null ids get a component but never name one, unless a component has no other ids; repeated rows
-    each get a row; an empty table gives an empty one; other columns are ignored.
+    Returns id_col, fingerprint (16 hex digits), component_id (least id reachable) and, with carry, the input row as struct
+    `row` and kept (true for one row of each component, of the least id; of rows that tie in it, the first as written).
+    Null texts count as empty and have fingerprint zero; null ids get a component but never name one, unless a component
+    has no other ids; repeated rows each get a row; an empty table gives an empty one; other columns are ignored.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
+    carried = [F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("key")] if carry else []
+    more = ["row", "key"] if carry else []
+    texts = docs.select(docs[id_col].alias("id"), *carried, F.coalesce(docs[text_col], F.lit("")).cast("binary").alias("text"))
+    keys = texts.drop("text")
+    names, before = [*keys.columns, "fp"], len(keys.columns)
 
     def run(batches):
-        for batch in batches:
-            prints = np.fromiter((fingerprint(x, shingle, seed) for x in batch.column(1).to_pylist()), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], names=["id", "fp"])
+        for batch in sliced(batches, 1024):
+            prints = np.fromiter((fingerprint(x, shingle, seed) for x in batch.column(before).to_pylist()), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:before], pa.array(prints.view(np.int64))], names=names)
 
-    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
-    marked = saved(texts.mapInArrow(run, f"id {kind}, fp long"), "simhash")
-    prints = marked.groupBy("fp").agg(F.min("id").alias("id"))
+    marked = saved(texts.mapInArrow(run, T.StructType([*keys.schema, T.StructField("fp", T.LongType())])), "simhash")
+    least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")) if carry else F.min("id")
+    prints = marked.groupBy("fp").agg(least.alias("first"))
     found = components(links(prints.select("fp"), radius)).withColumnRenamed("node", "fp")
     joined = prints.join(found, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = joined.groupBy("root").agg(F.min("id").alias("component_id"))
-    named = joined.select("fp", "root").join(least, "root").select("fp", "component_id")
+    named = joined.select("fp", "root").join(joined.groupBy("root").agg(F.min("first").alias("first")), "root").select("fp", "first")
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return attach(marked, named, "fp", marked.count()).select(F.col("id").alias(id_col), digits.alias("fingerprint"), "component_id")
+    out = attach(marked, named, "fp", marked.count())
+    if not carry:
+        return out.select(F.col("id").alias(id_col), digits.alias("fingerprint"), F.col("first").alias("component_id"))
+    return out.select(F.col("id").alias(id_col), digits.alias("fingerprint"), F.col("first.id").alias("component_id"), (F.col("key") == F.col("first.key")).alias("kept"), "row")

@@ -12,7 +12,9 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from .blocks import sliced
 from .common import saved
 
 #: A base lexicon of insults, and second-person words.
@@ -95,12 +97,11 @@ def _featured(df: DataFrame, lexicon: dict[str, float], sure: float) -> DataFram
     keys = df.columns[:-1]
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             rows = [features_of(x, lexicon, sure) for x in batch.column(len(keys)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(keys))], pa.array(rows, pa.list_(pa.float64()))], names=[*keys, "features"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema[:-1])
-    return df.mapInArrow(run, f"{schema}, features array<double>")
+    return df.mapInArrow(run, T.StructType([*df.schema[:-1], T.StructField("features", T.ArrayType(T.DoubleType()))]))
 
 
 def _counts(df: DataFrame, wanted: frozenset | None) -> DataFrame:
@@ -131,31 +132,36 @@ def learn_lexicon(sample: DataFrame, size: int = 20_000) -> dict[str, float]:
     return {t: v for t, v in odds.items() if v >= 1.5}
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, train_on: Column, most_labelled: int = 40_000, trees: int = 24, depth: int = 4, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", seed: int = 7) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, train_on: Column, most_labelled: int = 40_000, trees: int = 24, depth: int = 4, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", seed: int = 7, carry: bool = False) -> DataFrame:
     """Scores every whole text with boosted trees over FEATURES, calibrated by isotonic regression.
 
     Fitted on at most about most_labelled labelled rows for which train_on holds, chosen by a hash of the id: half of
     them teach the lexicon of words and stems that mark label 1, a third the trees, the rest the calibration. Features
     come from Arrow batches over the scan; trees and calibration are applied by Spark ML in the JVM. No shuffle of texts.
 
-    Returns id_col, score (0 to 1), predicted (1 where score >= threshold). Null texts count as empty and get a score;
-    rows with null ids are scored and never trained on; null labels are ignored; repeated rows each get a row; if the
-    labelled rows have only one class, or there are none, every score is the share of label 1 (0 without labels).
-    Other columns are ignored. An empty table gives an empty one.
+    The lexicon has at most 20,000 terms, see learn_lexicon; no other part of the model is capped.
+
+    Returns id_col, score (0 to 1), predicted (1 where score >= threshold) and, with carry, the input row as struct `row`.
+    Null texts count as empty and get a score; rows with null ids are scored and never trained on; null labels are
+    ignored; an id with several labels has the largest; repeated rows each get a row; if the labelled rows have only one
+    class, or there are none, every score is the share of label 1 (0 without labels). Other columns are ignored. An empty
+    table gives an empty one.
     """
-    texts = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    marked = labels.select(F.col(id_col).alias("__id"), (F.col(label_col) > 0).cast("double").alias("label")).where("label is not null and __id is not null").dropDuplicates(["__id"])
+    carried = [F.struct(*[docs[c] for c in docs.columns]).alias("row")] if carry else []
+    texts = docs.select(docs[id_col].alias("__id"), *carried, F.coalesce(docs[text_col], F.lit("")).alias("text"))
+    more = ["row"] if carry else []
+    marked = labels.select(F.col(id_col).alias("__id"), (F.col(label_col) > 0).cast("double").alias("label")).where("label is not null and __id is not null").groupBy("__id").agg(F.max("label").alias("label"))
     hashed = F.pmod(F.xxhash64(F.lit(seed), "__id"), F.lit(1_000_000))
     chosen = marked.where(train_on).withColumn("h", hashed)
     n = chosen.count()
     if n > most_labelled:
         chosen = chosen.where(F.col("h") < int(1_000_000 * most_labelled / n))
     # about most_labelled ids at most, so they are broadcast and no text is shuffled
-    sample = saved(texts.join(F.broadcast(chosen.select("__id", "label")), "__id").select("label", F.pmod(F.xxhash64(F.lit(seed + 1), "__id"), F.lit(6)).alias("fold"), "text"), "toxicity-sample")
+    sample = saved(texts.select("__id", "text").join(F.broadcast(chosen.select("__id", "label")), "__id").select("label", F.pmod(F.xxhash64(F.lit(seed + 1), "__id"), F.lit(6)).alias("fold"), "text"), "toxicity-sample")
     seen = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(seen) < 2:
         share = float(next(iter(seen), 0.0))
-        return texts.select(F.col("__id").alias(id_col), F.lit(share).alias("score"), F.lit(int(share >= threshold)).alias("predicted"))
+        return texts.select(F.col("__id").alias(id_col), *more, F.lit(share).alias("score"), F.lit(int(share >= threshold)).alias("predicted"))
 
     sure = 3.0
     lexicon = learn_lexicon(sample.where("fold < 3").drop("fold"))
@@ -167,6 +173,6 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, train_on: Column, most_la
     model = GBTClassifier(featuresCol="features", labelCol="label", weightCol="w", maxIter=trees, maxDepth=depth, stepSize=0.2, maxBins=64, minInstancesPerNode=5, subsamplingRate=1.0, seed=seed).fit(weighted)
     raw = lambda df: model.transform(df).withColumn("p", vector_to_array("probability")[1])
     calibrated = IsotonicRegression(featuresCol="p", labelCol="label", predictionCol="score").fit(raw(rest).select("p", "label"))
-    scored = calibrated.transform(raw(_featured(texts, lexicon, sure).withColumn("features", array_to_vector("features"))).select("__id", "p"))
+    scored = calibrated.transform(raw(_featured(texts, lexicon, sure).withColumn("features", array_to_vector("features"))).select("__id", *more, "p"))
     score = F.least(F.greatest("score", F.lit(0.0)), F.lit(1.0))
-    return scored.select(F.col("__id").alias(id_col), score.alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return scored.select(F.col("__id").alias(id_col), *more, score.alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
