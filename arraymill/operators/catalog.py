@@ -194,36 +194,29 @@ def longest_common_substring(a: Column, b: Column) -> Column:
     return F.when((n > 0) & (F.length(b) > 0), F.array_max(F.transform(F.sequence(F.lit(1), n), here))).otherwise(0)
 
 
-def _grams(df: DataFrame, name: str, n: int) -> DataFrame:
-    """A row for each distinct substring `g` of n characters of a name."""
+def _substrings(df: DataFrame, name: str) -> DataFrame:
+    """A row for each distinct substring `g` of a name."""
     c = F.col(name)
-    return df.where(F.length(c) >= n).withColumn("g", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(c, i, n)))))
+    parts = F.flatten(F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.transform(F.sequence(F.lit(1), F.length(c) - i + 1), lambda k: F.substring(c, i, k))))
+    return df.where(F.length(c) > 0).withColumn("g", F.explode(F.array_distinct(parts)))
 
 
-def fuzzy_match(left: DataFrame, right: DataFrame, grams: int = 3) -> DataFrame:
+def fuzzy_match(left: DataFrame, right: DataFrame) -> DataFrame:
     """(left_id, right_id, size): the right name with the longest common substring, ties by size / length of it;
-    a left name whose best is shared by several right rows is ambiguous and left out.
+    a left name whose best is shared by several right rows is ambiguous and left out, and so is one without a match.
 
-    left and right: (id, name). Pairs come from shared substrings of `grams` characters, so no cross join is made. Left
-    names without such a pair, and only those, are joined on shared substrings of one character less, down to one: their
-    matches all have that size, so the shortest right name wins, and two of a substring's shortest tell a tie.
+    left and right: (id, name). Of all right names with a substring only the shortest can be best through it, and two of
+    these tell a tie, so each substring keeps the first and the last id of its shortest names, aggregated map-side. Left
+    substrings meet that table by an equi-join: a substring that very many names share adds one row for each, no pairs.
     """
-    a = left.select(F.col("id").alias("left_id"), F.col("name").alias("a"))
-    b = right.select(F.col("id").alias("right_id"), F.col("name").alias("b"))
-    pairs = _grams(a, "a", grams).join(_grams(b, "b", grams), "g").select("left_id", "right_id", "a", "b").distinct()
-    scored = pairs.withColumn("size", longest_common_substring(F.col("a"), F.col("b"))).withColumn("ratio", F.col("size") / F.length("b"))
-    best = F.rank().over(Window.partitionBy("left_id").orderBy(F.desc("size"), F.desc("ratio")))
-    alone = F.count("*").over(Window.partitionBy("left_id"))
-    shortest = Window.partitionBy("g").orderBy(F.length("b"), "right_id")
-    found = None
-    for n in range(grams, 0, -1):
-        if n < grams:
-            few = _grams(b, "b", n).withColumn("k", F.row_number().over(shortest)).where("k <= 2").drop("k")
-            scored = _grams(a, "a", n).join(few, "g").select("left_id", "right_id", "b").distinct().withColumn("size", F.lit(n)).withColumn("ratio", n / F.length("b"))
-        top = scored.withColumn("k", best).where("k = 1").withColumn("n", alone).select("left_id", "right_id", "size", "n")
-        found = top if found is None else found.unionByName(top)
-        a = a.join(top.select("left_id"), "left_id", "left_anti")
-    return found.where("n = 1").select("left_id", "right_id", F.col("size").cast("int").alias("size"))
+    a = _substrings(left.select(F.col("id").alias("left_id"), F.col("name").alias("a")), "a").select("left_id", "g")
+    b = _substrings(right.select(F.col("id").alias("right_id"), F.col("name").alias("b")), "b")
+    short = b.groupBy("g").agg(F.min(F.struct(F.length("b").alias("n"), "right_id")).alias("x"), F.max(F.struct((-F.length("b")).alias("n"), "right_id")).alias("y"))
+    # the longest substring and the shortest name by it, once with the first ids and once with the last: they differ in a tie
+    size, n = F.length("g").alias("size"), F.col("x.n").alias("n")
+    first, last = F.max(F.struct(size, (-n).alias("n"), F.col("y.right_id").alias("id"))), F.min(F.struct((-size).alias("size"), n, F.col("x.right_id").alias("id")))
+    best = a.join(short, "g").groupBy("left_id").agg(first.alias("last"), last.alias("first"))
+    return best.where("first.id = last.id").select("left_id", F.col("first.id").alias("right_id"), F.col("last.size").cast("int").alias("size"))
 
 
 def second_degree(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -235,9 +228,18 @@ def second_degree(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def match_all(lists: list[DataFrame]) -> DataFrame:
-    """Every list (id, candidates) matched against the first; rows without a partner somewhere are dropped."""
-    out = lists[0].select(F.col("id").alias("id_0"))
-    for k, other in enumerate(lists[1:], 1):
-        found = second_degree(lists[0], other).select(F.col("left_id").alias("id_0"), F.col("right_id").alias(f"id_{k}"))
-        out = out.join(found, "id_0")
-    return out
+    """Every list (id, candidates) matched against the longest one (the first of equals): a row for each of its ids
+    with the partners id_<k> in all lists, its own in its place; no partner gives null."""
+    sizes = [x.count() for x in lists]
+    longest = sizes.index(max(sizes))
+    out = lists[longest].select(F.col("id").alias(f"id_{longest}"))
+    for k, other in enumerate(lists):
+        if k != longest:
+            found = second_degree(lists[longest], other).select(F.col("left_id").alias(f"id_{longest}"), F.col("right_id").alias(f"id_{k}"))
+            out = out.join(found, f"id_{longest}", "left")
+    return out.select(*[f"id_{k}" for k in range(len(lists))])
+
+
+def matched_rows(matched: DataFrame) -> DataFrame:
+    """J10, as written to a catalog: rows with a partner in every list."""
+    return matched.na.drop("any")

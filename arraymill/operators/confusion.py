@@ -103,6 +103,16 @@ def confusion_matrix(df: DataFrame, label: str, predicted: str) -> DataFrame:
     return df.groupBy(label, predicted).agg(F.count("*").alias("n"))
 
 
+def centre_distance(df: DataFrame, keys: list[str], out: str, ref: str, axes: list[str], pixdim: tuple[float, ...] = (1.0, 1.0, 1.0)) -> DataFrame:
+    """AG42: com_dist, the distance between the centres of mass of two weight columns, axes scaled by their voxel size.
+
+    Both centres come from one aggregate; null where the weights of a side sum to zero.
+    """
+    centre = lambda w, a: _div(F.sum(_c(w).cast("double") * _c(a)), F.sum(_c(w).cast("double")))
+    square = sum((F.pow((centre(out, a) - centre(ref, a)) * p, 2) for a, p in zip(axes, pixdim, strict=True)), F.lit(0.0))
+    return df.groupBy(*keys).agg(F.sqrt(square).alias("com_dist"))
+
+
 def centre_of_mass(df: DataFrame, keys: list[str], value: str, axes: list[str], pixdim: float = 1.0) -> DataFrame:
     """AG41: com_<axis> of a weight column, scaled by the voxel size; null where the weights sum to zero."""
     v = _c(value).cast("double")

@@ -11,16 +11,25 @@ INNER = (0.1, 0.2, 0.25, 0.3, 0.4, 0.5, 0.6, 0.7, 0.75, 0.8, 0.9)
 LANDMARKS = {"percentile": (0, 1, 2, 4, 5, 6, 7, 8, 10, 11, 12), "quartile": (0, 3, 6, 9, 12), "median": (0, 6, 12)}
 
 
-def standard_cutoff(cutoff: tuple[float, float], kind: str = "percentile") -> tuple[float, float]:
-    """F-M2: the cutoff inside the first and last inner landmark of the kind, low before high."""
-    low, high = sorted(min(max(c, 0.0), 1.0) for c in cutoff)
-    inner = {"percentile": (0.1, 0.9), "quartile": (0.25, 0.75), "median": (0.5, 0.5)}[kind]
-    return min(low, inner[0] - 1e-5) if low >= inner[0] else low, max(high, inner[1] + 1e-5) if high <= inner[1] else high
+#: The default cutoff, and the bounds that keep cutoffs outside the inner landmarks, by kind.
+DEFAULT_CUTOFF = (0.01, 0.99)
+CUTOFF_BOUNDS = {"quartile": (0.24, 0.76)}
+OTHER_BOUNDS = (0.09, 0.91)
 
 
-def landmarks(df: DataFrame, keys: list[str], value: str, cutoff: tuple[float, float] = (0.01, 0.99)) -> DataFrame:
-    """AG62: an array of 13 exact percentiles of each group, linearly interpolated."""
-    return df.groupBy(*keys).agg(F.percentile(_c(value).cast("double"), F.array(*[F.lit(p) for p in (cutoff[0], *INNER, cutoff[1])])).alias("landmarks"))
+def standard_cutoff(cutoff: tuple[float, ...], kind: str = "percentile") -> tuple[float, float]:
+    """F-M2: the least and largest cutoff within [0, 1], the low one at most and the high one at least at the bounds of
+    the kind; fewer than two different values give the default cutoff."""
+    if len(cutoff) < 2 or len(cutoff) > 2 and len(set(cutoff)) < 2:
+        return DEFAULT_CUTOFF
+    most_low, least_high = CUTOFF_BOUNDS.get(kind, OTHER_BOUNDS)
+    return min(max(0.0, min(cutoff)), most_low), max(min(1.0, max(cutoff)), least_high)
+
+
+def landmarks(df: DataFrame, keys: list[str], value: str, cutoff: tuple[float, ...] = DEFAULT_CUTOFF, kind: str = "percentile") -> DataFrame:
+    """AG62: an array of 13 exact percentiles of each group, linearly interpolated, between the standard cutoffs."""
+    low, high = standard_cutoff(cutoff, kind)
+    return df.groupBy(*keys).agg(F.percentile(_c(value).cast("double"), F.array(*[F.lit(p) for p in (low, *INNER, high)])).alias("landmarks"))
 
 
 def averaged_mapping(marks: DataFrame, by: list[str]) -> DataFrame:
@@ -138,6 +147,7 @@ def smooth_threshold(v: Column, t: Column, mode: str = "high") -> Column:
 def activation(x: Column, name: str) -> Column:
     """F-M14: the parameter-free activations."""
     zero = F.lit(0.0)
+    # fixed values: the scale and the alpha of selu
     return {
         "relu": lambda: F.greatest(x, zero), "relu6": lambda: F.least(F.greatest(x, zero), F.lit(6.0)), "elu": lambda: F.when(x > 0, x).otherwise(F.exp(F.least(x, zero)) - 1),
         "softplus": lambda: F.greatest(x, zero) + F.log1p(F.exp(-F.abs(x))), "softsign": lambda: x / (F.abs(x) + 1), "sigmoid": lambda: 1 / (1 + F.exp(-x)), "tanh": lambda: F.tanh(x),

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .catalog import SUBJECT, global_rank, portable_key
+from .volume import AXES, scaled_windows, zoom
 from .windows import uniform_windows
 
 _c = F.col
@@ -41,6 +42,13 @@ def pairwise_windows(fixed: DataFrame, moving: DataFrame, key: str, window: tupl
     return uniform_windows(same.select(key, "X", "Y", "Z"), key, window, n, seed)
 
 
+def pairwise_resized(fixed: DataFrame, moving: DataFrame, keys: list[str], fixed_shape, moving_shape, window: tuple[int, int, int]) -> DataFrame:
+    """WS20: the moving volume zoomed linearly to the fixed one's shape, and both scaled to one window: fixed, moving by voxel."""
+    as_fixed = zoom(moving, keys, moving_shape, fixed_shape, 1)
+    a, b = (scaled_windows(v, keys, fixed_shape, window) for v in (fixed, as_fixed))
+    return a.withColumnRenamed("value", "fixed").join(b.withColumnRenamed("value", "moving"), [*keys, *AXES])
+
+
 def categorical(rows: DataFrame, label: str, name: str = "code") -> DataFrame:
     """F-M9: labels as codes 0, 1, ... in sorted order; null stays null."""
     known = rows.where(_c(label).isNotNull()).select(label).distinct()

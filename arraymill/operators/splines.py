@@ -5,6 +5,7 @@ Spark groups voxels by volume and each task works on whole volumes in numpy; a v
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 import numpy as np
@@ -64,7 +65,7 @@ def elastic(vox: DataFrame, keys: list[str], shape, controls: int = 4, sigma: fl
     """
 
     def move(a: np.ndarray, key: tuple) -> np.ndarray:
-        rng = np.random.default_rng([seed, *[abs(hash(str(k))) % 2**32 if not isinstance(k, (int, np.integer)) else int(k) % 2**32 for k in key]])
+        rng = np.random.default_rng([seed, *[zlib.crc32(str(k).encode()) if not isinstance(k, (int, np.integer)) else int(k) % 2**32 for k in key]])
         mats = [spline_matrix(controls, np.linspace(0, controls - 1, n) if n > 1 else np.zeros(1)) for n in shape]
         at = [g + np.einsum("xi,yj,zk,ijk->xyz", *mats, rng.normal(0, sigma, (controls,) * 3)) for g in np.indices(shape)]
         low = [np.clip(np.floor(p), 0, n - 1).astype(int) for p, n in zip(at, shape, strict=True)]
@@ -79,21 +80,29 @@ def elastic(vox: DataFrame, keys: list[str], shape, controls: int = 4, sigma: fl
     return _per_volume(vox, keys, shape, move)
 
 
-def crf(vox: DataFrame, keys: list[str], shape, rounds: int = 5, width: float = 1.0, contrast: float = 0.5, weight: float = 1.0) -> DataFrame:
+def crf(vox: DataFrame, keys: list[str], shape, rounds: int = 5, width: float = 1.0, contrast: float = 0.5, weight: float = 1.0, tile: int = 1 << 22) -> DataFrame:
     """RS10: mean-field smoothing of a foreground log-odds map with a gaussian kernel over place and value.
 
-    The kernel is exact and quadratic in the voxels of one volume, so it is meant for small volumes.
+    The kernel is exact. It is never held whole: rows of about `tile` entries are made when they are used, so memory is
+    linear in the voxels of a volume; the work stays quadratic, so this is meant for small volumes.
     """
 
     def smooth(a: np.ndarray, _: tuple) -> np.ndarray:
         place = np.stack(np.indices(shape), axis=-1).reshape(-1, 3).astype(float)
         value = a.reshape(-1)
-        kernel = np.exp(-((place[:, None] - place[None]) ** 2).sum(-1) / (2 * width**2) - (value[:, None] - value[None]) ** 2 / (2 * contrast**2))
-        np.fill_diagonal(kernel, 0)
-        kernel /= np.maximum(kernel.sum(axis=1, keepdims=True), 1e-12)
+        step = max(1, tile // len(value))
+
+        def averages(v: np.ndarray) -> np.ndarray:
+            out = np.empty(len(v))
+            for i in range(0, len(v), step):
+                rows = np.exp(-((place[i : i + step, None] - place[None]) ** 2).sum(-1) / (2 * width**2) - (value[i : i + step, None] - value[None]) ** 2 / (2 * contrast**2))
+                rows[np.arange(len(rows)), np.arange(i, i + len(rows))] = 0
+                out[i : i + step] = rows @ v / np.maximum(rows.sum(axis=1), 1e-12)
+            return out
+
         q = 1 / (1 + np.exp(-value))
         for _ in range(rounds):
-            q = 1 / (1 + np.exp(-(value + weight * kernel @ (2 * q - 1))))
+            q = 1 / (1 + np.exp(-(value + weight * averages(2 * q - 1))))
         return q.reshape(shape)
 
     return _per_volume(vox, keys, shape, smooth)

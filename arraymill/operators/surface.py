@@ -6,9 +6,11 @@ from itertools import product
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import cut
+from .links import roots
 from .volume import AXES
 
 _c = F.col
@@ -30,14 +32,28 @@ def border(mask: DataFrame, keys: list[str]) -> DataFrame:
     return mask.select(*at).join(near, at, "left").where(F.coalesce("__n", F.lit(0)) < 6).select(*at)
 
 
-def border_distances(a: DataFrame, b: DataFrame, keys: list[str], pixdim: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> DataFrame:
+def border_distances(a: DataFrame, b: DataFrame, keys: list[str], pixdim: tuple[float, float, float] = (1.0, 1.0, 1.0), cell: int = 8) -> DataFrame:
     """AG24: for every border voxel of a, the distance to the nearest of b in the same group (none: no row).
 
-    Pairs are made inside a group only, between border voxels only.
+    Voxels are dealt to cells of cell^3. Boxes around the voxels of two cells bound all their distances from below and
+    above, so a cell of a keeps only cells of b that can hold a nearest voxel; voxels are paired inside these. Pairs of
+    boxes are fewer than pairs of voxels by the fourth power of the cell size, and distances are exact.
     """
-    other = b.select(*keys, *[_c(x).alias(f"__{x}") for x in AXES])
-    d2 = sum((F.pow((_c(x) - _c(f"__{x}")) * p, 2) for x, p in zip(AXES, pixdim, strict=True)), F.lit(0.0))
-    return a.join(other, keys).groupBy(*keys, *AXES).agg(F.sqrt(F.min(d2)).alias("distance"))
+    def dealt(df: DataFrame, p: str) -> DataFrame:
+        return df.select(*keys, *[F.floor(_c(x) / cell).cast("int").alias(f"__{p}c{x}") for x in AXES], *[_c(x).alias(f"__{p}{x}") for x in AXES])
+
+    cells = {p: [f"__{p}c{x}" for x in AXES] for p in "ab"}
+    voxels = {"a": dealt(a, "a"), "b": dealt(b, "b")}
+    boxes = {p: v.groupBy(*keys, *cells[p]).agg(*[f(f"__{p}{x}").alias(f"__{p}{n}{x}") for x in AXES for n, f in (("lo", F.min), ("hi", F.max))]) for p, v in voxels.items()}
+    square = lambda of: sum((F.pow(of(x) * p, 2) for x, p in zip(AXES, pixdim, strict=True)), F.lit(0.0))
+    least = square(lambda x: F.greatest(_c(f"__blo{x}") - _c(f"__ahi{x}"), _c(f"__alo{x}") - _c(f"__bhi{x}"), F.lit(0)))
+    most = square(lambda x: F.greatest(_c(f"__bhi{x}") - _c(f"__alo{x}"), _c(f"__ahi{x}") - _c(f"__blo{x}")))
+    pairs = boxes["a"].join(boxes["b"], keys).select(*keys, *cells["a"], *cells["b"], least.alias("__least"), most.alias("__most"))
+    bound = F.min("__most").over(Window.partitionBy(*keys, *cells["a"]))
+    near = pairs.withColumn("__bound", bound).where("__least <= __bound").select(*keys, *cells["a"], *cells["b"])
+    joined = voxels["a"].join(near, [*keys, *cells["a"]]).join(voxels["b"], [*keys, *cells["b"]])
+    nearest = joined.groupBy(*keys, *[f"__a{x}" for x in AXES]).agg(F.sqrt(F.min(square(lambda x: _c(f"__a{x}") - _c(f"__b{x}")))).alias("distance"))
+    return nearest.select(*keys, *[_c(f"__a{x}").alias(x) for x in AXES], "distance")
 
 
 def surface_distances(seg: DataFrame, ref: DataFrame, keys: list[str], pixdim=(1.0, 1.0, 1.0)) -> DataFrame:
@@ -76,18 +92,42 @@ def _labels(x: np.ndarray, y: np.ndarray, z: np.ndarray) -> np.ndarray:
     return out
 
 
-def components(mask: DataFrame, keys: list[str]) -> DataFrame:
+#: Voxels of a tile along each axis, and the bits of a tile's place on an axis and of a label in it.
+TILE, _PLACE_BITS, _LABEL_BITS = 64, 15, 18
+
+
+def components(mask: DataFrame, keys: list[str], tile: int = TILE) -> DataFrame:
     """AG28: mask voxels with `component` 1, 2, ... (face connectivity, numbered by first voxel in C order).
 
-    Components never cross a group, so each group is labelled in one task; a group must fit in that task's memory.
+    Volumes are labelled tile by tile, each tile of at most tile^3 voxels in one task; labels that touch across a face
+    of two tiles are linked, and linked labels get one root by distributed star steps. Where all voxels lie in the first
+    tile, its labels are the result. Coordinates are not negative and below tile * 2^15.
     """
-    rows = mask.select(*keys, *AXES)
+    tiles = [f"__t{a}" for a in AXES]
+    rows = mask.select(*keys, *AXES, *[F.floor(_c(a) / tile).cast("int").alias(t) for a, t in zip(AXES, tiles, strict=True)])
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", component int"
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         return pdf.assign(component=_labels(*(pdf[a].to_numpy() for a in AXES)).astype("int32"))
 
-    return rows.groupBy(*keys).applyInPandas(run, schema)
+    one = rows.groupBy(*keys, *tiles).applyInPandas(run, schema)
+    if rows.where(F.greatest(*tiles) > 0).isEmpty():
+        return one.select(*keys, *AXES, "component")
+    place = F.lit(0).cast("long")
+    for t in tiles:
+        place = place * 2**_PLACE_BITS + _c(t)
+    labelled = cut(one.select(*keys, *AXES, (place * 2**_LABEL_BITS + _c("component")).alias("node")))
+    linked = None
+    for a in AXES:
+        low = labelled.where(_c(a) % tile == tile - 1).select(*keys, *[(_c(x) + 1 if x == a else _c(x)).alias(x) for x in AXES], _c("node").alias("u"))
+        high = labelled.where(_c(a) % tile == 0).select(*keys, *AXES, _c("node").alias("v"))
+        met = low.join(high, [*keys, *AXES]).select(*keys, "u", "v").distinct()
+        linked = met if linked is None else linked.unionByName(met)
+    nodes = labelled.groupBy(*keys, "node").agg(F.min(F.struct(*AXES)).alias("__first")).join(roots(linked, keys), [*keys, "node"], "left").withColumn("root", F.coalesce("root", "node"))
+    number = F.row_number().over(Window.partitionBy(*keys).orderBy("__first"))
+    numbers = nodes.groupBy(*keys, "root").agg(F.min("__first").alias("__first")).select(*keys, "root", number.alias("component"))
+    named = nodes.select(*keys, "node", "root").join(numbers, [*keys, "root"]).select(*keys, "node", "component")
+    return labelled.join(named, [*keys, "node"]).select(*keys, *AXES, "component")
 
 
 def component_sizes(labelled: DataFrame, keys: list[str]) -> DataFrame:
@@ -190,13 +230,12 @@ def filled(mask: DataFrame, spine: DataFrame, keys: list[str], shape: tuple[int,
 
 
 def label_spine(subjects: DataFrame, labels: DataFrame) -> DataFrame:
-    """Subjects x labels; the labels are a short list of classes, given as a table of literals."""
-    values = [r[0] for r in labels.limit(1001).collect()]
-    if len(values) > 1000:
-        raise ValueError("too many labels for a spine")
+    """Subjects x distinct labels: the labels, one row with their set after a map-side aggregate, are broadcast."""
     name = labels.columns[0]
-    return subjects.select("*", F.explode(F.array(*[F.lit(v) for v in values])).alias(name))
+    classes = labels.agg(F.array_sort(F.collect_set(name)).alias("__labels"))
+    return subjects.join(F.broadcast(classes), F.lit(True)).withColumn(name, F.explode("__labels")).drop("__labels")
 
 
-#: Shifts of the co-occurrence neighbourhood, the centre first.
+#: Shifts of the co-occurrence neighbourhood: the centre, the six face neighbours, then all other 20 neighbours in the
+#: order of product(). Features are averaged over shifts, so that order does not matter for whole neighbourhoods.
 SHIFTS = [(0, 0, 0), *_STEPS, *[s for s in product((-1, 0, 1), repeat=3) if sum(map(abs, s)) > 1]]

@@ -7,6 +7,8 @@ aggregates on it; every one keeps the key in its grouping, so volumes are proces
 from __future__ import annotations
 
 import math
+import random
+from dataclasses import dataclass
 from itertools import product
 
 from pyspark.sql import Column, DataFrame, Window
@@ -61,31 +63,40 @@ def crop(vox: DataFrame, low: dict[str, int], high: dict[str, int]) -> DataFrame
     return vox
 
 
-def _reflected(i: Column, n: int, mode: str) -> Column:
+def _congruent(i: Column, period: int, low: int, high: int) -> Column:
+    """The integers of [low, high) that are i modulo the period, as an array."""
+    first = F.lit(low) + F.pmod(i - low, F.lit(period))
+    return F.when(first < high, F.sequence(first.cast("int"), F.lit(high - 1), F.lit(period))).otherwise(F.array().cast("array<int>"))
+
+
+def _shown_at(i: Column, n: int, before: int, after: int, mode: str) -> Column:
+    """The places of [-before, n + after) that show voxel i of an axis of n voxels, as an array: arithmetic, no trial."""
+    low, high = -before, n + after
     if mode == "edge":
-        return F.least(F.greatest(i, F.lit(0)), F.lit(n - 1))
+        return F.sequence(F.when(i == 0, F.lit(low)).otherwise(i).cast("int"), F.when(i == n - 1, F.lit(high - 1)).otherwise(i).cast("int"))
     if mode == "wrap":
-        return F.pmod(i, F.lit(n))
+        return _congruent(i, n, low, high)
     if mode == "symmetric":
-        j = F.pmod(i, F.lit(2 * n))
-        return F.when(j < n, j).otherwise(2 * n - 1 - j)
+        return F.concat(_congruent(i, 2 * n, low, high), _congruent(2 * n - 1 - i, 2 * n, low, high))
     period = max(1, 2 * n - 2)
-    j = F.pmod(i, F.lit(period))
-    return F.when(j < n, j).otherwise(period - j)
+    return F.array_distinct(F.concat(_congruent(i, period, low, high), _congruent(period - i, period, low, high)))
+
+
+def _moved(places: Column, by: int) -> Column:
+    return F.transform(places, lambda t: (t + by).cast("int"))
 
 
 def pad(vox: DataFrame, keys: list[str], shape: tuple[int, int, int], border: tuple[int, int, int], mode: str = "minimum", fill: float = 0.0, after: tuple[int, int, int] | None = None) -> DataFrame:
     """F-A1: pads each axis by border (and `after` behind, if given), axis after axis.
 
-    Modes: constant, edge, wrap, symmetric, reflect (index arithmetic: each voxel goes to the places that show it), and
+    Modes: constant, edge, wrap, symmetric, reflect (each voxel goes to its own place and the border places that show it), and
     minimum, maximum, mean (one aggregate a line).
     """
     for a, n, b, e in zip(AXES, shape, border, after or border, strict=True):
         if not b and not e:
             continue
         if mode in ("edge", "wrap", "symmetric", "reflect"):
-            vox = vox.withColumn("__to", F.explode(F.array(*[F.lit(i) for i in range(-b, n + e)]))).where(_reflected(_c("__to"), n, mode) == _c(a))
-            vox = vox.withColumn(a, (_c("__to") + b).cast("int")).drop("__to")
+            vox = vox.withColumn(a, F.explode(_moved(_shown_at(_c(a), n, b, e, mode), b)))
             continue
         outside = F.explode(F.array(*[F.lit(i).cast("int") for i in [*range(b), *range(n + b, n + b + e)]]))
         lines = [*keys, *[x for x in AXES if x != a]]
@@ -163,15 +174,18 @@ def kernel(kind: str, sigma: float, truncate: float = 3.0) -> list[float]:
 
 def smooth(vox: DataFrame, keys: list[str], sigma: float, kind: str = "gaussian", truncate: float = 3.0) -> DataFrame:
     """F-A14: separable smoothing, zero outside: three window passes with one weight a neighbour."""
-    weights = kernel(kind, sigma, truncate)
-    tail = len(weights) // 2
     for a in AXES:
-        w = Window.partitionBy(*keys, *[x for x in AXES if x != a]).orderBy(a)
-        total = sum((F.coalesce(F.lag("value", -i).over(w) if i else _c("value"), F.lit(0.0)) * F.lit(weights[i + tail]) for i in range(-tail, tail + 1)), F.lit(0.0))
-        vox = vox.withColumn("__s", total).drop("value").withColumnRenamed("__s", "value")
+        vox = _smooth_axis(vox, keys, a, kernel(kind, sigma, truncate))
     return vox
 
 
+def _smooth_axis(vox: DataFrame, keys: list[str], axis: str, weights: list[float]) -> DataFrame:
+    tail = len(weights) // 2
+    w = Window.partitionBy(*keys, *[x for x in AXES if x != axis]).orderBy(axis)
+    total = sum((F.coalesce(F.lag("value", -i).over(w) if i else _c("value"), F.lit(0.0)) * F.lit(weights[i + tail]) for i in range(-tail, tail + 1)), F.lit(0.0))
+    return vox.withColumn("__s", total).drop("value").withColumnRenamed("__s", "value")
+
+
 def pool(vox: DataFrame, keys: list[str], shape: tuple[int, int, int], how: str = "max", size: int = 3, stride: int = 2) -> DataFrame:
     """F-A17: overlapping pooling with SAME borders: each voxel goes to the windows it is in; "constant" picks by stride."""
     if how == "constant":
@@ -306,6 +320,111 @@ def zoom(vox: DataFrame, keys: list[str], shape, to, order: int = 1) -> DataFram
     return out.select(*keys, *[_c(f"{a}0").alias(a) for a in AXES], "value")
 
 
+def scaled_windows(vox: DataFrame, keys: list[str], shape, window: tuple[int, int, int]) -> DataFrame:
+    """WS20: a volume as one window: the voxel of a window at i shows the volume at i * size / window, linearly, edges repeated."""
+    matrix = [[shape[r] / window[r] if r == c else 0.0 for c in range(4)] for r in range(3)]
+    points = affine_points(vox, keys, window, matrix)
+    return resample_linear(vox, points, keys, shape, "replicate").select(*keys, *[_c(f"{a}0").alias(a) for a in AXES], "value")
+
+
+def restored(vox: DataFrame, keys: list[str], shape, target: str, source: str, source_shape, order: int = 1) -> DataFrame:
+    """SK3: a result in a run's orientation and sizes back on the grid of its source image: resampled to the source's
+    number of voxels along its axes, then turned to its orientation. source_shape: as the source file has it."""
+    turned = orientation(source, target)
+    grid = tuple(source_shape[i] for i, _ in turned)
+    out = zoom(vox, keys, shape, grid, order) if tuple(shape) != grid else vox
+    return reorient(out, grid, target, source)
+
+
+def antialias_sigma(zoom_by: tuple[float, float, float]) -> tuple[float, float, float] | None:
+    """F-A5: widths of the gaussian before a shrinking zoom; none unless all axes shrink."""
+    if not all(z < 1 for z in zoom_by):
+        return None
+    return tuple(math.sqrt((1 / z) ** 2 - 1) / (2 * math.sqrt(2 * math.log(2))) for z in zoom_by)
+
+
+def random_zoom(low: float, high: float, seed: int, isotropic: bool = False) -> tuple[float, float, float]:
+    """F-A5, U6: a seeded draw of the factors of a scaling by low to high percent (low above -100)."""
+    rng = random.Random(seed)
+    percent = [rng.uniform(max(low, -99.9), high)] * 3 if isotropic else [rng.uniform(max(low, -99.9), high) for _ in range(3)]
+    return tuple((p + 100.0) / 100.0 for p in percent)
+
+
+def rescaled(vox: DataFrame, keys: list[str], shape, zoom_by: tuple[float, float, float], order: int = 1, antialias: bool = True) -> DataFrame:
+    """F-A5: a volume scaled by the factors of each axis, smoothed first where all shrink; order 0 or 1."""
+    sigma = antialias_sigma(zoom_by) if antialias else None
+    if sigma:
+        vox = smooth_reflected(vox, keys, shape, sigma)
+    return zoom(vox, keys, shape, tuple(max(1, round(n * z)) for n, z in zip(shape, zoom_by, strict=True)), order)
+
+
+def smooth_reflected(vox: DataFrame, keys: list[str], shape, sigma: tuple[float, float, float], truncate: float = 4.0) -> DataFrame:
+    """A gaussian with a width for each axis, the volume mirrored at its faces (edge voxels repeated)."""
+    tails = tuple(len(kernel("gaussian", s, truncate)) // 2 if s > 0 else 0 for s in sigma)
+    vox = pad(vox, keys, shape, tails, "symmetric")
+    for a, s in zip(AXES, sigma, strict=True):
+        if s > 0:
+            vox = _smooth_axis(vox, keys, a, kernel("gaussian", s, truncate))
+    return crop(vox, dict(zip(AXES, tails, strict=True)), {a: t + n for a, t, n in zip(AXES, tails, shape, strict=True)})
+
+
+def corner_affine(shape, scale: float, seed: int) -> list[list[float]]:
+    """F-A21: the affine that moves the eight corners of a volume to corners drawn inwards by up to `scale`, in the least
+    squares sense; on voxel coordinates. scale 0 is the identity."""
+    rng = random.Random(seed)
+    scale = min(max(float(scale), 0.0), 1.0)
+    corners = [c for c in product((-1.0, 1.0), repeat=3)]
+    moved = [[v * rng.uniform(1.0 - scale, 1.0) for v in c] for c in corners]
+    # corners are orthogonal: the least squares slope of row r on axis c is the mean of corner[c] * moved[r], its offset the mean
+    slope = [[sum(k[c] * m[r] for k, m in zip(corners, moved, strict=True)) / 8 for c in range(3)] for r in range(3)]
+    offset = [sum(m[r] for m in moved) / 8 for r in range(3)]
+    half = [(n - 1) / 2 for n in shape]
+    out = []
+    for r in range(3):
+        row = [slope[r][c] * half[r] / half[c] if half[c] else 0.0 for c in range(3)]
+        out.append([*row, half[r] * (1 + offset[r] - sum(slope[r][c] for c in range(3) if half[c]))])
+    return out
+
+
+@dataclass(frozen=True)
+class AffineConstraints:
+    """RS7, SE7: fixed entries of a 3 x 4 affine matrix; None is free."""
+
+    rows: tuple[tuple[float | None, ...], ...] = ((None,) * 4,) * 3
+
+    @property
+    def free(self) -> int:
+        return sum(v is None for row in self.rows for v in row)
+
+    def __and__(self, other: AffineConstraints) -> AffineConstraints:
+        """Both sets of constraints; different fixed values are an error."""
+
+        def both(x, y):
+            if x is not None and y is not None and x != y:
+                raise ValueError(f"constraints disagree: {x} and {y}")
+            return y if x is None else x
+
+        return AffineConstraints(tuple(tuple(map(both, a, b)) for a, b in zip(self.rows, other.rows, strict=True)))
+
+    def matrix(self, parameters: list[float]) -> list[list[float]]:
+        """The matrix whose free entries, row by row, are the parameters."""
+        left = list(parameters)
+        if len(left) != self.free:
+            raise ValueError(f"{self.free} parameters are free, {len(left)} are given")
+        return [[left.pop(0) if v is None else v for v in row] for row in self.rows]
+
+
+def field_warped(vox: DataFrame, field: list[DataFrame], keys: list[str], shape, coarse, order: int = 1, mode: str = "replicate") -> DataFrame:
+    """RS8: a volume resampled at its grid moved by a coarse displacement field, one voxel view an axis, linearly zoomed to
+    the volume's shape; order 0 takes the nearest displacement."""
+    moved = None
+    for a, f in zip(AXES, field, strict=True):
+        fine = zoom(f, keys, coarse, shape, order).select(*keys, *AXES, _c("value").alias(f"d{a}"))
+        moved = fine if moved is None else moved.join(fine, [*keys, *AXES])
+    points = moved.select(*keys, *[_c(a).alias(f"{a}0") for a in AXES], *[(_c(a) + _c(f"d{a}")).alias(f"p{a}") for a in AXES])
+    return resample_linear(vox, points, keys, shape, mode).select(*keys, *[_c(f"{a}0").alias(a) for a in AXES], "value")
+
+
 def bias_field(vox: DataFrame, shape, coefficients: dict[tuple[int, int, int], float]) -> DataFrame:
     """F-A6: v * exp(sum c_ijk x^i y^j z^k), coordinates scaled to [0, 1]."""
     at = [_c(a) / F.lit(float(max(1, n - 1))) for a, n in zip(AXES, shape, strict=True)]

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .catalog import portable_key
+from .catalog import global_rank, portable_key
 from .volume import AXES, pad
 
 _c = F.col
@@ -47,22 +47,44 @@ def grid_windows(images: DataFrame, key: str, window: tuple[int, int, int], bord
     return rows.select(key, seq.cast("int").alias("seq"), "x0", "y0", "z0", *[(_c(f"{a}0") + w).cast("int").alias(f"{a}1") for a, w in zip(AXES, window, strict=True)])
 
 
+def _step(window: int, border: int) -> int:
+    return max(1, max(window - 2 * max(border, 0), 0))
+
+
 def _starts(axis: str, window: int, border: int) -> Column:
-    step = max(1, max(window - 2 * max(border, 0), 0))
-    return step_points_column(_c(axis.upper()), window, step).alias(f"{axis}s")
+    return step_points_column(_c(axis.upper()), window, _step(window, border)).alias(f"{axis}s")
 
 
 def cut_windows(vox: DataFrame, images: DataFrame, key: str, window: tuple[int, int, int], border: tuple[int, int, int] = (0, 0, 0)) -> DataFrame:
     """WS3, J17: voxels of every grid window, with x, y, z inside the window and its seq and x0, y0, z0.
 
-    A voxel finds its windows by arithmetic on the few starts of each axis, so the join with the images is an
-    equi-join on the key and no range join is made.
+    A voxel meets its image by an equi-join on the key and finds the windows that cover it by arithmetic: the first and
+    the last step that reach it, and the start at the far end. It is exploded to these alone, and no range join is made.
     """
-    rows = vox.join(images.select(key, *[_starts(a, w, b) for a, w, b in zip(AXES, window, border, strict=True)], F.lit(0).alias("__0")), key)
-    for a, w in zip(AXES, window, strict=True):
-        rows = rows.select("*", F.posexplode(f"{a}s").alias(f"i{a}", f"{a}0")).where((_c(a) >= _c(f"{a}0")) & (_c(a) < _c(f"{a}0") + w))
-    seq = (_c("iy") * F.size("xs") + _c("ix")) * F.size("zs") + _c("iz")
-    return rows.select(key, seq.cast("int").alias("seq"), *[f"{a}0" for a in AXES], *[(_c(a) - _c(f"{a}0")).alias(a) for a in AXES], "value")
+    sizes = images.select(key, *[_c(a.upper()).alias(f"__{a}") for a in AXES])
+    rows = vox.join(sizes, key)
+    for a, w, b in zip(AXES, window, border, strict=True):
+        rows = rows.withColumn(f"__{a}s", F.explode(covering(_c(a), _c(f"__{a}"), w, _step(w, b))))
+    count = lambda a, w, b: F.size(step_points_column(_c(f"__{a}"), w, _step(w, b)))
+    seq = (_c("__ys.i") * count("x", window[0], border[0]) + _c("__xs.i")) * count("z", window[2], border[2]) + _c("__zs.i")
+    return rows.select(key, seq.cast("int").alias("seq"), *[_c(f"__{a}s.start").alias(f"{a}0") for a in AXES], *[(_c(a) - _c(f"__{a}s.start")).alias(a) for a in AXES], "value")
+
+
+def covering(at: Column, end: Column, window: int, step: int) -> Column:
+    """The windows of one axis of size `end` that cover place `at`: an array of (i, start), i the place in step order."""
+    last = F.greatest(end - window, F.lit(0)).cast("int")
+    steps = F.floor(last / step).cast("int")  # regular starts are 0, step, ..., steps * step
+    first_in, last_in = F.greatest(F.ceil((at - window + 1) / step), F.lit(0)).cast("int"), F.least(F.floor(at / step), steps).cast("int")
+    none = F.array().cast("array<struct<i:int,start:int>>")
+    pair = lambda i, start: F.struct(i.cast("int").alias("i"), start.cast("int").alias("start"))
+    regular = F.when(first_in <= last_in, F.transform(F.sequence(first_in, last_in), lambda i: pair(i, i * step))).otherwise(none)
+    covers = lambda start: (at >= start) & (at < start + window)
+    odd = last % step != 0
+    far = F.when(odd & covers(last), F.array(pair(steps + 1, last))).otherwise(none)
+    # of exactly two starts, 0 and last, their half-even mean is the third, where it is another one
+    middle = F.bround(last / 2.0).cast("int")
+    two = (steps + odd.cast("int") == 1) & (middle != 0) & (middle != last)
+    return F.concat(regular, far, F.when(two & covers(middle), F.array(pair(F.lit(2), middle))).otherwise(none))
 
 
 def crop_windows(cut: DataFrame, window: tuple[int, int, int], border: tuple[int, int, int]) -> DataFrame:
@@ -273,6 +295,15 @@ def repeated(rows: DataFrame, epochs: int) -> DataFrame:
     return rows.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
 
 
+def shuffled(rows: DataFrame, key: str, seed: int = 0, buffer: int | None = None, order: str | None = None) -> DataFrame:
+    """SO3: rows with a seeded `position` 0, 1, ...: a portable pseudo-random order of all rows, or, with a buffer, the
+    order of an integer column in which a row moves ahead only of rows less than `buffer` places before it.
+    """
+    u = portable_key(portable_key(_c(key) * 7919 + seed))
+    by = [u, _c(key)] if buffer is None else [_c(order) * F.lit(2147483648) + u * F.lit(buffer), _c(order)]
+    return global_rank(rows, by).withColumn("position", _c("rank") - 1).drop("rank")
+
+
 def mix_match(rows: DataFrame, group: str, key: str, volume: str) -> DataFrame:
     """SO2: inside a group, the smallest volume meets the largest, and so on: (group, a, b)."""
     up = F.row_number().over(Window.partitionBy(group).orderBy(volume, key))

@@ -1,4 +1,4 @@
-"""Evaluation runs: metric names to plans, units, roll-ups (AG31, AG32, AG73, AG74, J13, J18, U1, U2, U9, U10)."""
+"""Evaluation runs: metric names to plans, units, roll-ups (AG31, AG32, AG73, AG74, J18, U1)."""
 
 from __future__ import annotations
 
@@ -48,6 +48,8 @@ def evaluate_segmentation(vox: DataFrame, subject: str, names: tuple[str, ...] =
     """
     look_up(unit, list(UNITS))
     names = names or DEFAULTS["segmentation"]
+    if unit == "cc" and set(names) & set(DISTANCES):
+        raise ValueError("components have no distances: ask for them with foreground or label")
     overlap = [n for n in names if n not in DISTANCES]
     for n in overlap:
         look_up(n, [*M.OVERLAP, *M.ALIASES, "tp", "fp", "fn", "tn"])

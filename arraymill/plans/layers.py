@@ -1,4 +1,4 @@
-"""Transforms as layers, and named extension points."""
+"""Transforms as layers (U4-U8), and registries of named factories."""
 
 from __future__ import annotations
 
@@ -74,7 +74,8 @@ def seeded_flip(shape, probability: float, seed: int, key: str) -> Layer:
 
 
 class Registry:
-    """Named factories of a kind; unknown names are answered with the nearest."""
+    """Named factories of one kind, here layers; plans/runs.py has those of samplers, metrics and applications. Unknown
+    names are answered with the nearest."""
 
     def __init__(self, kind: str):
         self.kind, self._made = kind, {}

@@ -97,6 +97,30 @@ def _opencv(cv2, raw):
     return a[..., ::-1] if a.ndim == 3 else a
 
 
+def lps_to_ras(affine: list[float]) -> list[float]:
+    """SC10: an affine (16 values) from left-posterior-superior to right-anterior-superior: its first two rows change sign."""
+    return [-v if i < 8 else v for i, v in enumerate(affine)]
+
+
+def decode_sitk(raw: bytes) -> dict:
+    """SC10: by SimpleITK, where it is installed: axes in x, y, z order, the affine of origin, spacing and direction in RAS."""
+    import os
+    import tempfile
+
+    import SimpleITK  # noqa: N813
+
+    with tempfile.TemporaryDirectory() as folder:  # the library reads files only; gone before the batch is
+        path = os.path.join(folder, "image.nii.gz" if raw[:2] == b"\x1f\x8b" else "image.nii")
+        with open(path, "wb") as f:
+            f.write(raw)
+        image = SimpleITK.ReadImage(path)
+    a = np.asarray(SimpleITK.GetArrayFromImage(image), np.float32).T
+    spacing, affine = np.array(image.GetSpacing()), np.eye(4)
+    affine[:3, :3] = np.array(image.GetDirection()).reshape(3, 3) * spacing
+    affine[:3, 3] = image.GetOrigin()
+    return {"shape": list(a.shape), "affine": lps_to_ras(affine.reshape(-1).tolist()), "pixdim": spacing.tolist(), "voxels": np.ascontiguousarray(a).reshape(-1)}
+
+
 def _skimage(io_, raw):
     import io
 
@@ -109,6 +133,7 @@ LOADERS: dict[str, Callable[[bytes], dict]] = {
     "pillow": _decode_with("PIL.Image", _pillow),
     "opencv": _decode_with("cv2", _opencv),
     "skimage": _decode_with("skimage.io", _skimage),
+    "simpleitk": decode_sitk,
 }
 
 
@@ -139,7 +164,11 @@ def read_volumes(spark: SparkSession, path: str, pattern: str | None = None, loa
     """SC6, SC12: packed volumes of the files of a folder. One row a file; column pruning leaves voxels undecoded only
     where the file itself is not read, so select paths before decoding."""
     files = spark.read.format("binaryFile")
-    files = (files.option("pathGlobFilter", pattern) if pattern else files).load(path).select("path", "content")
+    return decoded((files.option("pathGlobFilter", pattern) if pattern else files).load(path).select("path", "content"), loader)
+
+
+def decoded(files: DataFrame, loader: str | None = None) -> DataFrame:
+    """SC6, SC12: packed volumes of files (path, content), decoded in Arrow batches of the tasks that hold them."""
     loaders = dict(LOADERS)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

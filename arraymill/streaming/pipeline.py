@@ -1,14 +1,17 @@
-"""Window pipelines as streams (ST1-ST3, ST6-ST8, ST15, ST17, ST19, ST20). Event time is no part of them."""
+"""Window pipelines as streams (ST1-ST3, ST5-ST15, ST17, ST20). Event time is no part of them."""
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.control import MODES
+from ..operators.control import MODES, should_stop
 
 
 def source(spark: SparkSession, path: str, files: int = 1, name: str | None = None) -> DataFrame:
@@ -18,28 +21,77 @@ def source(spark: SparkSession, path: str, files: int = 1, name: str | None = No
     return (reader.option("pathGlobFilter", name) if name else reader).parquet(path)
 
 
-def run(stream: DataFrame, step: Callable[[DataFrame, int], bool | None], checkpoint: str, once: bool = True):
-    """ST6, ST17, ST20: calls step(batch, number) for each micro-batch; False stops the query.
+class Run:
+    """A started stream of steps; `stopped` tells whether a step ended it."""
 
-    Ends at the end of the input if `once`; an error in a step ends the query and is raised by awaitTermination.
+    def __init__(self) -> None:
+        self.stopped, self.query = threading.Event(), None
+
+    def awaitTermination(self, timeout: float | None = None) -> bool:  # noqa: N802 - as StreamingQuery has it
+        """Waits for the end; the error of a step is raised here, the stop that a step asked for is none."""
+        try:
+            ended = self.query.awaitTermination(timeout) if timeout else self.query.awaitTermination()
+        except StreamingQueryException:
+            if not self.stopped.is_set():
+                raise
+            return True
+        return bool(ended) if timeout else True
+
+    def stop(self) -> None:
+        self.query.stop()
+
+
+class _StopRun(Exception):
+    """Ends a query before a batch that comes after the stop; that batch stays unprocessed."""
+
+
+def run(stream: DataFrame, step: Callable[[DataFrame, int], bool | None], checkpoint: str, once: bool = True) -> Run:
+    """ST6, ST17, ST20: calls step(batch, number) for each micro-batch; False stops the query after that batch.
+
+    The batch of the step that says False counts as processed, later ones do not and are there for the next run with the
+    same checkpoint. Ends at the end of the input if `once`; an error in a step ends the query and is raised by
+    awaitTermination.
     """
-    state = {"stopped": False}
+    out = Run()
 
     def each(batch: DataFrame, number: int) -> None:
-        if not state["stopped"] and step(batch, number) is False:
-            state["stopped"] = True
+        if out.stopped.is_set():
+            raise _StopRun
+        if step(batch, number) is False:
+            out.stopped.set()
 
     writer = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if once else writer).start()
+    out.query = (writer.trigger(availableNow=True) if once else writer).start()
+    threading.Thread(target=lambda: (out.stopped.wait(), out.query.stop() if out.query.isActive and not once else None), daemon=True).start()
+    return out
+
+
+def generated(spark: SparkSession, make: Callable[[int], Iterator[pd.DataFrame]], first: int, last: int, schema: str, parts: int = 8) -> DataFrame:
+    """ST2: what a generator gives for the numbers first .. last - 1, made in `parts` tasks at a time. make(number) yields
+    frames; a lost task makes its numbers again, so make must depend on its number alone."""
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for number in batch["id"].tolist():
+                yield from make(number)
+
+    return spark.range(first, last, 1, parts).mapInPandas(each, schema)
+
+
+def inference_steps(spark: SparkSession, rows_per_second: int = 1) -> DataFrame:
+    """ST5: an endless stream of inference iterations: (iteration, phase); it ends only when it is stopped."""
+    rows = spark.readStream.format("rate").option("rowsPerSecond", rows_per_second).load()
+    return rows.select((F.col("value") + 1).alias("iteration"), F.lit("inference").alias("phase"))
 
 
 def stop_signals(losses: DataFrame, key: str, order: str, loss: str, patience: int, mode: str = "mean") -> DataFrame:
-    """ST8, ST15: for a stream of losses, the last `patience` of each key as state, and whether they say stop.
+    """ST8-ST15: for a stream of losses, the last `patience` of each key as state, and whether they say stop by any mode.
 
-    Rows of a micro-batch are taken in `order`. Output (update mode): key, n, stop; stop is null until the history is full.
+    Rows of a micro-batch are taken in `order`. Output (update mode): key, n, stop; stop is null until the history is full
+    and where the rule has nothing to compare.
     """
-    if mode not in MODES[:3]:
-        raise ValueError(f"not kept as a stream: {mode}")
+    if mode not in MODES:
+        raise ValueError(f"unknown mode: {mode}")
     kind = losses.schema[key].dataType.simpleString()
 
     def update(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -47,16 +99,10 @@ def stop_signals(losses: DataFrame, key: str, order: str, loss: str, patience: i
         rows = pd.concat(list(batches)).sort_values(order)
         history = (history + rows[loss].tolist())[-patience:]
         state.update((history,))
-        yield pd.DataFrame({key: [k[0]], "n": [len(history)], "stop": [_stop(history, mode) if len(history) == patience else None]})
-
-    return losses.select(key, order, loss).groupBy(key).applyInPandasWithState(update, f"`{key}` {kind}, n int, stop boolean", "history array<double>", "update", GroupStateTimeout.NoTimeout)
-
+        yield pd.DataFrame({key: [k[0]], "n": [len(history)], "history": [history if len(history) == patience else None]})
 
-def _stop(history: list[float], mode: str) -> bool:
-    rest = pd.Series(history[:-1])
-    if mode == "robust_mean":
-        rest = rest[(rest > rest.quantile(0.05)) & (rest < rest.quantile(0.95))]
-    return bool(history[-1] > (rest.median() if mode == "median" else rest.mean()))
+    kept = losses.select(key, order, loss).groupBy(key).applyInPandasWithState(update, f"`{key}` {kind}, n int, history array<double>", "history array<double>", "update", GroupStateTimeout.NoTimeout)
+    return kept.select(key, "n", F.when(F.col("history").isNotNull(), should_stop(F.col("history"), mode)).alias("stop"))
 
 
 class Signals:
