@@ -84,15 +84,11 @@ def vox_reorient(spark, d):
     return V.reorient(vox(spark, d), SHAPE, "RAS", "PSL")
 
 
-@query(f"WITH {VOX} SELECT vec_id, x, y, z, (4 - x)::INT AS fx, (4 - y)::INT AS fy, z AS fz, (x::FLOAT * 2.5::FLOAT)::DOUBLE::INT AS rx FROM (SELECT * FROM vox WHERE x % 2 = 0)")
-def vox_index_transforms(spark, d):
-    point = [F.col(a) for a in V.AXES]
-    fx, fy, fz = V.reorient_index(point, SHAPE, "RAS", "LPS")
-    rx = V.resample_index(point, (2.5, 1.0, 1.0), (1.0, 1.0, 1.0))[0]
-    return vox(spark, d).where("x % 2 = 0").select("vec_id", "x", "y", "z", fx.alias("fx"), fy.alias("fy"), fz.alias("fz"), rx.alias("rx"))
+_VOX_INDEX_TRANSFORMS_SQL = f"WITH {VOX} SELECT vec_id, x, y, z, (4 - x)::INT AS fx, (4 - y)::INT AS fy, z AS fz, trunc(x::FLOAT * 2.5::FLOAT)::INT AS rx FROM vox"
 
 
-@query(f"WITH {VOX} SELECT vec_id, x, y, z, (4 - x)::INT AS fx, (4 - y)::INT AS fy, z AS fz, trunc(x::FLOAT * 2.5::FLOAT)::INT AS rx FROM vox")
+@query(_VOX_INDEX_TRANSFORMS_SQL)
+@query(_VOX_INDEX_TRANSFORMS_SQL, name="vox_index_transforms")
 def vox_index_transforms_all(spark, d):
     """Of all voxels, also those whose resampled index has a fraction, which is cut off (F-A11)."""
     point = [F.col(a) for a in V.AXES]
@@ -276,22 +272,15 @@ def one_hot(spark, d):
     return rows.select("vec_id", "label", *[F.col("h")[i].alias(f"c{i}") for i in range(10)])
 
 
-@query("""WITH s AS (SELECT l_returnflag, l_suppkey, l_quantity::DOUBLE AS v, l_discount AS w FROM lineitem),
+_REGION_STATS_SQL = """WITH s AS (SELECT l_returnflag, l_suppkey, l_quantity::DOUBLE AS v, l_discount AS w FROM lineitem),
 m AS (SELECT l_returnflag, l_suppkey, avg(v) AS mean, stddev_pop(v) AS sd FROM s GROUP BY ALL)
 SELECT l_returnflag, l_suppkey, min(v) AS min, max(v) AS max, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, round(sum(v*w)/nullif(sum(w),0), 6) AS weighted_mean,
  round(avg(pow((v - mean) / nullif(sd, 0), 3)), 6) AS skewness, round(avg(pow((v - mean) / nullif(sd, 0), 4)) - 3, 6) AS kurtosis, round(quantile_cont(v, 0.5), 6) AS median
-FROM s JOIN m USING (l_returnflag, l_suppkey) GROUP BY ALL HAVING stddev_pop(v) > 0""")
-def region_stats(spark, d):
-    rows = table(spark, d, "lineitem").select("l_returnflag", "l_suppkey", "l_quantity", "l_discount")
-    out = I.region_stats(rows, ["l_returnflag", "l_suppkey"], "l_quantity", F.col("l_discount")).where("std > 0")
-    return out.select("l_returnflag", "l_suppkey", "min", "max", *[F.round(c, 6).alias(c) for c in ("mean", "std", "weighted_mean", "skewness", "kurtosis", "median")])
+FROM s JOIN m USING (l_returnflag, l_suppkey) GROUP BY ALL"""
 
 
-@query("""WITH s AS (SELECT l_returnflag, l_suppkey, l_quantity::DOUBLE AS v, l_discount AS w FROM lineitem),
-m AS (SELECT l_returnflag, l_suppkey, avg(v) AS mean, stddev_pop(v) AS sd FROM s GROUP BY ALL)
-SELECT l_returnflag, l_suppkey, min(v) AS min, max(v) AS max, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, round(sum(v*w)/nullif(sum(w),0), 6) AS weighted_mean,
- round(avg(pow((v - mean) / nullif(sd, 0), 3)), 6) AS skewness, round(avg(pow((v - mean) / nullif(sd, 0), 4)) - 3, 6) AS kurtosis, round(quantile_cont(v, 0.5), 6) AS median
-FROM s JOIN m USING (l_returnflag, l_suppkey) GROUP BY ALL""")
+@query(_REGION_STATS_SQL)
+@query(_REGION_STATS_SQL, name="region_stats")
 def region_stats_all(spark, d):
     """Of all groups; skewness and kurtosis of a group without spread are null."""
     rows = table(spark, d, "lineitem").select("l_returnflag", "l_suppkey", "l_quantity", "l_discount")
@@ -305,17 +294,12 @@ def _mq(p):
     return f"CASE WHEN n = 1 THEN NULL ELSE round((1 - greatest(least({a} - {k}, 1), 0)) * x[{k}::INT] + greatest(least({a} - {k}, 1), 0) * x[{k}::INT + 1], 6) END"
 
 
-@query(f"""WITH s AS (SELECT l_returnflag, l_suppkey, list(l_extendedprice ORDER BY l_extendedprice) AS x, count(*) AS n FROM lineitem GROUP BY ALL)
-SELECT l_returnflag, l_suppkey, {_mq(0.25)} AS q25, {_mq(0.75)} AS q75 FROM s WHERE n > 1""")
-def region_mquantiles(spark, d):
-    lines = _lines(spark, d)
-    several = lines.groupBy("l_returnflag", "l_suppkey").agg(F.count("*").alias("n")).where("n > 1")
-    out = I.mquantiles(lines, ["l_returnflag", "l_suppkey"], "l_extendedprice").join(several, ["l_returnflag", "l_suppkey"], "left_semi")
-    return out.select("l_returnflag", "l_suppkey", F.round("q25", 6).alias("q25"), F.round("q75", 6).alias("q75"))
+_REGION_MQUANTILES_SQL = f"""WITH s AS (SELECT l_returnflag, l_suppkey, list(l_extendedprice ORDER BY l_extendedprice) AS x, count(*) AS n FROM lineitem GROUP BY ALL)
+SELECT l_returnflag, l_suppkey, CASE WHEN n = 1 THEN round(x[1], 6) ELSE {_mq(0.25)} END AS q25, CASE WHEN n = 1 THEN round(x[1], 6) ELSE {_mq(0.75)} END AS q75 FROM s"""
 
 
-@query(f"""WITH s AS (SELECT l_returnflag, l_suppkey, list(l_extendedprice ORDER BY l_extendedprice) AS x, count(*) AS n FROM lineitem GROUP BY ALL)
-SELECT l_returnflag, l_suppkey, CASE WHEN n = 1 THEN round(x[1], 6) ELSE {_mq(0.25)} END AS q25, CASE WHEN n = 1 THEN round(x[1], 6) ELSE {_mq(0.75)} END AS q75 FROM s""")
+@query(_REGION_MQUANTILES_SQL)
+@query(_REGION_MQUANTILES_SQL, name="region_mquantiles")
 def region_mquantiles_all(spark, d):
     """Of all groups, those of one row included."""
     out = I.mquantiles(_lines(spark, d), ["l_returnflag", "l_suppkey"], "l_extendedprice")

@@ -150,7 +150,60 @@ class SegmentationSpec:
     inferred: tuple[str, ...] = ()
 
 
-SECTIONS = {"SYSTEM": SystemSpec, "NETWORK": DataSpec, "TRAINING": TrainingSpec, "INFERENCE": InferenceSpec, "EVALUATION": EvaluationSpec, "SEGMENTATION": SegmentationSpec}
+# Names and defaults of keys are fixed values: the public surface of configurations.
+@dataclass(frozen=True)
+class ClassificationSpec:
+    num_classes: int = -1
+    output_prob: bool = False
+    label_normalisation: bool = False
+    image: tuple[str, ...] = ()
+    label: tuple[str, ...] = ()
+    sampler: tuple[str, ...] = ()
+    inferred: tuple[str, ...] = ()
+
+
+@dataclass(frozen=True)
+class RegressionSpec:
+    loss_border: int = 0
+    error_map: bool = False
+    image: tuple[str, ...] = ()
+    output: tuple[str, ...] = ()
+    weight: tuple[str, ...] = ()
+    sampler: tuple[str, ...] = ()
+    inferred: tuple[str, ...] = ()
+
+
+@dataclass(frozen=True)
+class AutoencoderSpec:
+    inference_type: str = ""
+    noise_stddev: float = 0.0
+    n_interpolations: int = 10
+    image: tuple[str, ...] = ()
+    feature: tuple[str, ...] = ()
+
+
+@dataclass(frozen=True)
+class GanSpec:
+    noise_size: int = -1
+    n_interpolations: int = 10
+    image: tuple[str, ...] = ()
+    conditioning: tuple[str, ...] = ()
+
+
+@dataclass(frozen=True)
+class RegistrationSpec:
+    label_normalisation: bool = False
+    fixed_image: tuple[str, ...] = ()
+    fixed_label: tuple[str, ...] = ()
+    moving_image: tuple[str, ...] = ()
+    moving_label: tuple[str, ...] = ()
+
+
+APPLICATION_SECTIONS = {
+    "SEGMENTATION": SegmentationSpec, "CLASSIFICATION": ClassificationSpec, "REGRESSION": RegressionSpec,
+    "AUTOENCODER": AutoencoderSpec, "GAN": GanSpec, "REGISTRATION": RegistrationSpec,
+}
+SECTIONS = {"SYSTEM": SystemSpec, "NETWORK": DataSpec, "TRAINING": TrainingSpec, "INFERENCE": InferenceSpec, "EVALUATION": EvaluationSpec} | APPLICATION_SECTIONS
 
 
 def parse_value(text: str, kind: str):

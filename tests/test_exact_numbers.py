@@ -13,10 +13,12 @@ from arraymill.plans import spec
 
 
 def test_overlap_case(spark):
-    df = spark.createDataFrame([(1, 1), (0, 0), (1, 0), (0, 0)], "seg int, ref int")
+    """Ten voxels: 3 hits, 2 false, 1 missed, 4 right zeros."""
+    pairs = [(1, 1)] * 3 + [(1, 0)] * 2 + [(0, 1)] + [(0, 0)] * 4
+    df = spark.createDataFrame(pairs, "seg int, ref int")
     r = M.overlap_metrics(M.confusion(df, [], F.col("seg") == 1, F.col("ref") == 1)).first()
-    assert (r.tp, r.tn, r.n_neg_ref, r.n_neg_seg, r.n_union, r.n_intersection) == (1, 2, 3, 2, 2, 1)
-    want = {"sensitivity": 1, "specificity": 2 / 3, "accuracy": 3 / 4, "false_positive_rate": 1 / 3, "positive_predictive_values": 1 / 2, "negative_predictive_values": 1, "jaccard": 1 / 2, "informedness": 2 / 3, "markedness": 1 / 2, "vol_diff_rel": 1}
+    assert (r.tp, r.fp, r.fn, r.tn, r.n_pos_ref, r.n_neg_ref, r.n_pos_seg, r.n_neg_seg, r.n_union, r.n_intersection) == (3, 2, 1, 4, 4, 6, 5, 5, 6, 3)
+    want = {"sensitivity": 3 / 4, "specificity": 4 / 6, "accuracy": 7 / 10, "false_positive_rate": 2 / 6, "positive_predictive_values": 3 / 5, "negative_predictive_values": 4 / 5, "dice": 6 / 9, "jaccard": 3 / 6, "informedness": 3 / 4 + 4 / 6 - 1, "markedness": 3 / 5 + 4 / 5 - 1, "vol_ratio": 5 / 4, "vol_diff_rel": 1 / 4}
     assert {k: pytest.approx(v) for k, v in want.items()} == {k: r[k] for k in want}
 
 
@@ -29,20 +31,30 @@ def test_overlap_of_empty_and_undefined(spark):
 
 
 def test_roc_and_accuracy(spark):
-    rows = [(0, 0.12), (0, 0.24), (1, 0.36), (0, 0.45), (0, 0.61), (1, 0.28), (1, 0.99), (1, 0.89)]
+    """Nine rows; by hand: thresholds k / 9, so that 0.05 is over the first only, 0.2 over two, and so on."""
+    rows = [(1, 0.05), (0, 0.05), (0, 0.2), (0, 0.2), (1, 0.5), (0, 0.5), (1, 0.7), (1, 0.95), (1, 0.95)]
     df = spark.createDataFrame([(1, *r) for r in rows], "k int, y int, p double")
-    assert M.roc_auc(df, ["k"], F.col("p"), F.col("y") == 1).first().auc == pytest.approx(0.71875)
-    t = {round(r.threshold, 3): r for r in M.roc_table(df, ["k"], F.col("p"), F.col("y") == 1).collect()}
-    assert (t[0.444].fp, t[0.444].specificity, t[0.444].sensitivity) == (2, 0.5, 0.5)
-    hard = M.accuracy(df, ["k"], (F.col("p") > 0.5).cast("int"), F.col("y")).first()
-    assert hard.accuracy == pytest.approx(0.625)
+    t = {r.point: r for r in M.roc_table(df, ["k"], F.col("p"), F.col("y") == 1).collect()}
+    over = lambda k, y: sum(p > k / 9 for c, p in rows if c == y)
+    assert {k: (r.tp, r.fp, r.fn, r.tn) for k, r in t.items()} == {k: (over(k, 1), over(k, 0), 5 - over(k, 1), 4 - over(k, 0)) for k in range(10)}
+    curve = [(over(k, 0) / 4, over(k, 1) / 5) for k in range(9, -1, -1)]
+    area = sum((x1 - x0) * (y0 + y1) / 2 for (x0, y0), (x1, y1) in zip(curve, curve[1:]))
+    assert M.roc_auc(df, ["k"], F.col("p"), F.col("y") == 1).first().auc == pytest.approx(area)
+    # by hand, the points are (0, 0), (0, 0.4), (0, 0.6), (0.25, 0.8), (0.75, 0.8), (1, 1)
+    assert area == pytest.approx(0.25 * 0.7 + 0.5 * 0.8 + 0.25 * 0.9)
+    hard = M.accuracy(df, ["k"], (F.col("p") > 0.6).cast("int"), F.col("y")).first()
+    assert hard.accuracy == pytest.approx(7 / 9)
 
 
 def test_regression(spark):
-    ref, out = [1, 0.2, 2, 1, 0.9, 0.2, 3, 2], [1, 0.3, 2, 1, 0.9, 0.2, 3, 2]
-    df = spark.createDataFrame([(1, float(a), float(b)) for a, b in zip(out, ref, strict=True)], "k int, o double, r double")
+    out, ref = [2.0, -1.0, 0.5, 4.0, 3.0], [1.5, -1.0, 1.5, 2.0, 3.5]
+    df = spark.createDataFrame([(1, a, b) for a, b in zip(out, ref, strict=True)], "k int, o double, r double")
     r = M.regression(df, ["k"], F.col("o"), F.col("r")).first()
-    assert (r.mse, r.rmse, r.mae) == (pytest.approx(0.00125), pytest.approx(0.0353553, rel=1e-4), pytest.approx(0.0125))
+    gap = [a - b for a, b in zip(out, ref, strict=True)]  # 0.5, 0, -1, 2, -0.5
+    assert (r.mse, r.rmse, r.mae) == (pytest.approx(5.5 / 5), pytest.approx(math.sqrt(1.1)), pytest.approx(sum(map(abs, gap)) / 5))
+    mo, mr = sum(out) / 5, sum(ref) / 5
+    cov, vo, vr = (sum((a - x) * (b - y) for a, b in zip(u, v, strict=True)) for u, v, x, y in ((out, ref, mo, mr), (out, out, mo, mo), (ref, ref, mr, mr)))
+    assert r.r2 == pytest.approx((cov / math.sqrt(vo * vr + 1e-5)) ** 2)
 
 
 @pytest.mark.parametrize(("args", "want"), [((10, 4, 1), [0, 1, 2, 3, 4, 5, 6]), ((10, 4, 2), [0, 2, 4, 6]), ((0, 4, 2), [0]), ((0, 0, -1), [0]), ((10, 8, 8), [0, 2, 1])])
@@ -71,25 +83,29 @@ def test_border_minus_one_is_zero(spark):
 
 
 def test_surface_distances(spark):
-    cells = [(x, y, z) for x in (0, 1) for y in (0, 1) for z in (0, 1)]
-    seg, ref = [1, 1, 1, 0, 0, 0, 0, 0], [0, 0, 0, 0, 0, 0, 1, 1]
-    mask = lambda m: spark.createDataFrame([(1, *c) for c, v in zip(cells, m, strict=True) if v], "k int, x int, y int, z int")
-    r = surface.surface_distances(mask(seg), mask(ref), ["k"]).first()
-    assert (round(r.average_distance, 4), round(r.hausdorff_distance, 3), round(r.hausdorff95_distance, 3)) == (1.2485, 1.414, 1.414)
+    """Two short bars of the same line, three voxels and two, five apart: every voxel is border."""
+    mask = lambda xs: spark.createDataFrame([(1, x, 4, 2) for x in xs], "k int, x int, y int, z int")
+    r = surface.surface_distances(mask([0, 1, 2]), mask([7, 8]), ["k"], (2.0, 1.0, 1.0)).first()
+    there, back = [14.0, 12.0, 10.0], [10.0, 12.0]  # to 7 from 0, 1, 2; to 2 from 7, 8; voxels are 2 long
+    assert r.average_distance == pytest.approx((sum(there) + sum(back)) / 5)
+    assert r.hausdorff_distance == pytest.approx(14.0)
+    assert r.hausdorff95_distance == pytest.approx(max(12.0 + 0.9 * 2.0, 10.0 + 0.95 * 2.0))
     one = spark.createDataFrame([(1, 5, 5, 5)], "k int, x int, y int, z int")
     assert [tuple(x) for x in surface.border(one, ["k"]).collect()] == [(1, 5, 5, 5)]
 
 
 def test_regression_losses(spark):
-    def loss(o, r, w=None, **more):
-        df = spark.createDataFrame([(1, float(a), float(b), float(c)) for a, b, c in zip(o, r, w or [1] * len(o), strict=True)], "k int, o double, r double, w double")
-        return losses.regression_losses(df, ["k"], F.col("o"), F.col("r"), F.col("w") if w else None, **more).first()
+    out, ref, w = [0.5, 2.0, -1.0, 4.0, 3.0], [0.0, 2.25, 1.5, 1.0, 3.0], [1.0, 0.5, 2.0, 0.25, 3.0]
 
-    assert loss([1, 1], [1, 0]).l1 == pytest.approx(0.5)
-    assert loss([1, 1], [1, 0], [1, 2]).l1 == pytest.approx(2 / 3)
-    assert loss([1.2, 1], [1, 3]).l1 == pytest.approx(1.1)
-    assert loss([1, 2], [1, 0]).l2 == pytest.approx(2.0)
-    assert loss([1.2, 1], [1, 3]).huber == pytest.approx(0.76)
+    def loss(weights):
+        df = spark.createDataFrame([(1, *x) for x in zip(out, ref, w, strict=True)], "k int, o double, r double, w double")
+        return losses.regression_losses(df, ["k"], F.col("o"), F.col("r"), F.col("w") if weights else None).first()
+
+    gap = [abs(a - b) for a, b in zip(out, ref, strict=True)]  # 0.5, 0.25, 2.5, 3, 0
+    assert loss(False).l1 == pytest.approx(sum(gap) / 5)
+    assert loss(True).l1 == pytest.approx(sum(x * y for x, y in zip(gap, w, strict=True)) / sum(w))
+    assert loss(False).l2 == pytest.approx(sum(x * x for x in gap) / 2)
+    assert loss(False).huber == pytest.approx(sum(x * x / 2 if x <= 1 else x - 0.5 for x in gap) / 5)
 
 
 def classes(spark, p, truth, w=None, softmax=True):
@@ -97,32 +113,52 @@ def classes(spark, p, truth, w=None, softmax=True):
     return df, losses.class_rows(df, ["k"], F.col("p"), F.col("g"), F.col("w"), normal=softmax, voxel=["v"])
 
 
-def test_segmentation_losses(spark):
-    df, _ = classes(spark, [[0, 1], [2, 0]], [1, 0])
-    e = math.e
-    want = -0.5 * (math.log(e / (1 + e)) + math.log(e**2 / (1 + e**2)))
-    assert losses.cross_entropy(df, ["k"], F.col("p"), F.col("g")).first().cross_entropy == pytest.approx(want)
-    df, _ = classes(spark, [[0, 1], [2, 0]], [1, 0], [1, 2])
-    want = -0.5 * (2 / 3 * math.log(e / (1 + e)) + 4 / 3 * math.log(e**2 / (1 + e**2)))
-    assert losses.cross_entropy(df, ["k"], F.col("p"), F.col("g"), F.col("w")).first().cross_entropy == pytest.approx(want)
-    family = lambda rows: losses.dice_family(losses.class_sums(rows, ["k"]), ["k"]).first()
-    r = family(classes(spark, [[0, 0, 1], [1, 0, 0]], [2, 0], softmax=False)[1])
-    assert (r.dice, r.dice_ns) == (pytest.approx(0, abs=1e-4), pytest.approx(0, abs=1e-4))
-    assert family(classes(spark, [[0, 100]], [0])[1]).dice == pytest.approx(1.0, abs=1e-4)
-    four, truth = [[0, 10], [10, 0], [10, 0], [10, 0]], [1, 0, 0, 0]
-    _, rows = classes(spark, four, truth)
-    sums = losses.class_sums(rows, ["k"])
-    assert losses.generalised_dice(sums, ["k"]).first().gdsc == pytest.approx(0, abs=1e-4)
-    assert family(rows).sens_spec < 1e-7
-    _, rows = classes(spark, four, truth, truth)
-    assert losses.generalised_dice(losses.class_sums(rows, ["k"]), ["k"], "uniform").first().gdsc == pytest.approx(0.3333, abs=1e-3)
-    assert family(classes(spark, [[0, 1, 0], [0, 0, 1]], [1, 2])[1]).sens_spec == pytest.approx(0.14598623, rel=1e-4)
+#: Own logits of seven voxels over three classes, their true classes and weights; class 2 has one voxel.
+LOGITS = [[1.5, 0.2, -1.0], [0.1, 0.3, 0.2], [-2.0, 1.0, 0.5], [0.0, 0.0, 3.0], [0.7, -0.7, 0.0], [2.2, 1.1, -0.4], [0.5, 2.5, 1.0]]
+TRUE, WEIGHTS = [0, 1, 1, 2, 0, 0, 1], [1.0, 2.0, 0.5, 1.0, 3.0, 1.0, 0.25]
+
 
+def softmaxed(v):
+    e = [math.exp(x) for x in v]
+    return [x / sum(e) for x in e]
 
-def test_dice_plus_entropy(spark):
-    df, rows = classes(spark, [[0, 9999], [9999, 0], [9999, 0], [9999, 0]], [1, 0, 0, 0])
-    out = losses.dice_plus_xent(losses.dice_family(losses.class_sums(rows, ["k"]), ["k"]), losses.cross_entropy(df, ["k"], F.col("p"), F.col("g")), ["k"])
-    assert out.first().dice_plus_xent == pytest.approx(-1.0, abs=1e-4)
+
+@pytest.mark.parametrize("weights", [None, WEIGHTS])
+def test_segmentation_losses(spark, weights):
+    """Every loss from its definition, class by class, in plain Python."""
+    w = weights or [1.0] * 7
+    p, g = [softmaxed(v) for v in LOGITS], TRUE
+    df, rows = classes(spark, LOGITS, g, weights)
+    entropy = [-math.log(q[k]) for q, k in zip(p, g, strict=True)]
+    got = losses.cross_entropy(df, ["k"], F.col("p"), F.col("g"), F.col("w") if weights else None).first().cross_entropy
+    assert got == pytest.approx(sum(x * y for x, y in zip(w, entropy, strict=True)) / sum(w))
+    sums = losses.class_sums(rows, ["k"])
+    family = losses.dice_family(sums, ["k"]).first()
+    total = lambda f: [sum(w[i] * f(p[i][c], float(g[i] == c)) for i in range(7)) for c in range(3)]
+    both, mine, squares, truth = total(lambda x, o: x * o), total(lambda x, o: x), total(lambda x, o: x * x), total(lambda x, o: o)
+    mean = lambda v: sum(v) / len(v)
+    e = losses.EPS
+    assert family.dice == pytest.approx(1 - mean([(2 * x + e) / (y + z + e) for x, y, z in zip(both, squares, truth, strict=True)]))
+    assert family.dice_ns == pytest.approx(1 - mean([(2 * x + e) / (y + z + e) for x, y, z in zip(both, mine, truth, strict=True)]))
+    assert family.tversky == pytest.approx(1 - sum(both) / (sum(both) + 0.5 * (sum(mine) - sum(both)) + 0.5 * (sum(truth) - sum(both)) + e))
+    plain = lambda f: [sum(f(p[i][c], float(g[i] == c)) for i in range(7)) for c in range(3)]
+    missed, extra, n, count = plain(lambda x, o: (o - x) ** 2 * o), plain(lambda x, o: (o - x) ** 2 * (1 - o)), plain(lambda x, o: 1 - o), truth
+    assert family.sens_spec == pytest.approx(sum(0.05 * a / (b + e) + 0.95 * c / (d + e) for a, b, c, d in zip(missed, count, extra, n, strict=True)))
+    for kind, k in (("square", [1 / t**2 for t in truth]), ("simple", [1 / t for t in truth]), ("uniform", [1.0] * 3)):
+        score = 2 * sum(a * b for a, b in zip(k, both, strict=True)) / sum(a * max(x + y, 1.0) for a, x, y in zip(k, mine, truth, strict=True))
+        assert losses.generalised_dice(sums, ["k"], kind).first().gdsc == pytest.approx(1 - score), kind
+    if not weights:
+        plus = losses.dice_plus_xent(losses.dice_family(sums, ["k"]), losses.cross_entropy(df, ["k"], F.col("p"), F.col("g")), ["k"])
+        assert plus.first().dice_plus_xent == pytest.approx(mean(entropy) - mean([(2 * x + e) / (y + z + e) for x, y, z in zip(both, mine, truth, strict=True)]))
+
+
+def test_losses_of_certain_predictions(spark):
+    """Right everywhere: no loss; wrong everywhere: all of it."""
+    sure = lambda k: [60.0 * (c == k) for c in range(3)]
+    truth = [2, 0, 1, 1, 2]
+    right, wrong = (losses.dice_family(losses.class_sums(classes(spark, [sure(f(k)) for k in truth], truth)[1], ["k"]), ["k"]).first() for f in (lambda k: k, lambda k: (k + 1) % 3))
+    assert (right.dice, right.dice_ns, right.sens_spec) == tuple(pytest.approx(0, abs=1e-4) for _ in range(3))
+    assert (wrong.dice, wrong.dice_ns, wrong.tversky) == tuple(pytest.approx(1, abs=1e-4) for _ in range(3))
 
 
 def test_one_hot(spark):
@@ -130,13 +166,14 @@ def test_one_hot(spark):
     assert got == [[int(i == k) for i in range(5)] for k in range(1, 5)]
 
 
+#: Own histories; what each rule does with them is worked out beside it.
 STOPS = [
-    ("mean", [1, 2, 1, 2, 1, 2, 1, 2, 3], [1, 2, 1, 2, 1, 2, 1, 2, 3, 0]),
-    ("robust_mean", [1, 2, 1, 2, 1, 2, 1, 200, -10, 1.5], [1, 2, 1, 2, 1, 2, 1, 200, -10, 1.4]),
-    ("median", [1, 2, 1, 2, 1, 2, 1, 2, 3], [1, 2, 1, 2, 1, 2, 1, 2, 3, 0]),
-    ("generalisation_loss", [1, 2, 1, 2, 1, 2, 1, 2, 3], [1, 2, 1, 2, 3, 2, 1, 2, 1]),
-    ("validation_up", [i / 10 for i in range(20)], [i / 10 for i in range(20)][::-1]),
-    ("median_smoothing", [i / 10 for i in range(20)], [i / 10 for i in range(20)][::-1]),
+    ("mean", [5, 3, 4, 4.1], [5, 3, 4, 3.9]),  # the mean of the three before is 4
+    ("robust_mean", [9, 2, 3, 4, -9, 3.2], [9, 2, 3, 4, -9, 2.8]),  # 9 and -9 lie outside: the mean is 3
+    ("median", [7, 1, 2, 2.5], [7, 1, 2, 1.5]),  # the median is 2
+    ("generalisation_loss", [4, 9, 5.1], [4, 9, 4.9]),  # (last - 4) / 5 against 0.2
+    ("validation_up", [2**i for i in range(15)], [2**-i for i in range(15)]),  # all strips rise, or all fall
+    ("median_smoothing", [3 * i for i in range(12)], [-3 * i for i in range(12)]),  # no gradient is under 0.03, or all are
 ]
 
 
