@@ -12,10 +12,13 @@ from ..operators import pairs as P
 from ..operators import volume as V
 from ..operators import windows as W
 from . import evaluation as E
+from . import layers as Y
+from . import runs as R
 from .queries_catalog import _SPLIT, _partition, _sections
 from .queries_volume import SHAPE, VOX, K, rounded, vox
 from .queries_windows import _IMG, images
 from .registry import query, table
+from .spec import look_up, read_config
 
 _LCS = """coalesce((SELECT max(k) FROM (SELECT unnest(range(1, len(a) + 1)) AS i) t, (SELECT unnest(range(1, 40)) AS k) u WHERE i + k - 1 <= len(a) AND contains(b, substr(a, i, k))), 0)"""
 
@@ -230,3 +233,68 @@ def shuffled_subjects(spark, d):
 def shuffled_windows(spark, d):
     """SO3: windows shuffled inside a buffer of 16."""
     return W.shuffled(table(spark, d, "documents").select("doc_id"), "doc_id", 5, 16, "doc_id")
+
+
+@query("SELECT * FROM (VALUES ('train', '', 'training'), ('train+', '', 'training,validation'), ('infer', '', 'inference'), ('evaluate', '', 'inference'), ('train', 'all', 'all')) t(action, phase, phases)")
+def phase_routing(spark, d):
+    """PF4: the phases of an action, with and without validation, and an explicit phase that wins."""
+    cases = [("train", None, False), ("train+", None, True), ("infer", None, False), ("evaluate", None, False), ("train", "all", True)]
+    return spark.createDataFrame([(a, p or "", ",".join(C.phases_for(a.rstrip("+"), p, v))) for a, p, v in cases], "action string, phase string, phases string")
+
+
+def _answer(f) -> str:
+    """What a rule says: nothing, or the text of its error."""
+    try:
+        f()
+    except ValueError as e:
+        return str(e)
+    return ""
+
+
+@query("""SELECT name, coalesce(message, '') AS message FROM (VALUES ('known', NULL), ('near', 'unknown: uniformm; did you mean uniform?'), ('far', 'unknown: something'), ('key', 'unknown: batch_sise; did you mean batch_size?'), ('values', NULL), ('no values', 'empty sections: [''none'']')) t(name, message)""")
+def option_hints(spark, d):
+    """PF6, PF14, PF15: options, keys and required columns, and what is said where they are wrong."""
+    docs = table(spark, d, "documents").select("doc_id", "source", F.lit(None).cast("string").alias("none"))
+    samplers = ["uniform", "weighted", "balanced", "grid"]
+    rules = {
+        "known": lambda: look_up("uniform", samplers), "near": lambda: look_up("uniformm", samplers), "far": lambda: look_up("something", samplers),
+        "key": lambda: read_config("[NETWORK]\nbatch_sise = 2"), "values": lambda: C.require_values(docs, ["source"]), "no values": lambda: C.require_values(docs, ["source", "none"]),
+    }
+    return spark.createDataFrame([(n, _answer(f)) for n, f in rules.items()], "name string, message string")
+
+
+@query("SELECT * FROM (VALUES ('searched', true), ('listed', false), ('features', false), ('nothing', false)) t(section, searched)")
+def searched_sections(spark, d):
+    """PF17: only sections with a path and without files of their own are searched for."""
+    spec = read_config("[searched]\npath_to_search = /a\n[listed]\npath_to_search = /a\ncsv_file = b.csv\n[features]\npath_to_search = /a\ncsv_data_file = c.csv\n[nothing]\nloader = nibabel")
+    return spark.createDataFrame([(n, s.searched) for n, s in spec.sources.items()], "section string, searched boolean")
+
+
+@query("SELECT * FROM (VALUES ('2-D', '5,7,1,1,1'), ('3-D', '5,7,9,1,1'), ('thin', '5,9,1,1,1'), ('4-D', '5,7,9,4,1'), ('5-D', '5,7,9,4,3'), ('6-D', '5,7,9,4,3')) t(name, shape)")
+def expanded_shapes(spark, d):
+    """SC13, SC16: shapes of rank 2 to 6 as five axes, single spatial axes last."""
+    shapes = {"2-D": [5, 7], "3-D": [5, 7, 9], "thin": [5, 1, 9], "4-D": [5, 7, 9, 4], "5-D": [5, 7, 9, 4, 3], "6-D": [5, 7, 9, 4, 1, 3]}
+    return spark.createDataFrame([(n, ",".join(map(str, V.expand_shape(s)))) for n, s in shapes.items()], "name string, shape string")
+
+
+@query("SELECT * FROM (VALUES (0, 6, 6, 6), (1, 20, 2, 0), (2, 38, 11, 22)) t(i, x, y, z)")
+def transformed_centres(spark, d):
+    """WS18: centres (x, y, z) of a volume of 20 x 30 x 24 in RAS, turned to LSP: (20 - x, z, 30 - y), with voxel sizes 1, 1.5
+    and 2 there, and resampled to 0.5, 1.5 and 2: times 2, 1 and 1."""
+    rows = [W.transform_centre(p, (20, 30, 24), "RAS", "LSP", (1.0, 2.0, 1.5), (0.5, 1.5, 2.0)) for p in ((17, 24, 6), (10, 30, 2), (1, 8, 11))]
+    return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, x int, y int, z int")
+
+
+@query("SELECT doc_id, source FROM documents")
+def layers_fitted(spark, d):
+    """Codes learnt from a table, applied, and undone."""
+    docs = table(spark, d, "documents").select("doc_id", "source")
+    layer = Y.label_codes("source").fit(docs)
+    return layer.inverse(layer(docs)).select("doc_id", "source")
+
+
+@query("SELECT vec_id, x, y, z, inferred, reference FROM (SELECT vec_id, (pos // 16)::INT AS x, ((pos // 4) % 4)::INT AS y, (pos % 4)::INT AS z, v::DOUBLE AS inferred, -v::DOUBLE AS reference FROM (SELECT vec_id, unnest(range(64)) AS pos, unnest(embedding) AS v FROM embeddings)) WHERE x < 2")
+def aligned_voxels(spark, d):
+    """Predictions and labels side by side by voxel; what one side lacks is left out."""
+    v = vox(spark, d)
+    return R.aligned_voxels(v, v.where("x < 2").withColumn("value", -F.col("value")), "vec_id")
