@@ -11,30 +11,38 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import bucketed, pack, pack_bytes, ragged, ranked, unpack, unpack_bytes
-from .common import partitions
+from .blocks import bucketed, buckets_for, by_bucket, pack, pack_bytes, ragged, ranked, released, sliced, tidy, tidy_pair, unpack, unpack_bytes
+from .common import text_bytes
 from .tokens import SPACE, tokenizer
 
 _S = "".join(rf"\x{{{ord(c):x}}}" if c != "-" else "-" for c in SPACE)
 #: The word pattern of byte-level BPE, with Unicode white space spelled out for the JVM.
 WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_S}\p{{L}}\p{{N}}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
 BLOCK_CHARS = 24 << 20
+#: Bytes of text for each bucket of words.
+WORDS_BYTES = 16 << 20
 
 DOCS = "block long, bucket int, ids array<{kind}>, counts binary, codes binary, lengths binary, words binary"
 
 
-def split_words(text: Column, special: str) -> Column:
-    """The words of a text, as the pre-tokenizer cuts them; each special string is a word of its own."""
+def split_words(text: Column, special: list[str]) -> Column:
+    """The words of a text, as the pre-tokenizer cuts them; each special string is a word of its own.
+
+    special: the strings of added tokens, none or several. Where two of them begin at one place the longer one counts.
+    """
     plain = lambda x: F.regexp_extract_all(x, F.lit(WORDS), F.lit(0))
-    sections = F.split(text, "".join(f"\\{c}" if not c.isalnum() else c for c in special))
-    marked = F.transform(sections, lambda x, i: F.when(i == 0, plain(x)).otherwise(F.concat(F.array(F.lit(special)), plain(x))))
-    return F.when(F.contains(text, F.lit(special)), F.flatten(marked)).otherwise(plain(text))
+    if not special:
+        return plain(text)
+    quoted = "|".join("".join(f"\\{c}" if not c.isalnum() else c for c in x) for x in sorted(special, key=len, reverse=True))
+    sections, marks = F.split(text, quoted, -1), F.regexp_extract_all(text, F.lit(f"({quoted})"))
+    marked = F.transform(sections, lambda x, i: F.when(i == 0, plain(x)).otherwise(F.concat(F.array(F.element_at(marks, F.greatest(i, F.lit(1)))), plain(x))))
+    return F.when(F.array_size(marks) > 0, F.flatten(marked)).otherwise(plain(text))
 
 
-def _special(path: str) -> str:
+def special_strings(path: str) -> list[str]:
+    """The strings of a tokenizer's added tokens."""
     with open(path, encoding="utf-8") as f:
-        (token,) = json.load(f)["added_tokens"]
-    return token["content"]
+        return [t["content"] for t in json.load(f).get("added_tokens") or []]
 
 
 def pieces(path: str) -> list[bytes]:
@@ -46,42 +54,41 @@ def pieces(path: str) -> list[bytes]:
     return [bytes(byte_of[c] for c in t.id_to_token(i)) for i in range(t.get_vocab_size(with_added_tokens=True))]
 
 
-def word_blocks(docs: DataFrame, special: str, block_chars: int, id_col: str, text_col: str) -> DataFrame:
-    """Texts as rows of codes and dictionary rows, written once, bucketed by block."""
-    kind, buckets = docs.schema[id_col].dataType.simpleString(), partitions(docs.sparkSession)
+def word_blocks(docs: DataFrame, special: list[str], block_chars: int, id_col: str, text_col: str, words_bytes: int = WORDS_BYTES) -> DataFrame:
+    """Texts as rows of codes and dictionary rows, written once, bucketed by block.
+
+    Words go to buckets by hash, one for every words_bytes of text.
+    """
+    kind, buckets = docs.schema[id_col].dataType.simpleString(), buckets_for(text_bytes(docs, text_col), words_bytes)
     words = docs.select(F.col(id_col).alias("id"), split_words(F.coalesce(F.col(text_col), F.lit("")), special).alias("words"))
 
     def run(batches):
         block = TaskContext.get().partitionId() << 32
         held: list[pa.RecordBatch] = []
         size = 0
-        for batch in batches:
+        for batch in sliced(batches):
             held.append(batch)
             size += batch.nbytes
             if size >= block_chars:
-                yield from emit(block, held)
+                yield emit(block, held)
                 block, held, size = block + 1, [], 0
+                released()
         if held:
-            yield from emit(block, held)
+            yield emit(block, held)
 
-    def emit(block: int, held: list[pa.RecordBatch]):
+    def emit(block: int, held: list[pa.RecordBatch]) -> pa.RecordBatch:
         ids = pa.concat_arrays([b.column(0) for b in held])
         lists = [b.column(1) for b in held]
         counts = np.concatenate([np.diff(x.offsets.to_numpy()) for x in lists]).astype(np.uint32)
         distinct, codes = ranked(pa.concat_arrays([x.flatten() for x in lists]))
         texts = [w.encode() for w in distinct.to_pylist()]
-        of = np.fromiter((hash_of(w) % buckets for w in texts), np.int32, len(texts))
-        order = np.argsort(of, kind="stable")
-        cut = np.searchsorted(of[order], np.arange(buckets + 1))
         rows = {"block": [block], "bucket": [-1], "counts": [pack(counts)], "codes": [pack(codes)], "lengths": [None], "words": [None]}
-        for k in range(buckets):
-            mine = order[cut[k] : cut[k + 1]]
-            if len(mine):
-                lengths, content = pack_bytes([texts[i] for i in mine])
-                for name, value in (("block", block), ("bucket", k), ("counts", None), ("codes", pack(mine.astype(np.uint32))), ("lengths", lengths), ("words", content)):
-                    rows[name].append(value)
+        for k, mine in by_bucket(texts, buckets):
+            lengths, content = pack_bytes([texts[i] for i in mine.tolist()])
+            for name, value in (("block", block), ("bucket", k), ("counts", None), ("codes", pack(mine.astype(np.uint32))), ("lengths", lengths), ("words", content)):
+                rows[name].append(value)
         n = len(rows["block"])
-        yield pa.RecordBatch.from_arrays(
+        return pa.RecordBatch.from_arrays(
             [pa.array(rows["block"], pa.int64()), pa.array(rows["bucket"], pa.int32()), pa.ListArray.from_arrays(pa.array([0] + [len(ids)] * n, pa.int32()), ids), *[pa.array(rows[c], pa.binary()) for c in ("counts", "codes", "lengths", "words")]],
             names=["block", "bucket", "ids", "counts", "codes", "lengths", "words"],
         )
@@ -89,16 +96,10 @@ def word_blocks(docs: DataFrame, special: str, block_chars: int, id_col: str, te
     return bucketed(words.mapInArrow(run, DOCS.format(kind=kind)), "bpe_words", "block")
 
 
-def hash_of(word: bytes) -> int:
-    import xxhash
-
-    return xxhash.xxh32_intdigest(word)
-
-
 def encode_words(blocks: DataFrame, tokenizer_path: str) -> DataFrame:
     """Dictionary rows by bucket -> (block, codes, lengths, tokens): each distinct word of a bucket is encoded once.
 
-    A bucket holds its share of all distinct words, so it shrinks as partitions grow in number.
+    A bucket holds the words of its share of hashes from all blocks; the number of buckets follows the bytes of the texts.
     """
 
     def run(table: pa.Table) -> pa.Table:
@@ -117,7 +118,7 @@ def encode_words(blocks: DataFrame, tokenizer_path: str) -> DataFrame:
             rows.append((block, pack(codes), pack(sizes), pack(np.frombuffer(b"".join(found), np.uint32))))
         return pa.table({"block": pa.array([r[0] for r in rows], pa.int64()), **{c: pa.array([r[i] for r in rows], pa.binary()) for i, c in enumerate(("codes", "sizes", "tokens"), 1)}})
 
-    return blocks.where("bucket >= 0").select("bucket", "block", "codes", "lengths", "words").groupBy("bucket").applyInArrow(run, "block long, codes binary, sizes binary, tokens binary")
+    return blocks.where("bucket >= 0").select("bucket", "block", "codes", "lengths", "words").groupBy("bucket").applyInArrow(tidy(run), "block long, codes binary, sizes binary, tokens binary")
 
 
 class Lexicon:
@@ -147,7 +148,7 @@ def _join(blocks: DataFrame, found: DataFrame, use, schema: str) -> DataFrame:
         return use(ids, unpack(row.column("counts")[0].as_py()), unpack(row.column("codes")[0].as_py()), Lexicon(right))
 
     docs = blocks.where("bucket = -1").select("block", "ids", "counts", "codes")
-    return docs.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(run, schema)
+    return docs.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(tidy_pair(run), schema)
 
 
 def _documents(counts: np.ndarray, codes: np.ndarray, lexicon: Lexicon, most: int = 200_000):
@@ -172,7 +173,7 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
         lists = [x.tolist() for _, _, tokens, cut in _documents(counts, codes, lexicon) for x in np.split(tokens.astype(np.int32), cut[1:-1])]
         return pa.table({id_col: ids, "tokens": pa.array(lists, pa.list_(pa.int32()))})
 
-    blocks = word_blocks(docs, _special(tokenizer_path), block_chars, id_col, text_col)
+    blocks = word_blocks(docs, special_strings(tokenizer_path), block_chars, id_col, text_col)
     return _join(blocks, encode_words(blocks, tokenizer_path), use, f"`{id_col}` {kind}, tokens array<int>")
 
 
@@ -222,7 +223,7 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
                 text_sha.append(sha(bytes(raw[x:y]).decode("utf-8", "replace").encode()))
         return pa.table({id_col: ids, "n_tokens": pa.array(np.concatenate(n) if n else [], pa.int64()), "ids_sha256": pa.array(ids_sha, pa.string()), "decoded_sha256": pa.array(text_sha, pa.string())})
 
-    blocks = word_blocks(docs, _special(tokenizer_path), block_chars, id_col, text_col)
+    blocks = word_blocks(docs, special_strings(tokenizer_path), block_chars, id_col, text_col)
     return _join(blocks, encode_words(blocks, tokenizer_path), use, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 

@@ -27,6 +27,11 @@ def saved(df: DataFrame, name: str, partition_by: str | None = None, **options)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def text_bytes(docs: DataFrame, text_col: str) -> int:
+    """Bytes of all texts: one column read. Numbers of groups follow it, so that a group's size does not grow with the data."""
+    return docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")).cast("long"))).first()[0] or 0
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

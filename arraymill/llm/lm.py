@@ -9,10 +9,12 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import bucketed, pack, pack_bytes, ranked, sliced, unpack, unpack_bytes
-from .common import partitions
+from .blocks import bucketed, buckets_for, by_bucket, key_ranges, pack, pack_bytes, ranked, released, sliced, tidy, tidy_pair, unpack, unpack_bytes
+from .common import partitions, text_bytes
 
 BLOCK_BYTES = 8 << 20
+#: Bytes of text for each range of n-gram keys and each bucket of words.
+RANGE_BYTES = 16 << 20
 #: Bits of an n-gram's key. Two n-grams share one with a chance of about (number of n-grams) / 2 ** 56.
 KEY_BITS = 56
 BINS, RATIOS, RATIO_LOW = 40, 64, -16
@@ -33,9 +35,9 @@ def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def _blocks(docs: DataFrame, train: Column, id_col: str, text_col: str, block_bytes: int) -> DataFrame:
+def _blocks(docs: DataFrame, train: Column, id_col: str, text_col: str, block_bytes: int, buckets: int) -> DataFrame:
     """Texts as rows of codes and dictionary rows with counts in training texts, written once, bucketed by block."""
-    kind, buckets = docs.schema[id_col].dataType.simpleString(), partitions(docs.sparkSession)
+    kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(train, F.lit(False)).alias("train"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
 
     def run(batches):
@@ -48,6 +50,7 @@ def _blocks(docs: DataFrame, train: Column, id_col: str, text_col: str, block_by
             if size >= block_bytes:
                 yield emit(block, held)
                 block, held, size = block + 1, [], 0
+                released()
         if held:
             yield emit(block, held)
 
@@ -65,15 +68,10 @@ def _blocks(docs: DataFrame, train: Column, id_col: str, text_col: str, block_by
         del words
         seen = np.bincount(codes[np.repeat(flags, counts) > 0], minlength=len(distinct)).astype(np.uint32)
         texts = distinct.to_pylist()
-        of = np.fromiter((xxhash.xxh32_intdigest(w) % buckets for w in texts), np.int32, len(texts))
-        order = np.argsort(of, kind="stable")
-        cut = np.searchsorted(of[order], np.arange(buckets + 1))
         rows = [(block, -1, pack(flags), pack(counts), pack(codes), None, None)]
-        for k in range(buckets):
-            mine = order[cut[k] : cut[k + 1]]
-            if len(mine):
-                lengths, content = pack_bytes([texts[i] for i in mine])
-                rows.append((block, k, None, pack(seen[mine]), pack(mine.astype(np.uint32)), lengths, content))
+        for k, mine in by_bucket(texts, buckets):
+            lengths, content = pack_bytes([texts[i] for i in mine.tolist()])
+            rows.append((block, k, None, pack(seen[mine]), pack(mine.astype(np.uint32)), lengths, content))
         own = pa.ListArray.from_arrays(pa.array([0] + [len(ids)] * len(rows), pa.int32()), ids)
         cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), *[pa.binary()] * 5), strict=True)]
         return pa.RecordBatch.from_arrays([*cols[:2], own, *cols[2:]], names=["block", "bucket", "ids", "flags", "counts", "codes", "lengths", "words"])
@@ -105,7 +103,7 @@ def _words(blocks: DataFrame) -> DataFrame:
             at += len(counts)
         return _found(rows)
 
-    return blocks.where("bucket >= 0").select("bucket", "block", "codes", "counts", "lengths", "words").groupBy("bucket").applyInArrow(run, _FOUND)
+    return blocks.where("bucket >= 0").select("bucket", "block", "codes", "counts", "lengths", "words").groupBy("bucket").applyInArrow(tidy(run), _FOUND)
 
 
 class Block:
@@ -157,25 +155,15 @@ class Block:
             self.seen.append(np.bincount(number, weights=trained[real[order_]], minlength=int(new.sum())).astype(np.uint32))
 
 
-def _cuts(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Places in the sorted keys where each of the equal ranges of keys begins."""
-    edges = [(k << KEY_BITS) // buckets for k in range(buckets)]
-    return np.r_[np.searchsorted(keys, np.array(edges, np.uint64)), len(keys)]
-
-
-def _grams(blocks: DataFrame, order: int) -> DataFrame:
+def _grams(blocks: DataFrame, order: int, buckets: int) -> DataFrame:
     """Counts of every n-gram over all training texts: keys go by range to a task that sums them, counts come back."""
-    buckets = partitions(blocks.sparkSession)
 
     def send(table: pa.Table) -> pa.Table:
         block, rows = Block(table, order), []
         name = table.column("block")[0].as_py()
         for n, keys, seen in zip(range(2, order + 1), block.keys, block.seen, strict=True):
-            cut = _cuts(keys, buckets)
-            for k in range(buckets):
-                part = keys[cut[k] : cut[k + 1]]
-                if len(part):
-                    rows.append((name, n, k, pack(np.diff(part, prepend=np.uint64(0))), pack(seen[cut[k] : cut[k + 1]]), 0, 0))
+            for k, a, b in key_ranges(keys, KEY_BITS, buckets):
+                rows.append((name, n, k, pack(np.diff(keys[a:b], prepend=np.uint64(0))), pack(seen[a:b]), 0, 0))
         return _found(rows)
 
     def add(table: pa.Table) -> pa.Table:
@@ -189,7 +177,7 @@ def _grams(blocks: DataFrame, order: int) -> DataFrame:
             at += len(keys)
         return _found(rows)
 
-    return blocks.groupBy("block").applyInArrow(send, _FOUND).groupBy("order", "bucket").applyInArrow(add, _FOUND)
+    return blocks.groupBy("block").applyInArrow(tidy(send), _FOUND).groupBy("order", "bucket").applyInArrow(tidy(add), _FOUND)
 
 
 class Counts:
@@ -339,14 +327,14 @@ def weights(cells: list[tuple[int, int, int, int]], order: int, rounds: int = 40
     return np.clip(out, 0.001, 0.98)
 
 
-def lm_scores(docs: DataFrame, train: Column, order: int = 3, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def lm_scores(docs: DataFrame, train: Column, order: int = 3, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """Scores every whole text with an n-gram model of all texts for which `train` holds.
 
     Blocks of texts are written once as codes, bucketed by block. Distinct words and n-grams of each block are shuffled
     with their counts to the task of their key range, summed over the corpus, and the sums return to the blocks; the
     automaton of a block holds the states and arcs its texts can reach, and one traversal carries each text's state.
     The shares of the orders are fitted by left-one-out expectation maximisation over all training tokens. No task and
-    no driver holds the model: what a task gets is its key range, or what its block can reach.
+    no driver holds the model: what a task gets is its key range, one for every range_bytes of text, or what its block can reach.
 
     Returns id_col, n_tokens (end included), n_known, train_tokens, base_score (add-0.1 unigrams), score (log10). Null
     texts count as empty (one token, the end); null ids pass through; a null `train` counts as false; repeated rows each
@@ -354,11 +342,12 @@ def lm_scores(docs: DataFrame, train: Column, order: int = 3, id_col: str = "doc
     Other columns are ignored.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    blocks = _blocks(docs, train, id_col, text_col, block_bytes)
+    buckets = buckets_for(text_bytes(docs, text_col), range_bytes)
+    blocks = _blocks(docs, train, id_col, text_col, block_bytes, buckets)
     spark = docs.sparkSession
     found = _words(blocks)
     if order > 1:
-        found = found.unionByName(_grams(blocks, order))
+        found = found.unionByName(_grams(blocks, order, buckets))
     found = bucketed(found.repartition(partitions(spark), "block"), "lm_counts", "block")
     distinct, total = found.agg(F.coalesce(F.sum("distinct"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
 
@@ -374,7 +363,7 @@ def lm_scores(docs: DataFrame, train: Column, order: int = 3, id_col: str = "doc
         block = Block(left, order)
         return _statistics(block, Counts(block, right, texts, order), Model(total, distinct, np.zeros((order + 1, BINS))), order)
 
-    cells = rows.cogroup(sums).applyInArrow(statistics, "order int, bin int, ratio int, n long").groupBy("order", "bin", "ratio").agg(F.sum("n").alias("n"))
+    cells = rows.cogroup(sums).applyInArrow(tidy_pair(statistics), "order int, bin int, ratio int, n long").groupBy("order", "bin", "ratio").agg(F.sum("n").alias("n"))
     model = Model(total, distinct, weights([tuple(r) for r in cells.collect()], order))
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -391,4 +380,4 @@ def lm_scores(docs: DataFrame, train: Column, order: int = 3, id_col: str = "doc
             "base_score": pa.array(add(log), pa.float64()), "score": pa.array(Automaton(block, counts, model, order).scores()),
         })
 
-    return rows.cogroup(sums).applyInArrow(score, f"`{id_col}` {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return rows.cogroup(sums).applyInArrow(tidy_pair(score), f"`{id_col}` {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
