@@ -92,25 +92,33 @@ def _labels(x: np.ndarray, y: np.ndarray, z: np.ndarray) -> np.ndarray:
     return out
 
 
+def _labelled(rows: DataFrame, groups: list[str]) -> DataFrame:
+    """rows with the component of each voxel inside its group, which is one task's."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", component int"
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pdf.assign(component=_labels(*(pdf[a].to_numpy() for a in AXES)).astype("int32"))
+
+    return rows.groupBy(*groups).applyInPandas(run, schema)
+
+
 #: Voxels of a tile along each axis, and the bits of a tile's place on an axis and of a label in it.
 TILE, _PLACE_BITS, _LABEL_BITS = 64, 15, 18
 
 
-def components(mask: DataFrame, keys: list[str], tile: int = TILE) -> DataFrame:
+def components(mask: DataFrame, keys: list[str], tile: int = TILE, shape: tuple[int, int, int] | None = None) -> DataFrame:
     """AG28: mask voxels with `component` 1, 2, ... (face connectivity, numbered by first voxel in C order).
 
     Volumes are labelled tile by tile, each tile of at most tile^3 voxels in one task; labels that touch across a face
     of two tiles are linked, and linked labels get one root by distributed star steps. Where all voxels lie in the first
-    tile, its labels are the result. Coordinates are not negative and below tile * 2^15.
+    tile, its labels are the result; a shape that says so spares the look at all coordinates. Coordinates are not
+    negative and below tile * 2^15.
     """
+    if shape and max(shape) <= tile:
+        return _labelled(mask.select(*keys, *AXES), keys)
     tiles = [f"__t{a}" for a in AXES]
     rows = mask.select(*keys, *AXES, *[F.floor(_c(a) / tile).cast("int").alias(t) for a, t in zip(AXES, tiles, strict=True)])
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", component int"
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pdf.assign(component=_labels(*(pdf[a].to_numpy() for a in AXES)).astype("int32"))
-
-    one = rows.groupBy(*keys, *tiles).applyInPandas(run, schema)
+    one = _labelled(rows, [*keys, *tiles])
     if rows.where(F.greatest(*tiles) > 0).isEmpty():
         return one.select(*keys, *AXES, "component")
     place = F.lit(0).cast("long")
@@ -221,7 +229,7 @@ def dilated(mask: DataFrame, keys: list[str], shape: tuple[int, int, int], times
 def filled(mask: DataFrame, spine: DataFrame, keys: list[str], shape: tuple[int, int, int]) -> DataFrame:
     """F-A20: the mask with its holes: background components that touch no face of the volume."""
     at = [*keys, *AXES]
-    ground = components(spine.select(*at).join(mask.select(*at), at, "left_anti"), keys)
+    ground = components(spine.select(*at).join(mask.select(*at), at, "left_anti"), keys, shape=shape)
     edge: Column = F.lit(False)
     for a, n in zip(AXES, shape, strict=True):
         edge = edge | (_c(a) == 0) | (_c(a) == n - 1)

@@ -64,27 +64,41 @@ def cut_windows(vox: DataFrame, images: DataFrame, key: str, window: tuple[int,
     sizes = images.select(key, *[_c(a.upper()).alias(f"__{a}") for a in AXES])
     rows = vox.join(sizes, key)
     for a, w, b in zip(AXES, window, border, strict=True):
-        rows = rows.withColumn(f"__{a}s", F.explode(covering(_c(a), _c(f"__{a}"), w, _step(w, b))))
-    count = lambda a, w, b: F.size(step_points_column(_c(f"__{a}"), w, _step(w, b)))
-    seq = (_c("__ys.i") * count("x", window[0], border[0]) + _c("__xs.i")) * count("z", window[2], border[2]) + _c("__zs.i")
-    return rows.select(key, seq.cast("int").alias("seq"), *[_c(f"__{a}s.start").alias(f"{a}0") for a in AXES], *[(_c(a) - _c(f"__{a}s.start")).alias(a) for a in AXES], "value")
+        rows = rows.withColumn(f"i{a}", F.explode(covering(_c(a), _c(f"__{a}"), w, _step(w, b))))
+    start = {a: start_of(_c(f"i{a}"), _c(f"__{a}"), w, _step(w, b)) for a, w, b in zip(AXES, window, border, strict=True)}
+    count = {a: _axis(_c(f"__{a}"), w, _step(w, b))[-1] for a, w, b in zip(AXES, window, border, strict=True)}
+    seq = (_c("iy") * count["x"] + _c("ix")) * count["z"] + _c("iz")
+    return rows.select(key, seq.cast("int").alias("seq"), *[start[a].alias(f"{a}0") for a in AXES], *[(_c(a) - start[a]).alias(a) for a in AXES], "value")
 
 
-def covering(at: Column, end: Column, window: int, step: int) -> Column:
-    """The windows of one axis of size `end` that cover place `at`: an array of (i, start), i the place in step order."""
+def _axis(end: Column, window: int, step: int) -> tuple[Column, Column, Column, Column, Column, Column]:
+    """Of one axis: the last start, the number of the last regular one, whether the last is another one, the middle of
+    exactly two starts, whether it is a third one, and the number of starts. Regular starts are 0, step, 2 step, ..."""
     last = F.greatest(end - window, F.lit(0)).cast("int")
-    steps = F.floor(last / step).cast("int")  # regular starts are 0, step, ..., steps * step
-    first_in, last_in = F.greatest(F.ceil((at - window + 1) / step), F.lit(0)).cast("int"), F.least(F.floor(at / step), steps).cast("int")
-    none = F.array().cast("array<struct<i:int,start:int>>")
-    pair = lambda i, start: F.struct(i.cast("int").alias("i"), start.cast("int").alias("start"))
-    regular = F.when(first_in <= last_in, F.transform(F.sequence(first_in, last_in), lambda i: pair(i, i * step))).otherwise(none)
-    covers = lambda start: (at >= start) & (at < start + window)
+    steps = F.floor(last / step).cast("int")
     odd = last % step != 0
-    far = F.when(odd & covers(last), F.array(pair(steps + 1, last))).otherwise(none)
-    # of exactly two starts, 0 and last, their half-even mean is the third, where it is another one
     middle = F.bround(last / 2.0).cast("int")
-    two = (steps + odd.cast("int") == 1) & (middle != 0) & (middle != last)
-    return F.concat(regular, far, F.when(two & covers(middle), F.array(pair(F.lit(2), middle))).otherwise(none))
+    third = (steps + odd.cast("int") == 1) & (middle != 0) & (middle != last)
+    return last, steps, odd, middle, third, steps + 1 + odd.cast("int") + third.cast("int")
+
+
+def covering(at: Column, end: Column, window: int, step: int) -> Column:
+    """The numbers, in step order, of the windows of one axis of size `end` that cover place `at`: an array.
+
+    They are one run from the first step that reaches the place to the last, the start at the far end being the step
+    after the regular ones, and the middle of exactly two starts.
+    """
+    last, steps, odd, middle, third, _ = _axis(end, window, step)
+    low = F.greatest(F.ceil((at - window + 1) / step), F.lit(0)).cast("int")
+    high = F.when(odd & (at >= last), steps + 1).otherwise(F.least(F.floor(at / step), steps)).cast("int")
+    run = F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+    return F.when(third & (at >= middle) & (at < middle + window), F.concat(run, F.array(F.lit(2)))).otherwise(run)
+
+
+def start_of(number: Column, end: Column, window: int, step: int) -> Column:
+    """The start of the window with that number in step order."""
+    last, _, _, middle, third, _ = _axis(end, window, step)
+    return F.when(third & (number == 2), middle).otherwise(F.least(number * step, last)).cast("int")
 
 
 def crop_windows(cut: DataFrame, window: tuple[int, int, int], border: tuple[int, int, int]) -> DataFrame:

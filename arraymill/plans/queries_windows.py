@@ -249,7 +249,7 @@ _CC = f"RECURSIVE {_MASKS}, {_components('seg')}, {_components('ref')}"
 
 def labelled(spark, d):
     seg, ref = masks(spark, d)
-    return B.components(seg, K), B.components(ref, K)
+    return B.components(seg, K, shape=SHAPE), B.components(ref, K, shape=SHAPE)
 
 
 @query(f"WITH RECURSIVE {_MASKS}, {_components('seg')} SELECT vec_id, x, y, z, component FROM cseg")
