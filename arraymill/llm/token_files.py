@@ -6,12 +6,13 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import new_path, partitions
-from .tokens import LETTERS_OR_REST, EndedWordCache, by_bytes, cache, lowered
+from .tokens import LETTERS_OR_REST, EndedWordCache, by_size, cache, lowered
 
 #: Parquet writer settings: dictionary pages for ids with delta encoding beyond them, row groups small enough to read
 #: selectively, and short pages, each with its entry in the column index and the offset index.
@@ -21,14 +22,16 @@ LAYOUT = {
 }
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", batch_chars: int = 1 << 20) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 1 << 20) -> None:
     """Encodes whole texts and writes (part, row, id_col, part_start, n_tokens, tokens) in ascending id order.
 
     Texts are range-partitioned by id on sampled splitters and sorted, encoded after that shuffle (so that each text is
     encoded once), and written as one file per part, rows in id order. part_start counts the ids before a document in
     its part. The tokenizer must lower-case and drop white space: texts are cut at white space and before plain punctuation,
-    and each word is encoded once per worker while it stays in a bounded table. Null texts count as empty and hold the end id only; null ids come first; repeated ids
-    stay in the order in which the sort leaves them; an empty table gives an empty file. Other columns are not written.
+    and each word is encoded once per worker while it stays in a bounded table. Null texts count as empty and hold the end id
+    only; null ids come first; rows of one id are in the order of a hash of their texts and then of the texts themselves,
+    so start is reproducible; rows repeated in full each have an entry; an empty table gives an empty file. Other columns
+    are not written.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -38,7 +41,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, i
         end = np.array([end_id], "<i4").tobytes()
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            for a, b in by_bytes(texts, batch_chars):
+            for a, b in by_size(pc.binary_length(batch.column(1)).to_pylist(), batch_bytes):
                 words = [LETTERS_OR_REST.findall(lowered(x)) for x in texts[a:b]]
                 table = known.table(set().union(*words))
                 packed = [b"".join([*map(table.__getitem__, x), end]) for x in words]
@@ -51,7 +54,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, i
                 start += int(ends[-1])
 
     texts = docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    placed = texts.repartitionByRange(partitions(docs.sparkSession), id_col).sortWithinPartitions(id_col)
+    tied = [F.xxhash64("text"), F.col("text")]
+    placed = texts.repartitionByRange(partitions(docs.sparkSession), F.col(id_col), tied[0]).sortWithinPartitions(F.col(id_col), *tied)
     placed.mapInArrow(encode, f"part int, row long, `{id_col}` {kind}, part_start long, n_tokens long, tokens array<int>").write.options(**LAYOUT).parquet(path)
 
 

@@ -30,16 +30,16 @@ def tokenizer(path: str):
     return _loaded[path]
 
 
-def by_bytes(texts: list[str], most: int):
-    """Slices of texts of about most characters each, single texts at least."""
+def by_size(sizes: list[int], most: int):
+    """Slices of rows whose sizes sum up to at most `most`, single rows at least."""
     at = size = 0
-    for i, x in enumerate(texts):
-        if size and size + len(x) > most:
+    for i, n in enumerate(sizes):
+        if size and size + n > most:
             yield at, i
             at, size = i, 0
-        size += len(x)
-    if at < len(texts):
-        yield at, len(texts)
+        size += n
+    if at < len(sizes):
+        yield at, len(sizes)
 
 
 _LATIN = "a-z\xdf-\xf6\xf8-\xff"
