@@ -75,14 +75,13 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import archive
 
-    out = archive(table(spark, sf_dir, "pages"), least_bytes=100)
-    return out.withColumn("page_id", F.col("page_id").cast("string")).withColumn("refers_to", F.col("refers_to").cast("string"))
+    return archive(table(spark, sf_dir, "pages"), least_bytes=100)
 
 
 OP8_SQL = """
-SELECT page_id::VARCHAR AS page_id, n AS payload_bytes, d AS payload_digest,
+SELECT page_id, n AS payload_bytes, d AS payload_digest,
        CASE WHEN n >= 100 AND page_id <> m THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN n >= 100 AND page_id <> m THEN m::VARCHAR END AS refers_to
+       CASE WHEN n >= 100 AND page_id <> m THEN m END AS refers_to
 FROM (SELECT page_id, octet_length(encode(t)) AS n, sha256(t) AS d, min(page_id) OVER (PARTITION BY t) AS m
       FROM (SELECT page_id, coalesce(html, '') AS t FROM pages))
 """

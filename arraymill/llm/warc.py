@@ -28,7 +28,8 @@ def _batch(rows: list[tuple], types: dict) -> pa.RecordBatch:
 def record(page_id: str | None, url: str | None, payload: bytes, digest: str, kind: str, refers_to: str | None, date: str = DATE) -> bytes:
     """One WARC/1.1 record as a gzip member of its own; a revisit has no block but names length and digest of its payload."""
     name = lambda x: f"<urn:page:{quote(x, safe='')}>"
-    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Date: {date}", f"WARC-Record-ID: {name(page_id if page_id is not None else 'null')}"]
+    own = name(page_id) if page_id is not None else f"<urn:uuid:{uuid.uuid4()}>"  # a record must have an id; this one names no page
+    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Date: {date}", f"WARC-Record-ID: {own}"]
     if url is not None:
         head.append(f"WARC-Target-URI: {quote(url, safe=':/?#[]@!$&()*+,;=%~')}")
     head.append(f"WARC-Payload-Digest: sha256:{digest}")
@@ -113,7 +114,7 @@ def read_warc(spark: SparkSession, path: str, selected: DataFrame, payloads: boo
         from pyarrow import fs
 
         store, root = fs.FileSystem.from_uri(path)
-        name = lambda x: unquote(x[len("<urn:page:") : -1])
+        name = lambda x: unquote(x[len("<urn:page:") : -1]) if x.startswith("<urn:page:") else None
         for batch in batches:
             rows: list[tuple] = []
             for file, members in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -147,8 +148,8 @@ def archive(pages: DataFrame, path: str | None = None, least_bytes: int = 100, i
 
     Of pages with equal payloads of at least least_bytes, the one with the least id is stored as a response and the
     others as revisits of it; smaller payloads are all responses. Returns id_col, payload_bytes, payload_digest,
-    record_type, refers_to. Null payloads count as empty, null urls are left out of the record, null ids are written as
-    "null" and come back as null; repeated rows are each written, and all copies of the first stay responses. An empty
+    record_type, refers_to. Null payloads count as empty, null urls are left out of the record, records of null
+    ids have a random record id and come back with a null id; repeated rows are each written, and all copies of the first stay responses. An empty
     table writes no file and gives no rows; other columns are ignored.
     """
     spark = pages.sparkSession
@@ -156,5 +157,4 @@ def archive(pages: DataFrame, path: str | None = None, least_bytes: int = 100, i
     kind = pages.schema[id_col].dataType.simpleString()
     index = write_warc(decide(pages, least_bytes, id_col, url_col, payload_col), path)
     back = read_warc(spark, path, index.select("file", "offset", "length"))
-    page_id = F.when(F.col("page_id") != "null", F.col("page_id")).cast(kind)
-    return back.select(page_id.alias(id_col), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
+    return back.select(F.col("page_id").cast(kind).alias(id_col), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
