@@ -8,10 +8,6 @@ from pyspark.sql import functions as F
 from ..sources.shared import cut
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-
-
 def components(edges: DataFrame) -> DataFrame:
     """edges (u long, v long), in any direction, repeats and loops allowed -> (node, root), root the least node reachable.
 
@@ -20,16 +16,14 @@ def components(edges: DataFrame) -> DataFrame:
     checkpointed to the shared folder after each round. Loops and nulls are dropped, no edges give no rows.
     """
     edges = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    before = _state(edges)
-    while before[0]:
+    while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        edges = cut(small.where("u <> v").distinct())
-        after = _state(edges)
-        if after == before:
+        after = cut(small.where("u <> v").distinct())
+        if after.count() == edges.count() and after.join(edges, ["u", "v"], "left_anti").isEmpty():
             break
-        before = after
+        edges = after
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
