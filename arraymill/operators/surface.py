@@ -57,13 +57,18 @@ def border_distances(a: DataFrame, b: DataFrame, keys: list[str], pixdim: tuple[
 
 
 def surface_distances(seg: DataFrame, ref: DataFrame, keys: list[str], pixdim=(1.0, 1.0, 1.0)) -> DataFrame:
-    """AG25-AG27: average_distance, hausdorff_distance, hausdorff95_distance by group; groups with an empty side have none."""
-    bs, br = border(seg, keys), border(ref, keys)
-    there, back = border_distances(bs, br, keys, pixdim), border_distances(br, bs, keys, pixdim)
-    stats = lambda df, p: df.groupBy(*keys).agg(F.sum("distance").alias(f"s{p}"), F.max("distance").alias(f"m{p}"), F.percentile("distance", 0.95).alias(f"q{p}"))
-    union = bs.unionByName(br).distinct().groupBy(*keys).agg(F.count("*").alias("n"))
-    both = stats(there, 1).join(stats(back, 2), keys).join(union, keys)
-    return both.select(*keys, ((_c("s1") + _c("s2")) / _c("n")).alias("average_distance"), F.greatest("m1", "m2").alias("hausdorff_distance"), F.greatest("q1", "q2").alias("hausdorff95_distance"))
+    """AG25-AG27: average_distance, hausdorff_distance, hausdorff95_distance by group; groups with an empty side have none.
+
+    Both sides are one table with a side column, so that borders and the distances of both directions are one plan each.
+    """
+    at, side = [*keys, *AXES], _c("__side")
+    sides = seg.select(*at, F.lit(0).alias("__side")).unionByName(ref.select(*at, F.lit(1).alias("__side")))
+    edges = border(sides, [*keys, "__side"])
+    distances = border_distances(edges, edges.withColumn("__side", 1 - side), [*keys, "__side"], pixdim)
+    by_side = distances.groupBy(*keys, "__side").agg(F.sum("distance").alias("s"), F.max("distance").alias("m"), F.percentile("distance", 0.95).alias("q"))
+    union = edges.select(*at).distinct().groupBy(*keys).agg(F.count("*").alias("n"))
+    both = by_side.groupBy(*keys).agg(F.sum("s").alias("s"), F.max("m").alias("hausdorff_distance"), F.max("q").alias("hausdorff95_distance")).join(union, keys)
+    return both.select(*keys, (_c("s") / _c("n")).alias("average_distance"), "hausdorff_distance", "hausdorff95_distance")
 
 
 def _labels(x: np.ndarray, y: np.ndarray, z: np.ndarray) -> np.ndarray:
