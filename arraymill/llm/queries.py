@@ -117,6 +117,24 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), limit=512)
 
 
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import substring_dedup
+
+    return substring_dedup(table(spark, sf_dir, "documents"), size=50, keep_text=False)
+
+
+OP13_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, s, sha256(array_to_string(w[s:s+49], ' ')) AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS s FROM d)),
+m AS (SELECT doc_id, s FROM (SELECT doc_id, s, min(doc_id) OVER (PARTITION BY g) AS first FROM s) WHERE first < doc_id),
+h AS (SELECT DISTINCT doc_id, unnest(range(s, s + 50)) AS p FROM m),
+k AS (SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS t
+      FROM (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM d) ANTI JOIN h USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n FROM h GROUP BY doc_id) USING (doc_id)
+"""
+
+
 QUERIES = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_toxicity": op2_toxicity,
@@ -128,5 +146,6 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_decontamination": op9_decontamination,
     "op10_token_counts": op10_token_counts,
+    "op13_substring_dedup": op13_substring_dedup,
 }
-ORACLE_SQL = {"op3_exact_dedup": OP3_SQL, "op8_warc": OP8_SQL, "op9_decontamination": OP9_SQL}
+ORACLE_SQL = {"op3_exact_dedup": OP3_SQL, "op8_warc": OP8_SQL, "op9_decontamination": OP9_SQL, "op13_substring_dedup": OP13_SQL}
