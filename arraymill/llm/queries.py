@@ -117,6 +117,46 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), limit=512)
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .merkle import dataset_manifest
+
+    return dataset_manifest(table(spark, sf_dir, "documents"), tamper=held_out(7))
+
+
+def crc32_sql(text: str) -> str:
+    """Unsigned CRC-32 of an ASCII string in DuckDB: one list entry for each bit, the byte enters at the first of its eight."""
+    bits = f"flatten(list_transform(string_split({text}, ''), lambda x: [ascii(x)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {bits}), lambda c, b: xor(xor(c, b) >> 1, (xor(c, b) & 1) * 3988292384)), 4294967295)"
+
+
+def _leaf_sql(n_chars: str) -> str:
+    fields = ("doc_id", "source", "lang", n_chars, "text")
+    return "sha256(" + " || ".join(f"coalesce(octet_length(encode(({f})::VARCHAR)) || ':' || ({f})::VARCHAR, '-')" for f in fields) + ")"
+
+
+OP11_SQL = f"""
+WITH RECURSIVE leaf AS (
+  SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS r, count(*) OVER (PARTITION BY lang) AS n,
+         {_leaf_sql("n_chars")} AS leaf, CASE WHEN {crc32_sql("doc_id::VARCHAR")} % 7 = 0 THEN {_leaf_sql("n_chars + 1")} ELSE {_leaf_sql("n_chars")} END AS changed
+  FROM documents),
+t AS (SELECT coalesce('=' || lang, '') AS k, 0 AS l, r, n, leaf AS d FROM leaf
+      UNION ALL SELECT k, l + 1, r // 2, (n + 1) // 2, sha256(string_agg(d, '' ORDER BY r)) FROM t WHERE n > 1 GROUP BY k, l, r // 2, n),
+s AS (SELECT k, d AS subroot, l AS h, row_number() OVER (ORDER BY k) - 1 AS r, count(*) OVER () AS n FROM t WHERE n = 1),
+u AS (SELECT 0 AS l, r, n, subroot AS d FROM s
+      UNION ALL SELECT l + 1, r // 2, (n + 1) // 2, sha256(string_agg(d, '' ORDER BY r)) FROM u WHERE n > 1 GROUP BY l, r // 2, n),
+p AS (SELECT k, l, r, lag(d) OVER w AS b, lead(d) OVER w AS a FROM t WHERE n > 1 WINDOW w AS (PARTITION BY k, l, r // 2 ORDER BY r)
+      UNION ALL SELECT s.k, h + u.l, NULL, CASE WHEN (s.r >> u.l) % 2 = 1 THEN v.d END, CASE WHEN (s.r >> u.l) % 2 = 0 THEN v.d END
+      FROM s JOIN u ON u.r = s.r >> u.l AND u.n > 1 LEFT JOIN u AS v ON v.l = u.l AND v.r = xor(u.r, 1)),
+x AS (SELECT doc_id, p.l, p.b, p.a FROM leaf JOIN p ON p.k = coalesce('=' || lang, '') AND coalesce(p.r = leaf.r >> p.l, true)),
+f AS (SELECT doc_id, 0 AS l, changed AS d FROM leaf
+      UNION ALL SELECT f.doc_id, f.l + 1, sha256(coalesce(x.b, '') || f.d || coalesce(x.a, '')) FROM f JOIN x ON x.doc_id = f.doc_id AND x.l = f.l),
+q AS (SELECT doc_id, string_agg(coalesce(b, '') || coalesce(a, ''), '' ORDER BY l) AS proof FROM x GROUP BY doc_id)
+SELECT doc_id, leaf, subroot, root, sha256(coalesce(proof, '')) AS proof_sha256, folded AS folded_root, folded = root AS verified
+FROM leaf JOIN s ON s.k = coalesce('=' || lang, '') JOIN (SELECT doc_id, arg_max(d, l) AS folded FROM f GROUP BY doc_id) USING (doc_id)
+LEFT JOIN q USING (doc_id), (SELECT d AS root FROM u WHERE n = 1)
+"""
+
+
 def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring_dedup import substring_dedup
 
@@ -146,6 +186,7 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_decontamination": op9_decontamination,
     "op10_token_counts": op10_token_counts,
+    "op11_merkle_manifest": op11_merkle_manifest,
     "op13_substring_dedup": op13_substring_dedup,
 }
-ORACLE_SQL = {"op3_exact_dedup": OP3_SQL, "op8_warc": OP8_SQL, "op9_decontamination": OP9_SQL, "op13_substring_dedup": OP13_SQL}
+ORACLE_SQL = {"op3_exact_dedup": OP3_SQL, "op8_warc": OP8_SQL, "op9_decontamination": OP9_SQL, "op11_merkle_manifest": OP11_SQL, "op13_substring_dedup": OP13_SQL}
