@@ -157,6 +157,65 @@ LEFT JOIN q USING (doc_id), (SELECT d AS root FROM u WHERE n = 1)
 """
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .conversation_repair import damaged, repair
+
+    conversations = table(spark, sf_dir, "conversations")
+    return repair(damaged(conversations), conversations)
+
+
+def _edit(entry: str, cost: str, letter: str) -> str:
+    """An entry of the repair, nine digits of cost and the audit, with an edit; null where there is none."""
+    return f"lpad((left({entry}, 9)::INT + {cost})::VARCHAR, 9, '0') || substr({entry}, 10) || {letter}"
+
+
+def _inserted(state: int) -> str:
+    """The entry of a state after any number of inserts."""
+    from_ = {2: [0, 1, 3], 3: [2]}.get(state, [])
+    twice = {3: [0, 1], 2: []}.get(state, [])
+    parts = [f"s{state}", *[_edit(f"s{i}", "3", "'I'") for i in from_], *[_edit(f"s{i}", "6", "'II'") for i in twice]]
+    return f"least({', '.join(parts)})" if len(parts) > 1 else parts[0]
+
+
+def _put(entry: str, head: str) -> str:
+    """The entry of a row that is put out with this initial."""
+    kept, given = _edit(entry, "extra", "'K'"), "NULL" if head == "s" else _edit(entry, "3 + extra", "'R'")
+    return f"CASE WHEN gone THEN NULL WHEN head = '{head}' THEN {kept} ELSE {given} END"
+
+
+OP12_SQL = f"""
+WITH RECURSIVE c AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {crc32_sql("(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))")} % 20 AS code FROM conversations),
+g AS (SELECT conv_id, turn, CASE WHEN code = 4 THEN 'user' ELSE role END AS role, unnest(range(CASE WHEN code = 3 THEN 2 ELSE 1 END)) AS copy,
+    CASE WHEN code = 1 THEN '' WHEN code = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text FROM c WHERE code <> 0),
+h AS (SELECT *, sha256(octet_length(encode(role)) || ':' || role || text) AS digest, left(role, 1) AS head,
+    rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body FROM g),
+k AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, digest, copy) AS i,
+    body = '' AS blank, body <> '' AND row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS dup FROM h),
+f AS (SELECT *, blank OR dup AS gone, NOT (blank OR dup) AND right(body, 1) NOT IN ('.', '!', '?') AS open,
+    CASE WHEN NOT (blank OR dup) AND right(body, 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS extra,
+    lag(head) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM k),
+r AS (SELECT conv_id, 0::BIGINT AS i, '000000000' AS s0, NULL::VARCHAR AS s1, NULL::VARCHAR AS s2, NULL::VARCHAR AS s3 FROM (SELECT DISTINCT conv_id FROM f)
+    UNION ALL
+    SELECT conv_id, i, {_edit("p0", "4", "'D'")}, least({_edit("p1", "4", "'D'")}, {_put("p0", "s")}),
+           least({_edit("p2", "4", "'D'")}, {_put("p0", "u")}, {_put("p1", "u")}, {_put("p3", "u")}), least({_edit("p3", "4", "'D'")}, {_put("p2", "a")})
+    FROM (SELECT f.conv_id, f.i, head, gone, extra, s0 AS p0, s1 AS p1, {_inserted(2)} AS p2, {_inserted(3)} AS p3
+          FROM r JOIN f ON f.conv_id IS NOT DISTINCT FROM r.conv_id AND f.i = r.i + 1)),
+n AS (SELECT conv_id, max(i) AS i, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (dup) AS duplicate,
+    count(*) FILTER (open) AS truncated, count(*) FILTER (before || head NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id),
+b AS (SELECT n.*, least(s0, {_inserted(3)}) AS best FROM n JOIN r ON r.conv_id IS NOT DISTINCT FROM n.conv_id AND r.i = n.i),
+l AS (SELECT conv_id, p, substr(best, 9 + p, 1) AS letter FROM (SELECT conv_id, best, unnest(range(1, length(best) - 8)) AS p FROM b)),
+o AS (SELECT *, count(*) FILTER (letter <> 'I') OVER w AS i, count(*) FILTER (letter <> 'D') OVER w AS m FROM l WINDOW w AS (PARTITION BY conv_id ORDER BY p)),
+q AS (SELECT o.conv_id, p, letter, m, CASE WHEN letter <> 'I' THEN f.role END AS role, CASE WHEN letter = 'I' THEN '' ELSE f.text END AS text
+    FROM o LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM o.conv_id AND f.i = o.i WHERE letter <> 'D'),
+t AS (SELECT conv_id, sha256(string_agg(CASE WHEN letter = 'K' THEN role WHEN (m + system) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY p)) AS d
+    FROM (SELECT *, max(CASE WHEN m = 1 AND letter = 'K' AND left(role, 1) = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id) AS system FROM q) GROUP BY conv_id)
+SELECT a.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+       coalesce(illegal, 0)::BIGINT AS illegal, coalesce(left(best, 9)::BIGINT, 0) AS cost, coalesce(substr(best, 10), '') AS audit, coalesce(d, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN b ON b.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN t ON t.conv_id IS NOT DISTINCT FROM a.conv_id
+"""
+
+
 def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring_dedup import substring_dedup
 
@@ -187,6 +246,7 @@ QUERIES = {
     "op9_decontamination": op9_decontamination,
     "op10_token_counts": op10_token_counts,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_conversation_repair": op12_conversation_repair,
     "op13_substring_dedup": op13_substring_dedup,
 }
-ORACLE_SQL = {"op3_exact_dedup": OP3_SQL, "op8_warc": OP8_SQL, "op9_decontamination": OP9_SQL, "op11_merkle_manifest": OP11_SQL, "op13_substring_dedup": OP13_SQL}
+ORACLE_SQL = {"op3_exact_dedup": OP3_SQL, "op8_warc": OP8_SQL, "op9_decontamination": OP9_SQL, "op11_merkle_manifest": OP11_SQL, "op12_conversation_repair": OP12_SQL, "op13_substring_dedup": OP13_SQL}
