@@ -1,18 +1,28 @@
-"""Operators with a numeric core inside one volume: cubic zoom, elastic deformation, dense CRF (RS4, RS8, F-A5, F-A7, RS10).
+"""Cubic splines by line, elastic deformation, and the exact dense CRF (RS4, RS8, F-A5, F-A7, F-A9, RS10).
 
-Spark groups voxels by volume and each task works on whole volumes in numpy; a volume must fit in a task.
+A spline works on the lines of one axis after the other: a group is one line, an array as long as the axis, so a volume
+spreads over all tasks. Only `crf`, the exact kernel for small volumes, takes whole volumes into a task; see `lattice` for
+the one that scales.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .volume import AXES
+from .catalog import portable_key
+from .volume import AXES, resample_linear
+
+_c = F.col
+#: The pole of the cubic spline's prefilter; its powers are below a double's precision from REACH on.
+POLE, REACH = math.sqrt(3) - 2, 60
 
 
 def _per_volume(vox: DataFrame, keys: list[str], shape, f: Callable[[np.ndarray, tuple], np.ndarray]) -> DataFrame:
@@ -31,53 +41,119 @@ def _per_volume(vox: DataFrame, keys: list[str], shape, f: Callable[[np.ndarray,
     return vox.select(*names).groupBy(*keys).applyInPandas(run, schema)
 
 
-def _interpolation(n: int) -> np.ndarray:
-    """Values -> coefficients of the cubic spline through n equally spaced points, the ends mirrored."""
-    m = np.diag(np.full(n, 4.0)) + np.diag(np.ones(n - 1), 1) + np.diag(np.ones(n - 1), -1) if n > 1 else np.array([[6.0]])
-    if n > 1:
-        m[0, 1] = m[-1, -2] = 2.0
-    return np.linalg.inv(m / 6)
-
-
-def spline_matrix(n: int, at: np.ndarray) -> np.ndarray:
-    """Rows that evaluate, at real positions, the cubic spline through n points on a line."""
+def _mirrored(i: np.ndarray, n: int) -> np.ndarray:
+    """Places of a line of n voxels that is mirrored at its end voxels, again and again."""
+    period = max(1, 2 * n - 2)
+    j = np.mod(i, period)
+    return np.where(j < n, j, period - j)
+
+
+def prefiltered(rows: np.ndarray) -> np.ndarray:
+    """Lines (one a row) -> coefficients of their cubic splines: one recursion forwards, one backwards."""
+    n = rows.shape[1]
+    if n == 1:
+        return rows
+    turn = 2 * n - 2
+    k = np.arange(min(turn, REACH))
+    out = np.empty_like(rows)
+    out[:, 0] = rows[:, _mirrored(k, n)] @ POLE**k / (1 - POLE**turn)
+    for i in range(1, n):
+        out[:, i] = rows[:, i] + POLE * out[:, i - 1]
+    out[:, -1] = POLE / (POLE * POLE - 1) * (out[:, -1] + POLE * out[:, -2])
+    for i in range(n - 2, -1, -1):
+        out[:, i] = POLE * (out[:, i + 1] - out[:, i])
+    return 6 * out
+
+
+def spline_read(coefficients: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Splines (one a row of coefficients) at real positions: four neighbours each."""
     base = np.floor(at).astype(int)
     t = at - base
     basis = [(1 - t) ** 3 / 6, (3 * t**3 - 6 * t**2 + 4) / 6, (-3 * t**3 + 3 * t**2 + 3 * t + 1) / 6, t**3 / 6]
-    out = np.zeros((len(at), n))
-    period = max(1, 2 * n - 2)
-    for o, w in zip((-1, 0, 1, 2), basis, strict=True):
-        i = np.mod(base + o, period)
-        np.add.at(out, (np.arange(len(at)), np.where(i < n, i, period - i)), w)
-    return out @ _interpolation(n)
+    n = coefficients.shape[1]
+    return sum(w * coefficients[:, _mirrored(base + o, n)] for o, w in zip((-1, 0, 1, 2), basis, strict=True))
 
 
-def zoom_cubic(vox: DataFrame, keys: list[str], shape, to) -> DataFrame:
-    """RS4 with order 3 (F-A5, F-A9): separable cubic splines, corners on corners."""
-    mats = [spline_matrix(n, np.linspace(0, n - 1, t) if t > 1 else np.zeros(1)) for n, t in zip(shape, to, strict=True)]
-    return _per_volume(vox, keys, shape, lambda a, _: np.einsum("xi,yj,zk,ijk->xyz", *mats, a))
+def lines(vox: DataFrame, keys: list[str], axis: str, n: Column) -> DataFrame:
+    """keys, the other axes, n and the array `line` of n values along an axis; places without a voxel are 0."""
+    others = [a for a in AXES if a != axis]
+    cells = F.array_sort(F.collect_list(F.struct(_c(axis).alias("at"), _c("value").cast("double").alias("value"))))
+    rows = vox.select(*keys, *AXES, "value", n.cast("int").alias("__n")).groupBy(*keys, *others, "__n").agg(cells.alias("cells"))
+    some = F.map_from_entries(F.transform("cells", lambda c: F.struct(c["at"], c["value"])))
+    spread = F.transform(F.sequence(F.lit(0), _c("__n") - 1), lambda i: F.coalesce(F.try_element_at(some, i), F.lit(0.0)))
+    whole = F.transform("cells", lambda c: c["value"])
+    return rows.select(*keys, *others, "__n", F.when(F.size("cells") == _c("__n"), whole).otherwise(spread).alias("line"))
+
+
+def zoom_axis(vox: DataFrame, keys: list[str], axis: str, n, to) -> DataFrame:
+    """The cubic spline through the voxels of each line, read at `to` places between its ends. n, to: numbers or columns."""
+    held = lines(vox.withColumn("__to", F.lit(to).cast("int")), [*keys, "__to"], axis, F.lit(n))
+    others = [a for a in AXES if a != axis]
+    rows = held.select(*keys, *others, "__n", "__to", "line")
+    kept = [*keys, *others]
+
+    def read(batches):
+        for pdf in batches:
+            out = np.empty(len(pdf), object)
+            for (n_, to_), of in pdf.groupby(["__n", "__to"]).indices.items():
+                places = np.linspace(0, n_ - 1, to_) if to_ > 1 else np.zeros(1)
+                out[of] = list(spline_read(prefiltered(np.stack(pdf["line"].to_numpy()[of])), places))
+            yield pdf[kept].assign(out=out)
+
+    schema = T.StructType([*rows.select(*kept).schema, T.StructField("out", T.ArrayType(T.DoubleType()))])
+    return rows.mapInPandas(read, schema).select(*kept, F.posexplode("out").alias(axis, "value")).select(*keys, *AXES, "value")
 
 
-def elastic(vox: DataFrame, keys: list[str], shape, controls: int = 4, sigma: float = 1.0, seed: int = 0) -> DataFrame:
-    """F-A7, RS8: a B-spline field of controls^3 normal displacements of width sigma, sampled linearly, edges repeated.
+def zoom_cubic(vox: DataFrame, keys: list[str], shape, to) -> DataFrame:
+    """RS4 with order 3 (F-A5, F-A9): separable cubic splines, corners on corners, three passes over lines.
 
-    The field follows from seed and key, so a run can be repeated.
+    shape, to: numbers, or columns that keys determine and that are among the keys.
     """
+    for axis, n, t in zip(AXES, shape, to, strict=True):
+        vox = zoom_axis(vox, keys, axis, n, t)
+    return vox
+
+
+def normal_field(volumes: DataFrame, keys: list[str], controls: int, sigma: float, seed: int) -> DataFrame:
+    """keys, component, x, y, z, value: normal displacements of width sigma at controls^3 places, from seed and key."""
+    kinds = {x.name: x.dataType.simpleString() for x in volumes.schema}
+
+    def draw(batches):
+        at = np.indices((controls,) * 3).reshape(3, -1)
+        for pdf in batches:
+            for key in pdf.itertuples(index=False):
+                rng = np.random.default_rng([seed, *[zlib.crc32(str(k).encode()) if not isinstance(k, (int, np.integer)) else int(k) % 2**32 for k in key]])
+                for component in range(3):
+                    values = rng.normal(0, sigma, (controls,) * 3).reshape(-1)
+                    yield pd.DataFrame({**{k: [v] * values.size for k, v in zip(keys, key, strict=True)}, "component": component, **{a: at[i] for i, a in enumerate(AXES)}, "value": values})
+
+    schema = ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], "component int", *[f"{a} int" for a in AXES], "value double"])
+    return volumes.select(*keys).distinct().mapInPandas(draw, schema)
 
-    def move(a: np.ndarray, key: tuple) -> np.ndarray:
-        rng = np.random.default_rng([seed, *[zlib.crc32(str(k).encode()) if not isinstance(k, (int, np.integer)) else int(k) % 2**32 for k in key]])
-        mats = [spline_matrix(controls, np.linspace(0, controls - 1, n) if n > 1 else np.zeros(1)) for n in shape]
-        at = [g + np.einsum("xi,yj,zk,ijk->xyz", *mats, rng.normal(0, sigma, (controls,) * 3)) for g in np.indices(shape)]
-        low = [np.clip(np.floor(p), 0, n - 1).astype(int) for p, n in zip(at, shape, strict=True)]
-        high = [np.minimum(i + 1, n - 1) for i, n in zip(low, shape, strict=True)]
-        rest = [np.clip(p, 0, n - 1) - i for p, i, n in zip(at, low, shape, strict=True)]
-        out = np.zeros(shape)
-        for corner in np.ndindex(2, 2, 2):
-            w = np.prod([r if c else 1 - r for c, r in zip(corner, rest, strict=True)], axis=0)
-            out += w * a[tuple(h if c else i for c, i, h in zip(corner, low, high, strict=True))]
-        return out
-
-    return _per_volume(vox, keys, shape, move)
+
+def portable_field(volumes: DataFrame, key: str, controls: int, sigma: float, seed: int) -> DataFrame:
+    """The same table from draws that any SQL engine makes alike (integer keys): two uniforms by a congruential step, one
+    normal from both."""
+    rows = volumes.select(key).distinct().select(key, F.explode(F.sequence(F.lit(0), F.lit(3 * controls**3 - 1))).alias("i"))
+    uniform = lambda k: (F.floor(portable_key(portable_key(_c(key) * 7919 + _c("i") * 104729 + F.lit(k * 1299709 + seed))) / 65536) + 0.5) / 32768
+    value = F.lit(float(sigma)) * F.sqrt(-2 * F.log(uniform(0))) * F.cos(2 * math.pi * uniform(1))
+    place = [F.expr(f"cast(i div {controls ** (2 - k)} % {controls} as int)").alias(a) for k, a in enumerate(AXES)]
+    return rows.select(key, F.expr(f"cast(i div {controls**3} as int)").alias("component"), *place, value.alias("value"))
+
+
+def elastic(vox: DataFrame, keys: list[str], shape, controls: int = 4, sigma: float = 1.0, seed: int = 0, field: DataFrame | None = None) -> DataFrame:
+    """F-A7, RS8: a B-spline field of controls^3 displacements, sampled linearly, edges repeated.
+
+    field: keys, component, x, y, z, value at the control places; by default normal, of width sigma, from seed and key,
+    so that a run can be repeated. The field is zoomed to the volume by lines; every voxel then is a point that meets its
+    eight neighbours by an equi-join.
+    """
+    field = normal_field(vox, keys, controls, sigma, seed) if field is None else field
+    dense = zoom_cubic(field, [*keys, "component"], (controls,) * 3, shape)
+    moved = dense.groupBy(*keys, *AXES).agg(*[F.sum(F.when(_c("component") == i, _c("value"))).alias(f"d{a}") for i, a in enumerate(AXES)])
+    points = moved.select(*keys, *[_c(a).alias(f"{a}0") for a in AXES], *[(_c(a) + _c(f"d{a}")).alias(f"p{a}") for a in AXES])
+    out = resample_linear(vox, points, keys, shape, "replicate")
+    return out.select(*keys, *[_c(f"{a}0").alias(a) for a in AXES], "value")
 
 
 def crf(vox: DataFrame, keys: list[str], shape, rounds: int = 5, width: float = 1.0, contrast: float = 0.5, weight: float = 1.0, tile: int = 1 << 22) -> DataFrame:

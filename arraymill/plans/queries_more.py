@@ -86,10 +86,5 @@ def vox_elastic_identity(spark, d):
 
 
 @query()
-def vox_elastic(spark, d):
-    return rounded(Z.elastic(vox(spark, d), K, SHAPE, 4, 0.7, 5))
-
-
-@query()
-def vox_crf(spark, d):
+def vox_crf_exact(spark, d):
     return rounded(Z.crf(vox(spark, d), K, SHAPE))
