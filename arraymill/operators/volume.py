@@ -2,6 +2,9 @@
 
 A voxel view has key columns, integer coordinates x, y, z and a double `value`. Operators are joins, windows and
 aggregates on it; every one keeps the key in its grouping, so volumes are processed in parallel and never gathered.
+
+Volumes of different shapes carry theirs in nx, ny, nz (SIZES), and time points and modalities in t and m. All five are
+then keys beside the subject, and `shape` is the columns nx, ny, nz: sizes are numbers or columns everywhere.
 """
 
 from __future__ import annotations
@@ -15,9 +18,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 AXES = ("x", "y", "z")
+SIZES = ("nx", "ny", "nz")
 _c = F.col
 
 
+def sized(keys: list[str]) -> tuple[list[str], tuple[Column, ...]]:
+    """Keys and shape of a view whose volumes carry their own sizes."""
+    return [*keys, *SIZES], tuple(_c(n) for n in SIZES)
+
+
+def resized(vox: DataFrame, by: tuple) -> DataFrame:
+    """The view with its sizes changed by numbers or columns, axis by axis."""
+    return vox.withColumns({n: (_c(n) + F.lit(b)).cast("int") for n, b in zip(SIZES, by, strict=True)})
+
+
+def _number(v) -> Column:
+    return v if isinstance(v, Column) else F.lit(float(v))
+
+
 def voxels(df: DataFrame, keys: list[str], array: str, shape: tuple[int, int, int]) -> DataFrame:
     """The voxel view of packed volumes (C order). A null array has no voxels."""
     _, ny, nz = shape
@@ -41,6 +59,17 @@ def expand_shape(shape: list[int]) -> list[int]:
     return [n for n in spatial if n != 1] + [1] * spatial.count(1) + shape[3:]
 
 
+def expanded_shape(shape: Column) -> Column:
+    """SC13, SC16 for a column: an array of rank 2 to 6 as (x, y, z, t, m); other ranks, and a fifth of six axes that is
+    longer than 1, are an error."""
+    rank = F.size(shape)
+    five = F.when(rank == 6, F.concat(F.slice(shape, 1, 4), F.slice(shape, 6, 1))).otherwise(F.concat(shape, F.array_repeat(F.lit(1), F.greatest(5 - rank, F.lit(0)))))
+    spatial = F.slice(five, 1, 3)
+    moved = F.concat(F.filter(spatial, lambda n: n != 1), F.filter(spatial, lambda n: n == 1), F.slice(five, 4, 2))
+    bad = (rank < 2) | (rank > 6) | ((rank == 6) & (F.get(shape, F.lit(4)) != 1))
+    return F.when(bad, F.raise_error(F.concat(F.lit("no volume of shape "), F.to_json(shape)))).otherwise(moved)
+
+
 def stack_modalities(parts: list[DataFrame]) -> DataFrame:
     """SC14, SC15: voxel views on one modality axis m, in the order given."""
     out = parts[0].withColumn("m", F.lit(0))
@@ -59,26 +88,27 @@ def _inside(sizes: dict[str, int]) -> Column:
 def crop(vox: DataFrame, low: dict[str, int], high: dict[str, int]) -> DataFrame:
     """PF11, F-A16: voxels with low <= coordinate < high, shifted to start at 0."""
     for a in low:
-        vox = vox.where((_c(a) >= low[a]) & (_c(a) < high[a])).withColumn(a, _c(a) - low[a])
+        vox = vox.where((_c(a) >= low[a]) & (_c(a) < high[a])).withColumn(a, (_c(a) - low[a]).cast("int"))
     return vox
 
 
-def _congruent(i: Column, period: int, low: int, high: int) -> Column:
+def _congruent(i: Column, period: Column, low: Column, high: Column) -> Column:
     """The integers of [low, high) that are i modulo the period, as an array."""
-    first = F.lit(low) + F.pmod(i - low, F.lit(period))
-    return F.when(first < high, F.sequence(first.cast("int"), F.lit(high - 1), F.lit(period))).otherwise(F.array().cast("array<int>"))
+    first = (low + F.pmod(i - low, period)).cast("int")
+    return F.when(first < high, F.sequence(first, (high - 1).cast("int"), period)).otherwise(F.array().cast("array<int>"))
 
 
-def _shown_at(i: Column, n: int, before: int, after: int, mode: str) -> Column:
+def _shown_at(i: Column, n, before: int, after: int, mode: str) -> Column:
     """The places of [-before, n + after) that show voxel i of an axis of n voxels, as an array: arithmetic, no trial."""
-    low, high = -before, n + after
+    n = F.lit(n).cast("int")
+    low, high = F.lit(-before), n + after
     if mode == "edge":
-        return F.sequence(F.when(i == 0, F.lit(low)).otherwise(i).cast("int"), F.when(i == n - 1, F.lit(high - 1)).otherwise(i).cast("int"))
+        return F.sequence(F.when(i == 0, low).otherwise(i).cast("int"), F.when(i == n - 1, high - 1).otherwise(i).cast("int"))
     if mode == "wrap":
         return _congruent(i, n, low, high)
     if mode == "symmetric":
         return F.concat(_congruent(i, 2 * n, low, high), _congruent(2 * n - 1 - i, 2 * n, low, high))
-    period = max(1, 2 * n - 2)
+    period = F.greatest(2 * n - 2, F.lit(1))
     return F.array_distinct(F.concat(_congruent(i, period, low, high), _congruent(period - i, period, low, high)))
 
 
@@ -98,7 +128,7 @@ def pad(vox: DataFrame, keys: list[str], shape: tuple[int, int, int], border: tu
         if mode in ("edge", "wrap", "symmetric", "reflect"):
             vox = vox.withColumn(a, F.explode(_moved(_shown_at(_c(a), n, b, e, mode), b)))
             continue
-        outside = F.explode(F.array(*[F.lit(i).cast("int") for i in [*range(b), *range(n + b, n + b + e)]]))
+        outside = F.explode(F.array(*[F.lit(i).cast("int") for i in range(b)], *[(F.lit(n) + (b + i)).cast("int") for i in range(e)]))
         lines = [*keys, *[x for x in AXES if x != a]]
         value = {"minimum": F.min("value"), "maximum": F.max("value"), "mean": F.avg("value"), "constant": F.lit(float(fill))}[mode]
         extra = vox.groupBy(*lines).agg(value.alias("value")).withColumn(a, outside)
@@ -114,8 +144,8 @@ def pad_to(vox: DataFrame, keys: list[str], shape, to, mode: str = "constant") -
 
 def unpad(vox: DataFrame, shape: tuple[int, int, int], border: tuple[int, int, int]) -> DataFrame:
     """F-A2: removes the border; an axis whose border is at least half its size stays."""
-    cut = {a: b for a, n, b in zip(AXES, shape, border, strict=True) if b and 2 * b < n}
-    return crop(vox, cut, {a: shape[AXES.index(a)] - b for a, b in cut.items()})
+    kept = {a: F.when(2 * F.lit(b) < n, F.lit(b)).otherwise(0) for a, n, b in zip(AXES, shape, border, strict=True) if b}
+    return crop(vox, kept, {a: F.lit(shape[AXES.index(a)]) - b for a, b in kept.items()})
 
 
 def flip(vox: DataFrame, shape: tuple[int, int, int], axes: tuple[int, ...]) -> DataFrame:
@@ -209,9 +239,9 @@ def bounded(i: Column, n: int, mode: str) -> Column:
     if mode == "circular":
         return F.pmod(i, F.lit(n))
     if mode == "symmetric":
-        period = 2 * n - 2 or 1
-        j = F.pmod(i, F.lit(period))
-        return F.least(j, F.lit(period) - j)
+        period = F.greatest(2 * F.lit(n) - 2, F.lit(1))
+        j = F.pmod(i, period)
+        return F.least(j, period - j)
     return i
 
 
@@ -279,9 +309,9 @@ def affine_points(volumes: DataFrame, keys: list[str], shape, matrix: list[list[
     """RS7: for each volume, one point a voxel of `shape`, mapped by a 3 x 4 matrix; columns keys, x0, y0, z0, px, py, pz."""
     grid = volumes.select(*keys).distinct()
     for a, n in zip(AXES, shape, strict=True):
-        grid = grid.withColumn(f"{a}0", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+        grid = grid.withColumn(f"{a}0", F.explode(F.sequence(F.lit(0), F.lit(n - 1).cast("int"))))
     at = [_c("x0"), _c("y0"), _c("z0")]
-    moved = [sum((p * F.lit(float(m)) for p, m in zip(at, row[:3], strict=True)), F.lit(float(row[3]))).alias(f"p{a}") for a, row in zip(AXES, matrix, strict=True)]
+    moved = [sum((p * _number(m) for p, m in zip(at, row[:3], strict=True)), _number(row[3])).alias(f"p{a}") for a, row in zip(AXES, matrix, strict=True)]
     return grid.select(*keys, "x0", "y0", "z0", *moved)
 
 
@@ -292,16 +322,26 @@ def inverse_affine(matrix: list[list[float]]) -> list[list[float]]:
     return np.linalg.inv(np.vstack([np.array(matrix, float), [0, 0, 0, 1]]))[:3].tolist()
 
 
-def rotation(angles: tuple[float, float, float], shape) -> list[list[float]]:
-    """F-A4: the matrix of rotations about x, y, z (degrees; z * x * y) around the centre of a volume."""
+def about_centre(matrix, shape) -> list[list]:
+    """The 3 x 4 matrix of a linear map around the centre of a volume."""
+    centre = [(n - 1) / 2 for n in shape]
+    return [[*row, centre[r] - sum((c * float(v) for c, v in zip(centre, row, strict=True)), 0.0)] for r, row in enumerate(matrix)]
+
+
+def turn(angles: tuple[float, float, float]) -> list[list[float]]:
+    """F-A4: the 3 x 3 matrix of rotations about x, y, z (degrees; z * x * y)."""
     import numpy as np
 
     a, b, c = np.radians(angles)
     rx = np.array([[1, 0, 0], [0, np.cos(a), -np.sin(a)], [0, np.sin(a), np.cos(a)]])
     ry = np.array([[np.cos(b), 0, np.sin(b)], [0, 1, 0], [-np.sin(b), 0, np.cos(b)]])
     rz = np.array([[np.cos(c), -np.sin(c), 0], [np.sin(c), np.cos(c), 0], [0, 0, 1]])
-    m, centre = rz @ rx @ ry, (np.array(shape) - 1) / 2
-    return np.hstack([m, (centre - m @ centre)[:, None]]).tolist()
+    return (rz @ rx @ ry).tolist()
+
+
+def rotation(angles: tuple[float, float, float], shape) -> list[list[float]]:
+    """F-A4: the matrix of rotations about x, y, z (degrees; z * x * y) around the centre of a volume."""
+    return about_centre(turn(angles), shape)
 
 
 def warped(vox: DataFrame, keys: list[str], shape, matrix, order: int = 1, mode: str = "replicate") -> DataFrame:
@@ -311,9 +351,16 @@ def warped(vox: DataFrame, keys: list[str], shape, matrix, order: int = 1, mode:
     return out.select(*keys, *[_c(f"{a}0").alias(a) for a in AXES], "value")
 
 
+def _corner_step(n, t):
+    """How far apart, in voxels of an axis of n, are t places that span it."""
+    if isinstance(n, Column) or isinstance(t, Column):
+        return F.when(F.lit(t) > 1, (F.lit(n) - 1) / (F.lit(t) - 1).cast("double")).otherwise(0.0)
+    return (n - 1) / (t - 1) if t > 1 else 0.0
+
+
 def zoom(vox: DataFrame, keys: list[str], shape, to, order: int = 1) -> DataFrame:
     """RS4, F-A9, F-A18, WS10 for order 0 and 1: a grid of `to` voxels that spans the same corners."""
-    scale = [(n - 1) / (t - 1) if t > 1 else 0.0 for n, t in zip(shape, to, strict=True)]
+    scale = [_corner_step(n, t) for n, t in zip(shape, to, strict=True)]
     matrix = [[scale[0], 0, 0, 0], [0, scale[1], 0, 0], [0, 0, scale[2], 0]]
     points = affine_points(vox, keys, to, matrix)
     out = (resample_nearest if order == 0 else resample_linear)(vox, points, keys, shape, "replicate")
@@ -427,7 +474,7 @@ def field_warped(vox: DataFrame, field: list[DataFrame], keys: list[str], shape,
 
 def bias_field(vox: DataFrame, shape, coefficients: dict[tuple[int, int, int], float]) -> DataFrame:
     """F-A6: v * exp(sum c_ijk x^i y^j z^k), coordinates scaled to [0, 1]."""
-    at = [_c(a) / F.lit(float(max(1, n - 1))) for a, n in zip(AXES, shape, strict=True)]
+    at = [_c(a) / F.greatest(F.lit(n) - 1, F.lit(1)).cast("double") for a, n in zip(AXES, shape, strict=True)]
     power = lambda p: F.pow(at[0], F.lit(p[0])) * F.pow(at[1], F.lit(p[1])) * F.pow(at[2], F.lit(p[2]))
     return vox.withColumn("value", _c("value") * F.exp(sum((F.lit(float(c)) * power(p) for p, c in coefficients.items()), F.lit(0.0))))
 

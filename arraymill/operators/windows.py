@@ -55,8 +55,9 @@ def _starts(axis: str, window: int, border: int) -> Column:
     return step_points_column(_c(axis.upper()), window, _step(window, border)).alias(f"{axis}s")
 
 
-def cut_windows(vox: DataFrame, images: DataFrame, key: str, window: tuple[int, int, int], border: tuple[int, int, int] = (0, 0, 0)) -> DataFrame:
-    """WS3, J17: voxels of every grid window, with x, y, z inside the window and its seq and x0, y0, z0.
+def cut_windows(vox: DataFrame, images: DataFrame, key: str, window: tuple[int, int, int], border: tuple[int, int, int] = (0, 0, 0), carry: tuple[str, ...] = ()) -> DataFrame:
+    """WS3, J17: voxels of every grid window, with x, y, z inside the window and its seq and x0, y0, z0, and the columns
+    to carry (t and m, say).
 
     A voxel meets its image by an equi-join on the key and finds the windows that cover it by arithmetic: the first and
     the last step that reach it, and the start at the far end. It is exploded to these alone, and no range join is made.
@@ -68,7 +69,7 @@ def cut_windows(vox: DataFrame, images: DataFrame, key: str, window: tuple[int,
     start = {a: start_of(_c(f"i{a}"), _c(f"__{a}"), w, _step(w, b)) for a, w, b in zip(AXES, window, border, strict=True)}
     count = {a: _axis(_c(f"__{a}"), w, _step(w, b))[-1] for a, w, b in zip(AXES, window, border, strict=True)}
     seq = (_c("iy") * count["x"] + _c("ix")) * count["z"] + _c("iz")
-    return rows.select(key, seq.cast("int").alias("seq"), *[start[a].alias(f"{a}0") for a in AXES], *[(_c(a) - start[a]).alias(a) for a in AXES], "value")
+    return rows.select(key, *carry, seq.cast("int").alias("seq"), *[start[a].alias(f"{a}0") for a in AXES], *[(_c(a) - start[a]).alias(a) for a in AXES], "value")
 
 
 def _axis(end: Column, window: int, step: int) -> tuple[Column, Column, Column, Column, Column, Column]:
@@ -109,14 +110,18 @@ def crop_windows(cut: DataFrame, window: tuple[int, int, int], border: tuple[int
     return cut
 
 
-def assemble(cut: DataFrame, spine: DataFrame, key: str, fill: float = 0.0) -> DataFrame:
+def assemble(cut: DataFrame, spine: DataFrame, key: str, fill: float = 0.0, channels: tuple[str, ...] = ()) -> DataFrame:
     """AG75: window voxels back in their volumes: the window with the largest seq wins, uncovered voxels get `fill`.
 
-    spine: (key, x, y, z) of the volumes. One aggregate, then a left join from the spine.
+    spine: (key, x, y, z) of the volumes. channels: columns of the windows (t and m, say) that tell the values of one voxel
+    apart; a volume has all places in each of its channels. One aggregate, then a left join from the spine.
     """
-    placed = cut.select(key, "seq", *[(_c(a) + _c(f"{a}0")).cast("int").alias(a) for a in AXES], "value")
-    last = placed.groupBy(key, *AXES).agg(F.max_by("value", "seq").alias("value"))
-    return spine.select(key, *AXES).join(last, [key, *AXES], "left").withColumn("value", F.coalesce("value", F.lit(float(fill))))
+    placed = cut.select(key, *channels, "seq", *[(_c(a) + _c(f"{a}0")).cast("int").alias(a) for a in AXES], "value")
+    last = placed.groupBy(key, *channels, *AXES).agg(F.max_by("value", "seq").alias("value"))
+    whole = spine.select(key, *AXES)
+    if channels:
+        whole = whole.join(cut.select(key, *channels).distinct(), key).select(key, *channels, *AXES)
+    return whole.join(last, [key, *channels, *AXES], "left").withColumn("value", F.coalesce("value", F.lit(float(fill))))
 
 
 def window_rows_csv(rows: DataFrame, values: list[str]) -> DataFrame:

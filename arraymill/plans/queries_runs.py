@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from ..operators import control as T
+from ..operators import volume as V
+from ..sources import files, images
 from ..sources.shared import shared_dir
 from ..streaming import pipeline as S
 from . import runs as R
@@ -98,6 +100,76 @@ def run_training_windows(spark, d):
     return R.run_training_windows(spec, vox(spark, d), (2, 2, 2), SHAPE, "vec_id").select(*K, "draw", "x", "y", "z", "value")
 
 
+# volumes of four shapes and ranks, all of 64 voxels in C order: x, y, z, t, m by vec_id % 4
+_SHAPES = [(4, 4, 4), (8, 4, 2), (4, 4, 2, 2), (2, 4, 4, 1, 2)]
+_FIVE = f"""e AS (SELECT vec_id, embedding, [{", ".join(str([*s, 1, 1][:5]) for s in _SHAPES)}][vec_id % 4 + 1] AS s FROM embeddings),
+p AS (SELECT vec_id, s, unnest(range(64)) AS pos, unnest(embedding)::DOUBLE AS value FROM e),
+vox AS (SELECT vec_id, (pos // (s[4] * s[5]) // s[3] // s[2] % s[1])::INT AS x, (pos // (s[4] * s[5]) // s[3] % s[2])::INT AS y, (pos // (s[4] * s[5]) % s[3])::INT AS z,
+    (pos // s[5] % s[4])::INT AS t, (pos % s[5])::INT AS m, s, value FROM p)"""
+
+
+def _shaped(spark, d):
+    """Packed volumes (vec_id, shape, voxels) of the four shapes, of rank 3, 4 and 5."""
+    shapes = F.array(*[F.array(*map(F.lit, s)) for s in _SHAPES])
+    return table(spark, d, "embeddings").select("vec_id", F.get(shapes, (F.col("vec_id") % 4).cast("int")).alias("shape"), F.col("embedding").cast("array<float>").alias("voxels"))
+
+
+@query(f"WITH {_FIVE} SELECT vec_id, x, y, z, t, m, round((2 * value + 1)::FLOAT, 4) + 0 AS value FROM vox")
+def run_inference_files(spark, d):
+    """Files in two folders, of three shapes and of rank 3 to 5, listed in a CSV; windows of 3 with border 1 over each volume,
+    time point and modality; written as files again, and read back by the manifest's paths."""
+    root = f"{shared_dir(spark)}/infer-{uuid.uuid4().hex}"
+    unit = F.array(*[F.lit(float(i % 5 == 0)) for i in range(16)])
+    heads = _shaped(spark, d).select(F.concat(F.col("vec_id").cast("string"), F.lit(".nii")).alias("path"), "shape", unit.alias("affine"), F.array(*[F.lit(1.0)] * 3).alias("pixdim"), "voxels", "vec_id")
+    listed = None
+    for side in (0, 1):
+        part = heads.where(F.floor(F.col("vec_id") / 4) % 2 == side)
+        paths = images.write_files(images.nifti_bytes(part), f"{root}/in{side}").select(F.regexp_extract("name", "[0-9]+", 0).alias("subject_id"), "path")
+        listed = paths if listed is None else listed.unionByName(paths)
+    files.write_rows(listed, f"{root}/list.csv")
+    spec = read_config(f"""[image]
+csv_file = {root}/list.csv
+[NETWORK]
+volume_padding_size = 1,1,1
+volume_padding_mode = edge
+[INFERENCE]
+spatial_window_size = 3,3,3
+border = 1,1,1
+save_seg_dir = {root}/out""")
+    R.infer_files(spark, spec, lambda cut: cut.withColumn("value", 2 * F.col("value") + F.col("x")))
+    manifest = read_config(f"[image]\ncsv_file = {root}/out/inferred.csv").sources["image"]
+    out = R.load_source(spark, manifest, "image")
+    return out.select(F.col("subject_id").cast("long").alias("vec_id"), "x", "y", "z", "t", "m", (F.round("value", 4) + 0).alias("value"))
+
+
+_HALF = "(CASE WHEN g.{0} % 2 = 0 THEN (v.{0} = g.{0} // 2)::INT::DOUBLE ELSE 0.5 * (v.{0} = g.{0} // 2 OR v.{0} = g.{0} // 2 + 1)::INT END)"
+
+
+@query(f"""WITH {_FIVE}, g AS (SELECT vec_id, t, m, unnest(range(2 * s[1] - 1)) AS x, y, z, s FROM (SELECT DISTINCT vec_id, t, m, s FROM vox), range(15) b(y), range(15) c(z) WHERE y < 2 * s[2] - 1 AND z < 2 * s[3] - 1),
+w AS (SELECT g.vec_id, g.t, g.m, g.x, g.y, g.z, {_HALF.format("x")} * {_HALF.format("y")} * {_HALF.format("z")} AS w, value FROM g JOIN vox v USING (vec_id, t, m))
+SELECT vec_id, t, m, x::INT AS x, y::INT AS y, z::INT AS z, round(sum(w * value), 6) + 0 AS value FROM w GROUP BY ALL""")
+def vox_zoom_five_axes(spark, d):
+    """RS2, RS4 by volume, time point and modality: each volume of its own shape on a grid twice as fine."""
+    vox = R.voxel_table(_shaped(spark, d), "vec_id")
+    keys, shape = V.sized(["vec_id", "t", "m"])
+    out = V.zoom(vox, keys, shape, tuple(2 * n - 1 for n in shape), 1)
+    return out.select("vec_id", "t", "m", *V.AXES, (F.round("value", 6) + 0).alias("value"))
+
+
+_MIRROR = "(CASE WHEN (h.x - 2 + 2 * s[1]) % (2 * s[1]) < s[1] THEN (h.x - 2 + 2 * s[1]) % (2 * s[1]) ELSE 2 * s[1] - 1 - (h.x - 2 + 2 * s[1]) % (2 * s[1]) END)"
+
+
+@query(f"""WITH {_FIVE}, a AS (SELECT DISTINCT vec_id, t, m, s, z FROM vox), g AS (SELECT vec_id, t, m, s, z, unnest(range(s[1] + 3)) AS x FROM a), h AS (SELECT vec_id, t, m, s, z, x, unnest(range(s[2] + 2)) AS y FROM g)
+SELECT h.vec_id, h.t, h.m, h.x::INT AS x, h.y::INT AS y, h.z, value FROM (SELECT h.*, {_MIRROR} AS ix, (h.y - 1 + s[2]) % s[2] AS iy FROM h) h
+JOIN vox v ON v.vec_id = h.vec_id AND v.t = h.t AND v.m = h.m AND v.z = h.z AND v.x = ix AND v.y = iy""")
+def vox_pad_own_shapes(spark, d):
+    """F-A1 by volume: x mirrored by two before and one behind, y wrapped by one, each volume of its own shape."""
+    vox = R.voxel_table(_shaped(spark, d), "vec_id")
+    keys, shape = V.sized(["vec_id", "t", "m"])
+    grown = V.pad(V.pad(vox, keys, shape, (2, 0, 0), "symmetric", after=(1, 0, 0)), keys, shape, (0, 1, 0), "wrap")
+    return grown.select("vec_id", "t", "m", *V.AXES, "value")
+
+
 @query("""WITH i AS (SELECT unnest(range(1, 13)) AS iteration), s AS (SELECT iteration, 'training' AS phase FROM i UNION ALL SELECT iteration, 'validation' FROM i WHERE iteration % 3 = 0),
 k AS (SELECT *, row_number() OVER (PARTITION BY phase ORDER BY iteration) - 1 AS k FROM s)
 SELECT iteration, phase, n_nationkey, n_nationkey // 4 AS batch FROM k JOIN nation ON (phase = 'training' AND n_nationkey < 20 AND n_nationkey // 4 = k % 5) OR (phase = 'validation' AND n_nationkey < 12 AND n_nationkey // 4 = k % 3)""")

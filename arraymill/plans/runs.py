@@ -6,6 +6,7 @@ DataFrame each, and nothing is gathered.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +26,8 @@ from .spec import PipelineSpec, SourceSpec, look_up
 SAMPLERS = Registry("sampler")
 #: Metrics by name, (voxels, keys) -> frame of the keys and one or more columns.
 METRICS = Registry("metric")
+#: Keys beside the subject: time points and modalities.
+CHANNELS = ("t", "m")
 #: Applications by name.
 APPLICATIONS = Registry("application")
 
@@ -59,37 +62,92 @@ def resize(vox, sizes, key, window, samples, shape=None):
     return W.whole_image(sizes, key).withColumn("draw", F.lit(0))
 
 
+def voxel_table(packed: DataFrame, key: str) -> DataFrame:
+    """The voxel view (key, t, m, nx, ny, nz, x, y, z, value) of packed volumes of rank 2 to 6, each with its own shape."""
+    rows = packed.select(key, V.expanded_shape(F.col("shape")).alias("s"), F.posexplode("voxels").alias("pos", "v"))
+    at, place = F.col("pos"), {}
+    for i, a in reversed(list(enumerate((*V.AXES, "t", "m")))):
+        n = F.get("s", F.lit(i))
+        place[a] = (at % n).cast("int")
+        at = F.floor(at / n)
+    sizes = [F.get("s", F.lit(i)).cast("int").alias(n) for i, n in enumerate(V.SIZES)]
+    return rows.select(key, *[place[a].alias(a) for a in CHANNELS], *sizes, *[place[a].alias(a) for a in V.AXES], F.col("v").cast("double").alias("value"))
+
+
 def voxels_of(packed: DataFrame, key: str) -> DataFrame:
-    """The voxel view (key, x, y, z, value) of packed volumes, each with its own shape of rank 3 (further axes of length 1)."""
-    rows = packed.select(key, "shape", F.posexplode("voxels").alias("pos", "v"))
-    ny, nz = F.get("shape", F.lit(1)), F.coalesce(F.get("shape", F.lit(2)), F.lit(1))
-    x, y, z = F.floor(F.col("pos") / (ny * nz)), F.floor(F.col("pos") / nz) % ny, F.col("pos") % nz
-    return rows.select(key, *[c.cast("int").alias(a) for a, c in zip(V.AXES, (x, y, z), strict=True)], F.col("v").cast("double").alias("value"))
+    """The voxel view (key, x, y, z, value) of packed volumes of one time point and one modality; others are an error."""
+    one = F.when((F.col("t") == 0) & (F.col("m") == 0), F.col("value")).otherwise(F.raise_error(F.lit("a volume with several time points or modalities: see voxel_table")).cast("double"))
+    return voxel_table(packed, key).select(key, *V.AXES, one.alias("value"))
 
 
-def load_source(spark: SparkSession, source: SourceSpec, name: str) -> DataFrame:
-    """A section's volumes as voxels (subject_id, x, y, z, value): subjects and files from its CSV or by search, then read."""
+def packed_volumes(vox: DataFrame, key: str) -> DataFrame:
+    """(key, shape, voxels) of a view with t, m and sizes: shape (x, y, z, t, m), voxels in C order."""
+    order = (*V.AXES, *CHANNELS)
+    rows = F.array_sort(F.collect_list(F.struct(*order, "value")))
+    held = vox.groupBy(key, *V.SIZES).agg((F.max("t") + 1).alias("nt"), (F.max("m") + 1).alias("nm"), rows.alias("rows"))
+    return held.select(key, F.array(*V.SIZES, "nt", "nm").alias("shape"), F.transform("rows", lambda r: r["value"].cast("float")).alias("voxels"))
+
+
+def _qualified(spark: SparkSession, folder: str) -> str:
+    """A folder's path as Spark's readers name it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
+def listed_files(spark: SparkSession, source: SourceSpec, name: str) -> DataFrame:
+    """(subject_id, file) of a section, from its CSV or by search; file is the whole path, as Spark's readers name it.
+
+    The folders of a CSV's paths go through the driver, as a reader's list of folders does.
+    """
     if source.csv_file:
-        listed = files.read_section(spark, source.csv_file, "path")
-        folder = listed.agg(F.min(F.regexp_replace("path", r"[^/]*$", ""))).first()[0]
-        of = F.regexp_extract("path", r"([^/]*)$", 1)
-    elif source.path_to_search:
-        folder = source.path_to_search
-        listed = files.scan_directory(spark, folder, list(source.filename_contains), list(source.filename_not_contains), source.filename_removefromid or None)
-        of = F.col("name")
-    else:
-        raise ValueError(f"{name}: neither csv_file nor path_to_search")
-    named = listed.select(SUBJECT, of.alias("file"))
-    at = F.regexp_extract("path", r"([^/]*)$", 1)
-    found = spark.read.format("binaryFile").load(folder).select("path", "content").withColumn("file", at)
-    packed = images.decoded(found.join(named.select("file"), "file", "left_semi").select("path", "content"), source.loader)  # other files are not decoded
-    return voxels_of(packed.withColumn("file", at).join(named, "file"), SUBJECT)
+        split = files.read_section(spark, source.csv_file, "path").select(SUBJECT, F.trim(F.regexp_extract("path", r"^(.*?)[^/]*$", 1)).alias("folder"), F.regexp_extract("path", r"([^/]*)$", 1).alias("base"))
+        folders = [r.folder for r in split.select("folder").distinct().collect()]
+        names = spark.createDataFrame([(f, _qualified(spark, f or ".")) for f in folders], "folder string, whole string")
+        return split.join(names, "folder").select(SUBJECT, F.concat_ws("/", F.regexp_replace("whole", "/$", ""), "base").alias("file"))
+    if source.path_to_search:
+        searched = [p.strip() for p in source.path_to_search.split(",") if p.strip()]
+        found = files.scan_directory(spark, searched, list(source.filename_contains), list(source.filename_not_contains), source.filename_removefromid or None)
+        return found.select(SUBJECT, F.col("path").alias("file"))
+    raise ValueError(f"{name}: neither csv_file nor path_to_search")
+
+
+def load_packed(spark: SparkSession, source: SourceSpec, name: str) -> DataFrame:
+    """A section's files as packed volumes (subject_id, path, shape, affine, pixdim, voxels): the listed paths themselves, in
+    any number of folders; a listed file that is not there is an error. Files that are not listed are not decoded."""
+    named = listed_files(spark, source, name)
+    folders = [r.folder for r in named.select(F.regexp_extract("file", r"^(.*)/[^/]*$", 1).alias("folder")).distinct().collect()]
+    there = spark.read.format("binaryFile").load(folders)
+    absent = named.join(there.select(F.col("path").alias("file")), "file", "left_anti").limit(3).collect()
+    if absent:
+        raise FileNotFoundError(f"{name}: " + ", ".join(r.file for r in absent))
+    read = there.select("path", "content").join(named.select(F.col("file").alias("path")).distinct(), "path", "left_semi")
+    return images.decoded(read, source.loader).join(named.withColumnRenamed("file", "path"), "path")
+
+
+def load_source(spark: SparkSession, source: SourceSpec, name: str) -> DataFrame:
+    """A section's volumes as voxels (subject_id, t, m, nx, ny, nz, x, y, z, value), each with its own shape."""
+    return voxel_table(load_packed(spark, source, name), SUBJECT)
 
 
 def aligned_voxels(inferred: DataFrame, reference: DataFrame, key: str) -> DataFrame:
-    """Predictions and labels side by side, by subject and voxel: (key, x, y, z, inferred, reference)."""
-    at = [key, *V.AXES]
-    return inferred.select(*at, F.col("value").alias("inferred")).join(reference.select(*at, F.col("value").alias("reference")), at)
+    """Predictions and labels side by side, by subject and voxel: (key, x, y, z, inferred, reference).
+
+    Where both sides carry t and m, these tell voxels apart; where both carry sizes, different ones are an error. Subjects
+    of one side only are left out.
+    """
+    both = [c for c in (*CHANNELS, *V.SIZES) if c in inferred.columns and c in reference.columns]
+    at = [key, *[c for c in CHANNELS if c in both], *V.AXES]
+    sizes = [c for c in V.SIZES if c in both]
+    left = inferred.select(*at, F.col("value").alias("inferred"), *[F.col(c).alias(f"__i{c}") for c in sizes])
+    right = reference.select(*at, F.col("value").alias("reference"), *[F.col(c).alias(f"__r{c}") for c in sizes])
+    rows = left.join(right, at)
+    if sizes:
+        same = F.lit(True)
+        for c in sizes:
+            same = same & (F.col(f"__i{c}") == F.col(f"__r{c}"))
+        error = F.raise_error(F.concat(F.lit("shapes differ: "), F.col(key).cast("string")))
+        rows = rows.withColumn("inferred", F.when(same, F.col("inferred")).otherwise(error.cast("double")))
+    return rows.select(*at, "inferred", "reference")
 
 
 class Application:
@@ -175,49 +233,96 @@ def evaluate_files(spark: SparkSession, spec: PipelineSpec, application: str) ->
     return files.write_metrics(frames, spec.sections["EVALUATION"].save_csv_dir)
 
 
-def prepared(spec: PipelineSpec, vox: DataFrame, key: str, shape) -> tuple[DataFrame, tuple[int, int, int]]:
-    """The preprocessing of a run: whitening (over the foreground, if so set), then padding; and the padded shape."""
+def prepared(spec: PipelineSpec, vox: DataFrame, key: str, shape=None) -> tuple[DataFrame, tuple]:
+    """The preprocessing of a run: whitening (over the foreground, if so set), then padding; and the padded shape.
+
+    shape: of all volumes; None where each carries its own in nx, ny, nz, which then are the padded ones afterwards.
+    """
     net = spec.sections["NETWORK"]
+    keys = [key, *[c for c in CHANNELS if c in vox.columns]]
+    own = shape is None
+    if own:
+        keys, shape = V.sized(keys)
     if net.whitening:
         inside = None
         if net.normalise_foreground_only:
-            vox, inside = I.foreground(vox, [key], "value", net.foreground_type), F.col("mask")
-        vox = I.whitened(vox, [key], "value", inside).drop("value", "mask").withColumnRenamed("white", "value").select(key, *V.AXES, "value")
+            vox, inside = I.foreground(vox, keys, "value", net.foreground_type), F.col("mask")
+        vox = I.whitened(vox, keys, "value", inside).drop("value", "mask").withColumnRenamed("white", "value").select(*keys, *V.AXES, "value")
     border = _three(net.volume_padding_size)
-    return V.pad(vox, [key], shape, border, net.volume_padding_mode), tuple(n + 2 * b for n, b in zip(shape, border, strict=True))
+    padded = V.pad(vox, keys, shape, border, net.volume_padding_mode)
+    if own:
+        return V.resized(padded, tuple(2 * b for b in border)), shape
+    return padded, tuple(n + 2 * b for n, b in zip(shape, border, strict=True))
+
+
+def _image_sizes(vox: DataFrame, key: str, grown) -> DataFrame:
+    """(key, X, Y, Z) of each volume."""
+    of = [c for c in V.SIZES if c in vox.columns]
+    return vox.select(key, *of).distinct().select(key, *[F.lit(n).cast("int").alias(a.upper()) for a, n in zip(V.AXES, grown, strict=True)])
 
 
 def _three(values: tuple[int, ...]) -> tuple[int, int, int]:
     return tuple([*values, *[values[-1] if len(values) == 1 else 0] * 3][:3]) if values else (0, 0, 0)
 
 
-def run_inference(spec: PipelineSpec, vox: DataFrame, predict: Callable[[DataFrame], DataFrame], shape, key: str = SUBJECT) -> DataFrame:
+def run_inference(spec: PipelineSpec, vox: DataFrame, predict: Callable[[DataFrame], DataFrame], shape=None, key: str = SUBJECT) -> DataFrame:
     """Survey 3.2: the volumes that a window model makes: prepare, cut into grid windows, predict, crop, reassemble, unpad.
 
-    predict: window voxels (key, seq, x0, y0, z0, x, y, z, value) -> the same columns, value replaced.
+    predict: window voxels (key, t, m where there are any, seq, x0, y0, z0, x, y, z, value) -> the same columns, value
+    replaced; it may give other t and m. shape: of all volumes; None where each carries its own in nx, ny, nz: the result
+    then has them too, and every window size is to be given.
     """
     set_ = spec.sections["INFERENCE"]
     inside, grown = prepared(spec, vox, key, shape)
-    window, border = tuple(W.window_sizes(list(set_.spatial_window_size), list(grown))), _three(set_.border)
-    sizes = inside.select(key).distinct().select(key, *[F.lit(n).alias(a.upper()) for a, n in zip(V.AXES, grown, strict=True)])
-    cut = predict(W.cut_windows(inside, sizes, key, window, border))
-    whole = W.assemble(W.crop_windows(cut, window, border), inside, key, set_.fill_constant)
-    return V.unpad(whole, grown, _three(spec.sections["NETWORK"].volume_padding_size))
-
-
-def run_training_windows(spec: PipelineSpec, vox: DataFrame, window: tuple[int, int, int], shape, key: str = SUBJECT) -> DataFrame:
-    """Survey 3.1: the voxels of the training windows that the sampler of a run draws: (key, draw, x, y, z, value).
-
-    Windows are few a volume: each is exploded to its places, which meet the voxels by an equi-join.
+    own = shape is None
+    if own and (len(set_.spatial_window_size) < 3 or min(set_.spatial_window_size) <= 0):
+        raise ValueError("volumes of different shapes need a spatial_window_size of three positive numbers")
+    window = tuple(set_.spatial_window_size[:3]) if own else tuple(W.window_sizes(list(set_.spatial_window_size), list(grown)))
+    border, channels = _three(set_.border), tuple(c for c in CHANNELS if c in vox.columns)
+    sizes = _image_sizes(inside, key, grown)
+    cut = predict(W.cut_windows(inside, sizes, key, window, border, channels))
+    spine = inside.select(key, *V.AXES).distinct() if channels else inside
+    whole = W.assemble(W.crop_windows(cut, window, border), spine, key, set_.fill_constant, channels)
+    edge = _three(spec.sections["NETWORK"].volume_padding_size)
+    if not own:
+        return V.unpad(whole, grown, edge)
+    whole = whole.join(sizes.select(key, *[F.col(a.upper()).alias(n) for a, n in zip(V.AXES, V.SIZES, strict=True)]), key)
+    kept = tuple(F.when(2 * F.lit(b) < F.col(n), -2 * b).otherwise(0) for n, b in zip(V.SIZES, edge, strict=True))
+    return V.resized(V.unpad(whole, tuple(F.col(n) for n in V.SIZES), edge), kept).select(key, *channels, *V.SIZES, *V.AXES, "value")
+
+
+def infer_files(spark: SparkSession, spec: PipelineSpec, predict: Callable[[DataFrame], DataFrame], name: str = "image") -> DataFrame:
+    """Survey 3.2 from files to files: reads a section, infers, writes one NIfTI-1 file a subject to save_seg_dir, with the
+    affine and voxel sizes of its source, and the manifest `inferred.csv`; returns the manifest (subject_id, path)."""
+    set_ = spec.sections["INFERENCE"]
+    read = load_packed(spark, spec.sources[name], name)
+    made = packed_volumes(run_inference(spec, voxel_table(read, SUBJECT), predict), SUBJECT)
+    heads = read.select(SUBJECT, "affine", "pixdim")
+    named = made.join(heads, SUBJECT).withColumn("path", F.concat(F.col(SUBJECT), F.lit(f"{set_.output_postfix}.nii")))
+    written = images.write_files(images.nifti_bytes(named.select(SUBJECT, "path", "shape", "affine", "pixdim", "voxels")), set_.save_seg_dir)
+    manifest = written.select(F.regexp_replace("name", re.escape(f"{set_.output_postfix}.nii") + "$", "").alias(SUBJECT), "path")
+    files.write_manifest(manifest.withColumnRenamed("path", "file"), f"{set_.save_seg_dir.rstrip('/')}/inferred.csv")
+    return manifest
+
+
+def run_training_windows(spec: PipelineSpec, vox: DataFrame, window: tuple[int, int, int], shape=None, key: str = SUBJECT) -> DataFrame:
+    """Survey 3.1: the voxels of the training windows that the sampler of a run draws: (key, t, m where there are any, draw,
+    x, y, z, value). shape: of all volumes; None where each carries its own in nx, ny, nz.
+
+    Windows are few a volume: each is exploded to its places, which meet the voxels by an equi-join. A sampler that
+    weighs voxels sees those of the first time point and modality.
     """
     inside, grown = prepared(spec, vox, key, shape)
-    sizes = inside.select(key).distinct().select(key, *[F.lit(n).alias(a.upper()) for a, n in zip(V.AXES, grown, strict=True)])
-    drawn = SAMPLERS.create(spec.sections["NETWORK"].window_sampling, inside, sizes, key, window, spec.sections["TRAINING"].sample_per_volume, shape=grown)
+    channels = [c for c in CHANNELS if c in vox.columns]
+    seen = inside
+    for c in channels:
+        seen = seen.where(F.col(c) == 0)
+    drawn = SAMPLERS.create(spec.sections["NETWORK"].window_sampling, seen, _image_sizes(inside, key, grown), key, window, spec.sections["TRAINING"].sample_per_volume, shape=grown)
     places = drawn
     for a in V.AXES:
         places = places.withColumn(a, F.explode(F.sequence(F.col(f"{a}0"), F.col(f"{a}1") - 1)))
     met = places.join(inside, [key, *V.AXES])
-    return met.select(key, "draw", *[(F.col(a) - F.col(f"{a}0")).alias(a) for a in V.AXES], "value")
+    return met.select(key, *channels, "draw", *[(F.col(a) - F.col(f"{a}0")).alias(a) for a in V.AXES], "value")
 
 
 def source_of_step(schedule: DataFrame, sources: dict[str, DataFrame], index: str = "batch") -> DataFrame:

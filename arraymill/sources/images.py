@@ -12,6 +12,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -199,3 +201,21 @@ def nifti_bytes(packed: DataFrame) -> DataFrame:
             yield pd.DataFrame({"path": b["path"], "content": [encode_nifti(list(s), v, list(a), list(p)) for s, a, p, v in zip(b["shape"], b["affine"], b["pixdim"], b["voxels"], strict=True)]})
 
     return packed.select("path", "shape", "affine", "pixdim", "voxels").mapInPandas(run, "path string, content binary")
+
+
+def write_files(named: DataFrame, folder: str) -> DataFrame:
+    """One file a row of (path, content) in a folder of a store that pyarrow reaches, written by the tasks; returns (name,
+    path), read back from the folder, so that nothing is written twice. A task that runs again writes the same files."""
+    def run(batches):
+        store, base = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        store.create_dir(base, recursive=True)
+        for batch in batches:
+            for name, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                with store.open_output_stream(f"{base}/{name}") as out:
+                    out.write(content)
+            yield pa.RecordBatch.from_arrays([batch.column("path")], names=["name"])
+
+    names = named.select("path", "content").mapInArrow(run, "name string")
+    names.write.format("noop").mode("overwrite").save()
+    found = named.sparkSession.read.format("binaryFile").load(folder).select("path")
+    return found.select(F.regexp_extract("path", r"([^/]*)$", 1).alias("name"), "path")
