@@ -26,37 +26,57 @@ def item_words(text: Column) -> Column:
 
 
 class WindowIndex:
-    """Items' words, and for each window the position of its rarest word: the prefix a document must share with it."""
+    """Items' words, and for each window the position of its rarest word: the prefix a document must share with it.
+
+    Equal windows of an item count once, so repeated words make no more entries than there are different windows.
+    Neighbouring windows with one rarest word are one entry: (item, place of the word, words before it, words from it on).
+    """
 
     def __init__(self, items: list[tuple[str | None, list[bytes]]], seen_in: dict[bytes, int], window: int):
         self.items, self.window = items, window
-        self.prefix: dict[bytes, list[tuple[int, int]]] = {}
+        self.prefix: dict[bytes, list[tuple[int, int, int, int]]] = {}
         for k, (_, words) in enumerate(items):
             size = min(window, len(words))
             if not size:
                 continue
             rarity = [(seen_in.get(w, 0), w) for w in words]
-            for p in {min(range(s, s + size), key=rarity.__getitem__) for s in range(len(words) - size + 1)}:
-                self.prefix.setdefault(words[p], []).append((k, p))
+            known, entry = set(), None
+            for s in range(len(words) - size + 1):
+                held = tuple(words[s : s + size])
+                if held in known:
+                    entry = None
+                    continue
+                known.add(held)
+                p = min(range(s, s + size), key=rarity.__getitem__)
+                if entry and entry[0] == p:
+                    entry[2] = s + size - p
+                else:
+                    entry = [p, p - s, s + size - p]
+                    self.prefix.setdefault(words[p], []).append((k, entry))
+        self.prefix = {w: [(k, *e) for k, e in es] for w, es in self.prefix.items()}
 
     def hits(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
-        """Runs [a, b) of words inside occurring windows, and the ids of their items."""
+        """Runs [a, b) of words inside occurring windows, and the ids of their items.
+
+        An alignment compares at most the words of its entry's windows, fewer than two windows' length.
+        """
         runs, ids = set(), set()
         if self.prefix.keys().isdisjoint(words):
             return [], ids
         n = len(words)
         for i, w in enumerate(words):
-            for k, p in self.prefix.get(w, ()):
+            for k, p, before, after in self.prefix.get(w, ()):
                 name, item = self.items[k]
                 size = min(self.window, len(item))
                 # length and position bounds: the window must fit in what lies left and right of this alignment
-                if min(i, p) + min(n - i, len(item) - p) < size:
+                before, after = min(before, i), min(after, n - i)
+                if before + after < size:
                     continue
                 a = 0
-                while a < i and a < p and words[i - a - 1] == item[p - a - 1]:
+                while a < before and words[i - a - 1] == item[p - a - 1]:
                     a += 1
                 b = 1
-                while i + b < n and p + b < len(item) and words[i + b] == item[p + b]:
+                while b < after and words[i + b] == item[p + b]:
                     b += 1
                 if a + b >= size:
                     runs.add((i - a, i + b))
@@ -108,8 +128,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, share
     of that size, hits are written after each block and merged by row.
 
     Returns id_col, n_words, n_hit, n_items, items_sha256 (of the sorted item ids, comma-joined), contaminated
-    (n_hit > 0 and share * n_hit >= n_words) and, with carry, the input row as struct `row`. Null texts have no words; null ids pass through; items without words
-    match nothing; items with a null id mark words but are not named; repeated items count once, repeated rows each get
+    (n_hit > 0 and share * n_hit >= n_words) and, with carry, the input row as struct `row`. Null texts have no words; null
+    ids pass through; items without words match nothing; items with a null id mark words but are not named; repeated items count once, repeated rows each get
     a row. Empty tables: no rows, or nothing hit. Other columns are ignored.
     """
     items = benchmark.select(F.col(item_col).cast("string").alias("id"), item_words(F.col(item_text_col)).alias("words")).where(F.size("words") > 0).distinct()
