@@ -19,14 +19,16 @@ _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def fingerprint(text: bytes | None, size: int = 3, seed: int = 42) -> int:
-    """Bit majority over the XXH64 of all word shingles, as an unsigned integer; 0 without words."""
+def shingle_hashes(text: bytes | None, size: int, seed: int) -> np.ndarray:
+    """XXH64 of the shingles of `size` words, repeats included; fewer words: of the whole sequence; none: empty."""
     words = (text or b"").translate(_LOWER).split()
-    if not words:
-        return 0
     size = min(size, len(words))
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(x, seed) for x in map(b" ".join, zip(*(words[i:] for i in range(size)), strict=False))), np.uint64)
+    return np.fromiter((digest(x, seed) for x in map(b" ".join, zip(*(words[i:] for i in range(size)), strict=False))), np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half the hashes, as an unsigned integer; 0 without hashes."""
     ones = np.zeros(64, np.int64)
     for a in range(0, len(hashes), 65_536):
         part = hashes[a : a + 65_536]
@@ -34,6 +36,11 @@ def fingerprint(text: bytes | None, size: int = 3, seed: int = 42) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: bytes | None, size: int = 3, seed: int = 42) -> int:
+    """Bit majority over the XXH64 of all word shingles, as an unsigned integer; 0 without words."""
+    return majority(shingle_hashes(text, size, seed))
+
+
 def _planes(lanes: np.ndarray) -> np.ndarray:
     """(blocks, 64 lanes) of fingerprints -> (64 bits, blocks): word b of a block holds bit b of its 64 lanes."""
     bits = np.unpackbits(lanes.view(np.uint8).reshape(len(lanes), 64, 8), axis=2, bitorder="little")
