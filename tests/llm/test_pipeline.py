@@ -12,7 +12,7 @@ from arraymill.llm.queries import ORACLE_SQL, QUERIES, held_out, table, tokenize
 from arraymill.llm.tokens import tokenizer
 
 from ..conftest import SF
-from .test_operators import LOWER, brute_simhash
+from .test_operators import LOWER
 
 
 LARGER = "/root/testdata/sf0.01"
@@ -35,6 +35,17 @@ def kept(df):
     return {r.doc_id: r.text or "" for r in df.select("doc_id", "text").collect()}
 
 
+def shingles(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text.translate(LOWER))
+    size = min(5, len(words))
+    return {tuple(words[k : k + size]) for k in range(len(words) - size + 1)} if size else set()
+
+
+def alike(a, b):
+    shared = len(a & b)
+    return 5 * shared >= 4 * (len(a) + len(b) - shared)
+
+
 def test_order_and_columns(stages, spark):
     assert [n for n, _ in P.STAGES] == ["toxicity", "exact_dedup", "simhash_near_dedup", "decontamination", "bpe"]
     columns = table(spark, SF, "documents").columns
@@ -79,7 +90,7 @@ def test_stages_decide_by_row_where_ids_are_null_or_repeated(spark, docs):
     for r in exact:
         assert r[i] == max((x for x in texts[text(r)] if x is not None), default=None)
 
-    prints = {x: brute_simhash(x) for x in texts}
+    sets = {x: shingles(x) for x in texts}
     names = list(texts)
     root = {x: x for x in names}
 
@@ -90,7 +101,7 @@ def test_stages_decide_by_row_where_ids_are_null_or_repeated(spark, docs):
 
     for k, x in enumerate(names):
         for y in names[:k]:
-            if (prints[x] ^ prints[y]).bit_count() <= 2:
+            if alike(sets[x], sets[y]):
                 root[find(x)] = find(y)
     near, first = got["simhash_near_dedup"], {}
     for x in names:
@@ -144,7 +155,7 @@ def test_exact_dedup(stages):
 def test_near_dedup(stages):
     before, after = (kept(x) for x in stages["simhash_near_dedup"])
     ids = sorted(before)
-    prints = {i: brute_simhash(before[i]) for i in ids}
+    sets = {i: shingles(before[i]) for i in ids}
     root = {i: i for i in ids}
 
     def find(x):
@@ -154,7 +165,7 @@ def test_near_dedup(stages):
 
     for a in ids:
         for b in ids:
-            if b < a and (prints[a] ^ prints[b]).bit_count() <= 2:
+            if b < a and alike(sets[a], sets[b]):
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
     assert set(after) == {i for i in ids if find(i) == i}
