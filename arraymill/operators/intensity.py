@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import cumulated, linear, plotting, quantiles, same_keys
+
 _c = F.col
 #: The percentiles of the 13 landmarks between the cutoffs, and the landmarks that each kind uses.
 INNER = (0.1, 0.2, 0.25, 0.3, 0.4, 0.5, 0.6, 0.7, 0.75, 0.8, 0.9)
@@ -29,7 +31,9 @@ def standard_cutoff(cutoff: tuple[float, ...], kind: str = "percentile") -> tupl
 def landmarks(df: DataFrame, keys: list[str], value: str, cutoff: tuple[float, ...] = DEFAULT_CUTOFF, kind: str = "percentile") -> DataFrame:
     """AG62: an array of 13 exact percentiles of each group, linearly interpolated, between the standard cutoffs."""
     low, high = standard_cutoff(cutoff, kind)
-    return df.groupBy(*keys).agg(F.percentile(_c(value).cast("double"), F.array(*[F.lit(p) for p in (low, *INNER, high)])).alias("landmarks"))
+    names = [f"__p{i}" for i in range(len(INNER) + 2)]
+    found = quantiles(df, keys, _c(value), {n: linear(p) for n, p in zip(names, (low, *INNER, high), strict=True)})
+    return found.select(*keys, F.when(_c(names[0]).isNotNull(), F.array(*names)).alias("landmarks"))
 
 
 def averaged_mapping(marks: DataFrame, by: list[str]) -> DataFrame:
@@ -117,26 +121,18 @@ def region_stats(df: DataFrame, keys: list[str], value: str, weight: Column | No
     """AG54-AG58: minimum, maximum, mean, std, weighted mean, skewness, excess kurtosis and median by group (population)."""
     v = _c(value).cast("double")
     w = weight.cast("double") if weight is not None else F.lit(1.0)
-    return df.groupBy(*keys).agg(
+    moments = df.groupBy(*keys).agg(
         F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.try_divide(F.sum(v * w), F.sum(w)).alias("weighted_mean"),
-        F.skewness(v).alias("skewness"), F.kurtosis(v).alias("kurtosis"), F.percentile(v, 0.5).alias("median"),
+        F.skewness(v).alias("skewness"), F.kurtosis(v).alias("kurtosis"),
     )
+    return same_keys(moments, cumulated(df, keys, v).groupBy(*keys).agg(linear(0.5).alias("median")), keys, "left")
 
 
 def mquantiles(df: DataFrame, keys: list[str], value: str, probabilities: tuple[float, ...] = (0.25, 0.75)) -> DataFrame:
     """AG59: quantiles with plotting positions 0.4, 0.4 by group: the order statistics around n p + 0.4 + 0.2 p.
-    All quantiles of a single value are that value.
-
-    Ranks come from a window over the group, so a group is sorted externally, not gathered in memory.
+    All quantiles of a single value are that value; a group without values has no row.
     """
-    ranked = df.where(_c(value).isNotNull()).select(*keys, _c(value).cast("double").alias("v"), F.row_number().over(Window.partitionBy(*keys).orderBy(value)).alias("i"), F.count("*").over(Window.partitionBy(*keys)).alias("n"))
-    out = []
-    for p in probabilities:
-        a = F.col("n") * p + (0.4 + 0.2 * p)
-        k = F.floor(F.greatest(F.least(a, F.col("n") - 1), F.lit(1.0)))
-        g = F.greatest(F.least(a - k, F.lit(1.0)), F.lit(0.0))
-        out.append(F.sum(F.when(_c("n") == 1, _c("v")).when(_c("i") == k, (1 - g) * _c("v")).when(_c("i") == k + 1, g * _c("v"))).alias(f"q{int(100 * p)}"))
-    return ranked.groupBy(*keys).agg(*out)
+    return cumulated(df, keys, _c(value)).groupBy(*keys).agg(*[plotting(p).alias(f"q{int(100 * p)}") for p in probabilities])
 
 
 def smooth_threshold(v: Column, t: Column, mode: str = "high") -> Column:
