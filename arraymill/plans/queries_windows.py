@@ -226,7 +226,7 @@ d2 AS (SELECT a.vec_id, a.x, a.y, a.z, sqrt(min(pow(a.x-b.x,2)+pow(a.y-b.y,2)+po
 @query(f"WITH {_DIST} SELECT vec_id, x, y, z, round(d, 6) AS distance FROM d1")
 def border_distance(spark, d):
     seg, ref = masks(spark, d)
-    return B.border_distances(B.border(seg, K), B.border(ref, K), K).withColumn("distance", F.round("distance", 6))
+    return B.field_distances(B.border(seg, K), B.border(ref, K), K).withColumn("distance", F.round("distance", 6))
 
 
 @query(f"""WITH {_DIST}, s1 AS (SELECT vec_id, sum(d) AS s, max(d) AS m, quantile_cont(d, 0.95) AS q FROM d1 GROUP BY 1), s2 AS (SELECT vec_id, sum(d) AS s, max(d) AS m, quantile_cont(d, 0.95) AS q FROM d2 GROUP BY 1),
