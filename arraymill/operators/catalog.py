@@ -82,6 +82,18 @@ def phases_for(action: str, phase: str | None = None, validation: bool = False)
     return ["training", *["validation"] * validation] if action == "train" else ["inference"]
 
 
+def phases_column(action: Column, phase: Column, validation: Column) -> Column:
+    """PF4 for columns: an array of phases."""
+    own = F.when(validation, F.array(F.lit("training"), F.lit("validation"))).otherwise(F.array(F.lit("training")))
+    return F.when(F.coalesce(phase, F.lit("")) != "", F.array(phase)).when(action == "train", own).otherwise(F.array(F.lit("inference")))
+
+
+def searched_sections(sections: DataFrame) -> DataFrame:
+    """PF17 for a table of sections (path_to_search, csv_file, csv_data_file): those with a path and no files of their own."""
+    some = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
+    return sections.where(some("path_to_search") & ~some("csv_file") & ~some("csv_data_file"))
+
+
 def complete_cases(catalog: DataFrame, sections: list[str]) -> DataFrame:
     """PF5: subjects with a non-empty value in every required section."""
     return catalog.where(reduce(lambda a, b: a & b, (F.col(c).isNotNull() & (F.col(c).cast("string") != "") for c in sections)))

@@ -18,6 +18,15 @@ def iterations(spark, first: int, last: int, every: int = 0, validations: int =
     return training.unionByName(due.select("iteration", F.lit("validation").alias("phase"), F.explode(F.sequence(F.lit(1), F.lit(validations))).alias("k")))
 
 
+def schedules(runs: DataFrame, keys: list[str], first: Column, last: Column, every: Column, validations: Column) -> DataFrame:
+    """ST4 for a table of runs: (keys, iteration, phase, k) of each, as `iterations` has them; the numbers are columns."""
+    rows = runs.select(*keys, first.alias("__f"), last.alias("__l"), every.alias("__e"), validations.alias("__v")).where("__l > __f")
+    rows = rows.withColumn("iteration", F.explode(F.sequence(F.col("__f") + 1, F.col("__l"))))
+    due = (F.col("__e") > 0) & (F.col("__v") > 0) & (F.col("iteration") > 0) & (F.try_mod(F.col("iteration"), F.col("__e")) == 0)
+    ks = F.when(due, F.sequence(F.lit(0), F.col("__v").cast("int"))).otherwise(F.array(F.lit(0)))
+    return rows.select(*keys, "iteration", F.explode(ks).alias("k")).withColumn("phase", F.when(F.col("k") == 0, "training").otherwise("validation"))
+
+
 def histories(rows: DataFrame, keys: list[str], order: list[str], loss: str, patience: int) -> DataFrame:
     """ST8, SO7: rows with `history`, the last `patience` losses of the key up to the row."""
     w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(1 - patience, 0)

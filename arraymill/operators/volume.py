@@ -186,6 +186,13 @@ def affine_with_pixdim(affine: list[list[float]], pixdim: tuple) -> list[list[fl
     return [[v if c == 3 else v / length[c] * pixdim[c] for c, v in enumerate(row)] for row in affine]
 
 
+def affine_column(affine: Column, pixdim: Column) -> Column:
+    """F-A13 for columns: an affine of 16 values whose first three columns get the lengths pixdim; a column of no length
+    is null."""
+    length = lambda c: F.sqrt(sum((F.pow(F.get(affine, F.lit(4 * r) + c), 2) for r in range(3)), F.lit(0.0)))
+    return F.transform(affine, lambda v, i: F.when((i % 4 == 3) | (i >= 12), v).otherwise(F.try_divide(v, length(i % 4)) * F.get(pixdim, i % 4)))
+
+
 def gradient(vox: DataFrame, keys: list[str], shape: tuple[int, int, int], axis: int) -> DataFrame:
     """F-A15: v[i + 2] - v[i] along the axis, all axes cropped by one voxel on both sides."""
     a = AXES[axis]

@@ -284,6 +284,16 @@ def window_sizes(wanted: list[int | None], image: list[int]) -> list[int]:
     return [w if w and w > 0 else n for w, n in zip([*wanted, *[None] * (len(image) - len(wanted))], image, strict=True)]
 
 
+def completed_window(wanted: list[Column], image: list[Column]) -> list[Column]:
+    """WS23 for columns: each size, or the image's where it is missing, zero or negative."""
+    return [F.when(w > 0, w).otherwise(n).cast("int") for w, n in zip(wanted, image, strict=True)]
+
+
+def largest_windows(windows: DataFrame, keys: list[str]) -> DataFrame:
+    """WS6 for a table of windows (keys, x, y, z): the largest size on each axis by key."""
+    return windows.groupBy(*keys).agg(*[F.max(a).alias(a) for a in AXES])
+
+
 def largest_window(sizes: list[list[int]]) -> list[int]:
     """WS6: the largest size on each axis."""
     return [max(x) for x in zip(*sizes, strict=True)]
@@ -340,6 +350,14 @@ def resize_back(cut: DataFrame, keys: list[str], window, border, to, order: int
     return zoom(pad(inner, keys, size, tuple((w - s) // 2 for w, s in zip(window, size, strict=True)), "edge"), keys, window, to, order)
 
 
+def transformed_centre(point: list[Column], shape: list[Column], source: str, target: str, pixdim, to) -> list[Column]:
+    """WS18 for columns: a centre through reorientation and resampling, cut to integers."""
+    from .volume import orientation
+
+    moved = [(shape[i] - point[i] if d < 0 else point[i], pixdim[i]) for i, d in orientation(source, target)]
+    return [(p.cast("double") * F.lit(float(a)) / F.lit(float(b))).cast("int") for (p, a), b in zip(moved, to, strict=True)]
+
+
 def transform_centre(point: tuple[int, int, int], shape, source: str, target: str, pixdim, to) -> list[int]:
     """WS18: a centre through reorientation and resampling, on the driver."""
     from .volume import orientation

@@ -175,12 +175,6 @@ def loss_gan(spark, d):
     return out.select(*[F.round(c, 6).alias(c) for c in out.columns])
 
 
-@query("""WITH t AS (SELECT i::BIGINT AS iteration FROM range(4, 41) r(i)) SELECT iteration, 'training' AS phase, 0::INT AS k FROM t
-UNION ALL SELECT iteration, 'validation', k::INT FROM t, range(1, 4) v(k) WHERE iteration % 10 = 0""")
-def iter_schedule(spark, d):
-    return C.iterations(spark, 3, 40, 10, 3)
-
-
 _H = "h AS (SELECT event_id, user_id, list(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS h FROM events WHERE value IS NOT NULL)"
 
 

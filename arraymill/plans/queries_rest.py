@@ -160,26 +160,12 @@ def field_warp(spark, d):
     return rounded(V.field_warped(v, field, K, SHAPE, (2, 2, 2)), 5)
 
 
-@query("SELECT i::INT AS i, j::INT AS j, v::DOUBLE AS value FROM (VALUES (0,0,0.0),(0,1,-4.5),(0,2,0.0),(0,3,7.0),(1,0,3.0),(1,1,0.0),(1,2,0.0),(1,3,8.0),(2,0,0.0),(2,1,0.0),(2,2,6.0),(2,3,9.0)) t(i,j,v)")
-def affine_with_pixdim(spark, d):
-    """F-A13: the columns of an affine brought to the lengths of new voxel sizes."""
-    out = V.affine_with_pixdim([[0, -2, 0, 7], [5, 0, 0, 8], [0, 0, 1, 9]], (3.0, 4.5, 6.0))
-    return spark.createDataFrame([(i, j, float(v)) for i, row in enumerate(out) for j, v in enumerate(row)], "i int, j int, value double")
-
-
 @query(f"WITH {_IMG} SELECT c_custkey, 0 AS x0, 0 AS y0, 0 AS z0, X AS x1, Y AS y1, Z AS z1 FROM img")
 def whole_image_windows(spark, d):
     """WS22."""
     return W.whole_image(images(spark, d), "c_custkey")
 
 
-@query("SELECT * FROM (VALUES ('completed', 8, 64, 32), ('short', 8, 64, 32), ('largest', 10, 12, 32)) t(name, x, y, z)")
-def window_size_rules(spark, d):
-    """WS6, WS23: sizes completed from the image, and the largest of several windows."""
-    rows = [("completed", *W.window_sizes([8, 0, -1], [128, 64, 32])), ("short", *W.window_sizes([8], [128, 64, 32])), ("largest", *W.largest_window([[8, 12, 4], [10, 2, 32]]))]
-    return spark.createDataFrame(rows, "name string, x int, y int, z int")
-
-
 @query("SELECT * FROM (SELECT 'itself' AS name, true AS same UNION ALL SELECT 'labels', (SELECT count(*) FROM ((SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels) UNION ALL (SELECT doc_id FROM labels EXCEPT SELECT doc_id FROM documents))) = 0)")
 def same_id_sets(spark, d):
     """SE1."""
@@ -235,13 +221,6 @@ def shuffled_windows(spark, d):
     return W.shuffled(table(spark, d, "documents").select("doc_id"), "doc_id", 5, 16, "doc_id")
 
 
-@query("SELECT * FROM (VALUES ('train', '', 'training'), ('train+', '', 'training,validation'), ('infer', '', 'inference'), ('evaluate', '', 'inference'), ('train', 'all', 'all')) t(action, phase, phases)")
-def phase_routing(spark, d):
-    """PF4: the phases of an action, with and without validation, and an explicit phase that wins."""
-    cases = [("train", None, False), ("train+", None, True), ("infer", None, False), ("evaluate", None, False), ("train", "all", True)]
-    return spark.createDataFrame([(a, p or "", ",".join(C.phases_for(a.rstrip("+"), p, v))) for a, p, v in cases], "action string, phase string, phases string")
-
-
 def _answer(f) -> str:
     """What a rule says: nothing, or the text of its error."""
     try:
@@ -263,28 +242,6 @@ def option_hints(spark, d):
     return spark.createDataFrame([(n, _answer(f)) for n, f in rules.items()], "name string, message string")
 
 
-@query("SELECT * FROM (VALUES ('searched', true), ('listed', false), ('features', false), ('nothing', false)) t(section, searched)")
-def searched_sections(spark, d):
-    """PF17: only sections with a path and without files of their own are searched for."""
-    spec = read_config("[searched]\npath_to_search = /a\n[listed]\npath_to_search = /a\ncsv_file = b.csv\n[features]\npath_to_search = /a\ncsv_data_file = c.csv\n[nothing]\nloader = nibabel")
-    return spark.createDataFrame([(n, s.searched) for n, s in spec.sources.items()], "section string, searched boolean")
-
-
-@query("SELECT * FROM (VALUES ('2-D', '5,7,1,1,1'), ('3-D', '5,7,9,1,1'), ('thin', '5,9,1,1,1'), ('4-D', '5,7,9,4,1'), ('5-D', '5,7,9,4,3'), ('6-D', '5,7,9,4,3')) t(name, shape)")
-def expanded_shapes(spark, d):
-    """SC13, SC16: shapes of rank 2 to 6 as five axes, single spatial axes last."""
-    shapes = {"2-D": [5, 7], "3-D": [5, 7, 9], "thin": [5, 1, 9], "4-D": [5, 7, 9, 4], "5-D": [5, 7, 9, 4, 3], "6-D": [5, 7, 9, 4, 1, 3]}
-    return spark.createDataFrame([(n, ",".join(map(str, V.expand_shape(s)))) for n, s in shapes.items()], "name string, shape string")
-
-
-@query("SELECT * FROM (VALUES (0, 6, 6, 6), (1, 20, 2, 0), (2, 38, 11, 22)) t(i, x, y, z)")
-def transformed_centres(spark, d):
-    """WS18: centres (x, y, z) of a volume of 20 x 30 x 24 in RAS, turned to LSP: (20 - x, z, 30 - y), with voxel sizes 1, 1.5
-    and 2 there, and resampled to 0.5, 1.5 and 2: times 2, 1 and 1."""
-    rows = [W.transform_centre(p, (20, 30, 24), "RAS", "LSP", (1.0, 2.0, 1.5), (0.5, 1.5, 2.0)) for p in ((17, 24, 6), (10, 30, 2), (1, 8, 11))]
-    return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, x int, y int, z int")
-
-
 @query("SELECT doc_id, source FROM documents")
 def layers_fitted(spark, d):
     """Codes learnt from a table, applied, and undone."""

@@ -180,17 +180,6 @@ def step_sources(spark, d):
     return R.source_of_step(schedule, {"training": nation.where("n_nationkey < 20"), "validation": nation.where("n_nationkey < 12")}).select("iteration", "phase", "n_nationkey", "batch")
 
 
-@query("SELECT n AS number, i AS item, (n * n + i)::DOUBLE AS value FROM range(1, 101) t(n), range(3) u(i)")
-def generated_rows(spark, d):
-    """ST2: rows that a generator makes for each number, in parallel tasks."""
-
-    def make(number):
-        for i in range(3):
-            yield pd.DataFrame({"number": [number], "item": [i], "value": [float(number * number + i)]})
-
-    return S.generated(spark, make, 1, 101, "number long, item long, value double", 4)
-
-
 _STREAM = """r AS (SELECT c_nationkey AS k, c_custkey AS i, c_acctbal AS loss FROM customer),
 h AS (SELECT k, count(*) AS n, list(loss ORDER BY i)[-8:] AS a FROM r GROUP BY k)"""
 

@@ -31,8 +31,8 @@ class Run:
         """Waits for the end; the error of a step is raised here, the stop that a step asked for is none."""
         try:
             ended = self.query.awaitTermination(timeout) if timeout else self.query.awaitTermination()
-        except StreamingQueryException:
-            if not self.stopped.is_set():
+        except StreamingQueryException as error:
+            if not self.stopped.is_set() or _StopRun.__name__ not in str(error):  # a failed sink or store is raised, stopped or not
                 raise
             return True
         return bool(ended) if timeout else True
@@ -66,6 +66,27 @@ def run(stream: DataFrame, step: Callable[[DataFrame, int], bool | None], checkp
     return out
 
 
+def keyed_sink(folder: str, column: str = "batch") -> Callable[[DataFrame, int], None]:
+    """ST17: a sink that holds each batch under its number: a batch that is processed again replaces what it wrote before,
+    so that every row is there exactly once, whatever was stopped, lost or repeated. Read the folder as Parquet."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/{column}={number}")
+
+    return write
+
+
+def generated_from(rows: DataFrame, column: str, make: Callable[[int], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
+    """ST2: what a generator gives for each number of a column, made in the tasks that hold the rows."""
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for number in batch[column].tolist():
+                yield from make(number)
+
+    return rows.select(column).mapInPandas(each, schema)
+
+
 def generated(spark: SparkSession, make: Callable[[int], Iterator[pd.DataFrame]], first: int, last: int, schema: str, parts: int = 8) -> DataFrame:
     """ST2: what a generator gives for the numbers first .. last - 1, made in `parts` tasks at a time. make(number) yields
     frames; a lost task makes its numbers again, so make must depend on its number alone."""
