@@ -51,8 +51,12 @@ def averaged_mapping(marks: DataFrame, by: list[str]) -> DataFrame:
 def standardised(df: DataFrame, keys: list[str], value: str, marks: DataFrame, mapping: DataFrame, by: list[str], kind: str = "percentile", name: str = "standard") -> DataFrame:
     """F-M1: piecewise linear mapping of values through a subject's landmarks to the group's; ends extrapolate,
     segments of no width have slope 0."""
+    return mapped(df.join(marks, keys).join(F.broadcast(mapping), by), value, kind, name)
+
+
+def mapped(joined: DataFrame, value: str, kind: str = "percentile", name: str = "standard") -> DataFrame:
+    """F-M1 on rows that carry their `landmarks` and `mapping`, which are dropped."""
     take = LANDMARKS[kind]
-    joined = df.join(marks, keys).join(F.broadcast(mapping), by)
     a, b = F.array(*[_c("landmarks")[i] for i in take]), F.array(*[_c("mapping")[i] for i in take])
     seg = F.size(F.filter(F.slice(a, 2, len(take) - 2), lambda t: t <= _c(value)))
     slope = F.coalesce(F.try_divide(F.get(b, seg + 1) - F.get(b, seg), F.get(a, seg + 1) - F.get(a, seg)), F.lit(0.0))

@@ -85,6 +85,26 @@ def lines(vox: DataFrame, keys: list[str], axis: str, n: Column) -> DataFrame:
     return rows.select(*keys, *others, "__n", F.when(F.size("cells") == _c("__n"), whole).otherwise(spread).alias("line"))
 
 
+def coefficients(vox: DataFrame, keys: list[str], shape) -> DataFrame:
+    """The coefficients of the cubic spline through the voxels of each volume: the prefilter, line by line, axis after axis.
+    shape: numbers, or columns that are among the keys."""
+    for axis, n in zip(AXES, shape, strict=True):
+        held = lines(vox, keys, axis, F.lit(n))
+        kept = [*keys, *[a for a in AXES if a != axis]]
+        rows = held.select(*kept, "line")
+
+        def filtered(batches, kept=kept):
+            for pdf in batches:
+                out = np.empty(len(pdf), object)
+                for _, of in pdf.groupby(pdf["line"].map(len)).indices.items():
+                    out[of] = list(prefiltered(np.stack(pdf["line"].to_numpy()[of])))
+                yield pdf[kept].assign(out=out)
+
+        schema = T.StructType([*rows.select(*kept).schema, T.StructField("out", T.ArrayType(T.DoubleType()))])
+        vox = rows.mapInPandas(filtered, schema).select(*kept, F.posexplode("out").alias(axis, "value")).select(*keys, *AXES, "value")
+    return vox
+
+
 def zoom_axis(vox: DataFrame, keys: list[str], axis: str, n, to) -> DataFrame:
     """The cubic spline through the voxels of each line, read at `to` places between its ends. n, to: numbers or columns."""
     held = lines(vox.withColumn("__to", F.lit(to).cast("int")), [*keys, "__to"], axis, F.lit(n))

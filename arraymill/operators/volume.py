@@ -216,10 +216,10 @@ def smooth(vox: DataFrame, keys: list[str], sigma: float, kind: str = "gaussian"
     return vox
 
 
-def _smooth_axis(vox: DataFrame, keys: list[str], axis: str, weights: list[float]) -> DataFrame:
+def _smooth_axis(vox: DataFrame, keys: list[str], axis: str, weights: list) -> DataFrame:
     tail = len(weights) // 2
     w = Window.partitionBy(*keys, *[x for x in AXES if x != axis]).orderBy(axis)
-    total = sum((F.coalesce(F.lag("value", -i).over(w) if i else _c("value"), F.lit(0.0)) * F.lit(weights[i + tail]) for i in range(-tail, tail + 1)), F.lit(0.0))
+    total = sum((F.coalesce(F.lag("value", -i).over(w) if i else _c("value"), F.lit(0.0)) * _number(weights[i + tail]) for i in range(-tail, tail + 1)), F.lit(0.0))
     return vox.withColumn("__s", total).drop("value").withColumnRenamed("__s", "value")
 
 

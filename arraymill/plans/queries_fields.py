@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import intensity as I
 from ..operators import lattice as L
 from ..operators import splines as Z
+from . import runs as R
+from .queries_runs import _FIVE, _shaped
 from .queries_volume import SHAPE, VOX, K, rounded, vox
 from .registry import query
+from .spec import read_config
 
 
 def _e(number: float) -> str:
@@ -123,3 +127,49 @@ def vox_elastic(spark, d):
     v = vox(spark, d)
     out = Z.elastic(v, K, SHAPE, _CONTROLS, field=Z.portable_field(v, "vec_id", _CONTROLS, _SIGMA, _SEED))
     return rounded(out).withColumn("value", F.col("value") + 0)
+
+
+def draw_sql(name: str, seed: int) -> str:
+    """The draw in [0, 1) of a vec_id: an unsigned CRC-32 of key, name and seed, bit by bit, over 2 ** 32."""
+    bits = f"flatten(list_transform(string_split(vec_id || ':{name}:{seed}', ''), lambda x: [ascii(x)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))"
+    return f"(xor(list_reduce(list_prepend(4294967295::BIGINT, {bits}), lambda c, b: xor(xor(c, b) >> 1, (xor(c, b) & 1) * 3988292384)), 4294967295) / 4294967296e0)"
+
+
+_PS = ", ".join(map(str, (0.01, *I.INNER, 0.99)))
+_TAKE = ", ".join(str(i + 1) for i in I.LANDMARKS["percentile"])
+_TURN = ["(cc * cb - sc * sa * sb) * {0} - sc * ca * {1} + (cc * sb + sc * sa * cb) * {2}", "(sc * cb + cc * sa * sb) * {0} + cc * ca * {1} + (sc * sb - cc * sa * cb) * {2}", "-ca * sb * {0} + sa * {1} + ca * cb * {2}"]
+_OFF = [f"({a} - (g{i} - 1) / 2e0)" for i, a in enumerate("xyz")]
+_CHAIN = f"""WITH {_FIVE},
+k AS (SELECT vec_id, t, m, quantile_cont(value, [{_PS}]) AS a FROM vox GROUP BY ALL),
+l AS (SELECT t, m, i, avg(coalesce(100e0 / nullif(a[13] - a[1], 0), 0) * (a[i] - a[1])) AS b FROM k, range(1, 14) r(i) GROUP BY ALL),
+j AS (SELECT k.vec_id, k.t, k.m, list_select(a, [{_TAKE}]) AS a, list_select(b, [{_TAKE}]) AS b FROM k JOIN (SELECT t, m, list(b ORDER BY i) AS b FROM l GROUP BY ALL) USING (t, m)),
+n AS (SELECT v.*, a, b, 1 + len(list_filter(a[2:10], lambda q: q <= value)) AS s0 FROM vox v JOIN j USING (vec_id, t, m)),
+w AS (SELECT vec_id, t, m, x, y, z, s, b[s0] + coalesce((b[s0 + 1] - b[s0]) / nullif(a[s0 + 1] - a[s0], 0), 0) * (value - a[s0]) AS value FROM n),
+u AS (SELECT vec_id, s, {", ".join(f"greatest(1, round_even(s[{i + 1}] * ((-30 + 80 * {draw_sql(f'scale{i}', 7)} + 100) / 100), 0))::BIGINT AS g{i}" for i in range(3))},
+    {", ".join(f"radians(-20 + 40 * {draw_sql(f'angle{i}', 7)}) AS a{i}" for i in range(3))}, {draw_sql('flip0', 7)} < 0.5 AS f0, false AS f1, {draw_sql('flip2', 7)} < 0.5 AS f2 FROM e),
+c AS (SELECT *, cos(a0) AS ca, sin(a0) AS sa, cos(a1) AS cb, sin(a1) AS sb, cos(a2) AS cc, sin(a2) AS sc FROM u),
+d AS (SELECT *, unnest(range(g0)) AS x FROM c), d1 AS (SELECT *, unnest(range(g1)) AS y FROM d), d2 AS (SELECT *, unnest(range(g2)) AS z FROM d1),
+q AS (SELECT vec_id, x, y, z, s, f0, f1, f2, g0, g1, g2, {", ".join(f"{r.format(*_OFF)} + (g{i} - 1) / 2e0 AS q{i}" for i, r in enumerate(_TURN))} FROM d2),
+o AS (SELECT vec_id, x, y, z, s, {", ".join(f"CASE WHEN g{i} > 1 THEN (s[{i + 1}] - 1e0) / (g{i} - 1) ELSE 0 END * q{i} * CASE WHEN f{i} THEN -1 ELSE 1 END + CASE WHEN f{i} THEN s[{i + 1}] - 1 ELSE 0 END AS p{i}" for i in range(3))} FROM q),
+h AS (SELECT vec_id, x, y, z, {", ".join(f"least(greatest(floor(p{i}) + o{i}, 0), s[{i + 1}] - 1) AS n{i}" for i in range(3))}, {" * ".join(f"(CASE o{i} WHEN 1 THEN p{i} - floor(p{i}) ELSE 1 - p{i} + floor(p{i}) END)" for i in range(3))} AS wt
+    FROM o, range(2) r0(o0), range(2) r1(o1), range(2) r2(o2))
+SELECT h.vec_id, w.t, w.m, h.x::INT AS x, h.y::INT AS y, h.z::INT AS z, round(sum(wt * value), 5) + 0 AS value FROM h JOIN w ON w.vec_id = h.vec_id AND w.x = n0 AND w.y = n1 AND w.z = n2 GROUP BY ALL"""
+
+
+@query(_CHAIN)
+def run_training_chain(spark, d):
+    """Histogram normalisation by time point and modality, then flips, scaling and rotation drawn for each volume, as one
+    sampling; volumes of four shapes, cut by the sampler of whole images."""
+    unit = F.array(*[F.lit(float(i % 5 == 0)) for i in range(16)])
+    packed = _shaped(spark, d).withColumns({"affine": unit, "pixdim": F.array(*[F.lit(1.0)] * 3)})
+    spec = read_config("""[image]
+path_to_search = /nowhere
+[NETWORK]
+normalisation = True
+[TRAINING]
+random_flipping_axes = 0,2
+scaling_percentage = -30,50
+antialiasing = False
+rotation_angle = -20,20""")
+    out = R.run_chain(spec, packed, "image", "vec_id", seed=7)
+    return out.select("vec_id", "t", "m", "x", "y", "z", (F.round("value", 5) + 0).alias("value"))

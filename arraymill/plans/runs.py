@@ -18,6 +18,7 @@ from ..operators import volume as V
 from ..operators import windows as W
 from ..operators.catalog import SUBJECT
 from ..sources import files, images
+from . import chain
 from .evaluation import DEFAULTS, evaluate_segmentation, merge_frames
 from .layers import Registry
 from .spec import PipelineSpec, SourceSpec, look_up
@@ -325,6 +326,25 @@ def run_training_windows(spec: PipelineSpec, vox: DataFrame, window: tuple[int,
     return met.select(key, *channels, "draw", *[(F.col(a) - F.col(f"{a}0")).alias(a) for a in V.AXES], "value")
 
 
+def volumes_of(packed: DataFrame, key: str) -> DataFrame:
+    """(key, nx, ny, nz, affine, pixdim) of packed volumes."""
+    five = V.expanded_shape(F.col("shape"))
+    return packed.select(key, *[F.get(five, F.lit(i)).cast("int").alias(n) for i, n in enumerate(V.SIZES)], "affine", "pixdim")
+
+
+def run_chain(spec: PipelineSpec, packed: DataFrame, section: str, key: str = SUBJECT, seed: int | None = None) -> DataFrame:
+    """The volumes of a section as a run takes them: read at the section's axes and voxel sizes, normalised, augmented
+    with a seed (training) or not (inference); each of its own shape. Windows of them come from run_training_windows or
+    run_inference, which pad; these whiten too, so give them a spec without whitening then. Keys that are not applied are refused."""
+    chain.refuse_unknown(spec)
+    source = spec.sources[section]
+    vox, _ = chain.as_read(voxel_table(packed, key), volumes_of(packed, key), source, key)
+    vox = chain.normalised(spec, vox, key)
+    if seed is not None:
+        vox = chain.augmented(spec, vox, key, seed, source.interp_order)
+    return vox
+
+
 def source_of_step(schedule: DataFrame, sources: dict[str, DataFrame], index: str = "batch") -> DataFrame:
     """ST19: for steps (iteration, phase), the batch of the phase's source: the k-th step of a phase takes batch k modulo
     the number of its batches. Steps are numbered inside their phase without gathering them."""
