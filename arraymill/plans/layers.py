@@ -87,8 +87,11 @@ class Registry:
 
         return add
 
+    def get(self, name: str):
+        return self._made[look_up(name, self._made)]
+
     def create(self, name: str, *args, **more):
-        return self._made[look_up(name, self._made)](*args, **more)
+        return self.get(name)(*args, **more)
 
     def names(self) -> list[str]:
         return sorted(self._made)

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import intensity as I
 from ..operators import lattice as L
 from ..operators import splines as Z
 from . import runs as R
-from .queries_runs import _FIVE, _shaped
+from .queries_runs import _FIVE, _PAIR, _shaped, _sides
 from .queries_volume import SHAPE, VOX, K, rounded, vox
+from .queries_windows import _S6, _border_join
 from .registry import query
 from .spec import read_config
 
@@ -173,3 +175,55 @@ antialiasing = False
 rotation_angle = -20,20""")
     out = R.run_chain(spec, packed, "image", "vec_id", seed=7)
     return out.select("vec_id", "t", "m", "x", "y", "z", (F.round("value", 5) + 0).alias("value"))
+
+
+@R.CENTRES.register("brightest")
+def brightest(vox, images, key, window, samples):
+    """Centres on the largest values of each volume, the first place of equals."""
+    first = Window.partitionBy(key).orderBy(F.desc("value"), "x", "y", "z")
+    return vox.withColumn("draw", F.row_number().over(first) - 1).where(F.col("draw") < samples).select(key, "draw", "x", "y", "z")
+
+
+@query(f"""WITH {VOX}, c AS (SELECT vec_id, x, y, z, (row_number() OVER (PARTITION BY vec_id ORDER BY value DESC, x, y, z) - 1)::INT AS draw FROM vox),
+w AS (SELECT vec_id, draw, greatest(least(x - 1, 1), 0) AS x0, 0 AS y0, greatest(least(z - 1, 2), 0) AS z0 FROM c WHERE draw < 2)
+SELECT w.vec_id, draw, i::INT AS x, j::INT AS y, k::INT AS z, coalesce(value, 0) AS value FROM w CROSS JOIN range(3) a(i) CROSS JOIN range(5) b(j) CROSS JOIN range(2) c(k)
+LEFT JOIN vox v ON v.vec_id = w.vec_id AND v.x = x0 + i AND v.y = y0 + j AND v.z = z0 + k""")
+def run_own_centres(spark, d):
+    """A centre generator of one's own in a run; windows of 3 x 5 x 2 are moved inside and padded along y."""
+    spec = read_config("[NETWORK]\nwindow_sampling = brightest\n[TRAINING]\nsample_per_volume = 2")
+    return R.run_training_windows(spec, vox(spark, d), (3, 5, 2), SHAPE, "vec_id").select("vec_id", "draw", "x", "y", "z", "value")
+
+
+@R.METRICS.register("mean_border_distance")
+@R.needs("border_distances")
+def _mean_distance(vox, keys, border_distances):
+    return border_distances.groupBy(*keys).agg(F.avg("distance").alias("mean_border_distance"))
+
+
+@R.METRICS.register("far_border_share")
+@R.needs("border_distances", "borders")
+def _far_share(vox, keys, border_distances, borders):
+    far = border_distances.groupBy(*keys).agg(F.count_if(F.col("distance") > 1).alias("far"))
+    return borders.groupBy(*keys).agg(F.count("*").alias("n")).join(far, keys).select(*keys, (F.col("far") / F.col("n")).alias("far_border_share"))
+
+
+@R.METRICS.register("wrong_share")
+@R.needs("confusion")
+def _wrong_share(vox, keys, confusion):
+    wrong = F.col("fp") + F.col("fn")
+    return confusion.select(*keys, (wrong / (wrong + F.col("tp") + F.col("tn"))).alias("wrong_share"))
+
+
+@query(f"""WITH {_PAIR}, m AS (SELECT vec_id, x, y, z, s AS seg, r AS ref FROM j), {_S6}, {_border_join('seg')}, {_border_join('ref')},
+d AS (SELECT a.vec_id, sqrt(min(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2))) AS d FROM bseg a JOIN bref b USING (vec_id) GROUP BY a.vec_id, a.x, a.y, a.z
+    UNION ALL SELECT a.vec_id, sqrt(min(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2))) FROM bref a JOIN bseg b USING (vec_id) GROUP BY a.vec_id, a.x, a.y, a.z),
+e AS (SELECT vec_id, avg(d) AS mean_border_distance, count(*) FILTER (d > 1) AS far FROM d GROUP BY 1), n AS (SELECT vec_id, count(*) AS n FROM (SELECT * FROM bseg UNION ALL SELECT * FROM bref) GROUP BY 1),
+c AS (SELECT vec_id, count(*) FILTER (s AND r) AS tp, count(*) FILTER (s <> r) AS w, count(*) AS a FROM j GROUP BY 1)
+SELECT vec_id, round(2 * tp / nullif(2 * tp + w, 0), 6) AS dice, round(tp / nullif(tp + w, 0), 6) AS jaccard, round(mean_border_distance, 6) AS mean_border_distance, round(far / n, 6) AS far_border_share, round(w / a, 6) AS wrong_share
+FROM c LEFT JOIN e USING (vec_id) LEFT JOIN n USING (vec_id)""")
+def run_own_metrics(spark, d):
+    """Metrics of one's own beside others; borders, distances and confusion are made once for all of them."""
+    names = ("dice", "jaccard", "mean_border_distance", "far_border_share", "wrong_share")
+    spec = read_config(f"[EVALUATION]\nevaluations = {', '.join(names)}\n[SEGMENTATION]\nevaluation_units = foreground")
+    out = R.run_evaluation(spec, "segmentation", *_sides(spark, d), key="vec_id")["vec_id",]
+    return out.select("vec_id", *[F.round(n, 6).alias(n) for n in names])

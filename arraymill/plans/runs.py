@@ -14,10 +14,12 @@ from pyspark.sql import functions as F
 
 from ..operators import confusion as M
 from ..operators import intensity as I
+from ..operators import surface as B
 from ..operators import volume as V
 from ..operators import windows as W
 from ..operators.catalog import SUBJECT
 from ..sources import files, images
+from ..sources.shared import cut
 from . import chain
 from .evaluation import DEFAULTS, evaluate_segmentation, merge_frames
 from .layers import Registry
@@ -25,8 +27,12 @@ from .spec import PipelineSpec, SourceSpec, look_up
 
 #: Samplers by name, (voxels, images, key, window, samples) -> windows (key, draw, x0 .. z1).
 SAMPLERS = Registry("sampler")
-#: Metrics by name, (voxels, keys) -> frame of the keys and one or more columns.
+#: Metrics by name, (voxels, keys, **frames that it needs) -> frame of the keys and one or more columns.
 METRICS = Registry("metric")
+#: Sub-analyses by name, (voxels, keys) -> frame; a run makes each of those that its metrics need once.
+ANALYSES = Registry("analysis")
+#: Centre generators by name, (voxels, images, key, window, samples) -> centres (key, draw, x, y, z).
+CENTRES = Registry("centre generator")
 #: Keys beside the subject: time points and modalities.
 CHANNELS = ("t", "m")
 #: Applications by name.
@@ -63,6 +69,63 @@ def resize(vox, sizes, key, window, samples, shape=None):
     return W.whole_image(sizes, key).withColumn("draw", F.lit(0))
 
 
+def needs(*names: str):
+    """Marks a metric with the sub-analyses that it takes as keyword arguments."""
+
+    def mark(f):
+        f.needs = names
+        return f
+
+    return mark
+
+
+@ANALYSES.register("confusion")
+def confusion_counts(vox, keys):
+    """(keys, tp, fp, fn, tn) of the foregrounds."""
+    return M.confusion(vox, keys, F.col("inferred") != 0, F.col("reference") != 0)
+
+
+@ANALYSES.register("borders")
+def borders(vox, keys):
+    """(keys, side, x, y, z): border voxels of the inferred (side 0) and the reference foreground (side 1)."""
+    at = [*keys, *V.AXES]
+    sides = [vox.where(F.col(c) != 0).select(*at, F.lit(i).alias("side")) for i, c in enumerate(("inferred", "reference"))]
+    return B.border(sides[0].unionByName(sides[1]), [*keys, "side"])
+
+
+@ANALYSES.register("border_distances")
+@needs("borders")
+def border_distances(vox, keys, borders):
+    """(keys, side, x, y, z, distance): of each border voxel to the other side's border."""
+    return B.field_distances(borders, borders.withColumn("side", 1 - F.col("side")), [*keys, "side"])
+
+
+class Shared:
+    """The sub-analyses of one evaluation: each is made when it is first asked for, written once, and shared."""
+
+    def __init__(self, vox: DataFrame, keys: list[str]):
+        self.vox, self.keys, self.made = vox, keys, {}
+
+    def frame(self, name: str) -> DataFrame:
+        if name not in self.made:
+            f = ANALYSES.get(name)
+            self.made[name] = cut(f(self.vox, self.keys, **self.frames(f)))
+        return self.made[name]
+
+    def frames(self, f) -> dict[str, DataFrame]:
+        return {n: self.frame(n) for n in getattr(f, "needs", ())}
+
+
+def windows_around(centres: DataFrame, images: DataFrame, key: str, window: tuple[int, int, int]) -> DataFrame:
+    """U12, WS5: windows around centres, moved to where they fit; one that is larger than its image begins at 0 and is padded
+    when it is cut. A centre outside its image counts as the nearest place inside."""
+    sizes = images.select(key, *[F.col(a.upper()).alias(n) for a, n in zip(V.AXES, V.SIZES, strict=True)])
+    rows = centres.select(key, "draw", *V.AXES).join(sizes, key)
+    at = [F.least(F.greatest(F.col(a), F.lit(0)), F.col(n) - 1) for a, n in zip(V.AXES, V.SIZES, strict=True)]
+    starts = [F.greatest(F.lit(0), F.least(c - w // 2, F.col(n) - w)).cast("int").alias(f"{a}0") for a, n, c, w in zip(V.AXES, V.SIZES, at, window, strict=True)]
+    return rows.select(key, "draw", *starts).select("*", *[(F.col(f"{a}0") + w).alias(f"{a}1") for a, w in zip(V.AXES, window, strict=True)])
+
+
 def voxel_table(packed: DataFrame, key: str) -> DataFrame:
     """The voxel view (key, t, m, nx, ny, nz, x, y, z, value) of packed volumes of rank 2 to 6, each with its own shape."""
     rows = packed.select(key, V.expanded_shape(F.col("shape")).alias("s"), F.posexplode("voxels").alias("pos", "v"))
@@ -167,7 +230,8 @@ class Application:
 
     def custom(self, vox: DataFrame, keys: list[str]) -> list[DataFrame]:
         """Frames of the registered metrics among the names."""
-        return [METRICS.create(n, vox, keys) for n in self.names() if n in METRICS.names()]
+        shared = Shared(vox, keys)
+        return [METRICS.create(n, vox, keys, **shared.frames(METRICS.get(n))) for n in self.names() if n in METRICS.names()]
 
 
 @APPLICATIONS.register("segmentation")
@@ -311,18 +375,25 @@ def run_training_windows(spec: PipelineSpec, vox: DataFrame, window: tuple[int,
     x, y, z, value). shape: of all volumes; None where each carries its own in nx, ny, nz.
 
     Windows are few a volume: each is exploded to its places, which meet the voxels by an equi-join. A sampler that
-    weighs voxels sees those of the first time point and modality.
+    weighs voxels sees those of the first time point and modality. window_sampling names a sampler or a centre generator.
     """
     inside, grown = prepared(spec, vox, key, shape)
     channels = [c for c in CHANNELS if c in vox.columns]
     seen = inside
     for c in channels:
         seen = seen.where(F.col(c) == 0)
-    drawn = SAMPLERS.create(spec.sections["NETWORK"].window_sampling, seen, _image_sizes(inside, key, grown), key, window, spec.sections["TRAINING"].sample_per_volume, shape=grown)
+    name, samples, images_ = spec.sections["NETWORK"].window_sampling, spec.sections["TRAINING"].sample_per_volume, _image_sizes(inside, key, grown)
+    generated = name in CENTRES.names()
+    drawn = windows_around(CENTRES.create(name, seen, images_, key, window, samples), images_, key, window) if generated else SAMPLERS.create(name, seen, images_, key, window, samples, shape=grown)
     places = drawn
     for a in V.AXES:
         places = places.withColumn(a, F.explode(F.sequence(F.col(f"{a}0"), F.col(f"{a}1") - 1)))
-    met = places.join(inside, [key, *V.AXES])
+    if generated:  # windows may reach beyond a small image: such places are 0 in each of its channels
+        if channels:
+            places = places.join(inside.select(key, *channels).distinct(), key)
+        met = places.join(inside, [key, *channels, *V.AXES], "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
+    else:
+        met = places.join(inside, [key, *V.AXES])
     return met.select(key, *channels, "draw", *[(F.col(a) - F.col(f"{a}0")).alias(a) for a in V.AXES], "value")
 
 
