@@ -206,29 +206,67 @@ def longest_common_substring(a: Column, b: Column) -> Column:
     return F.when((n > 0) & (F.length(b) > 0), F.array_max(F.transform(F.sequence(F.lit(1), n), here))).otherwise(0)
 
 
-def _substrings(df: DataFrame, name: str) -> DataFrame:
-    """A row for each distinct substring `g` of a name."""
+def _suffixes(df: DataFrame, name: str) -> DataFrame:
+    """A row for each suffix `s` of a name: as many as it has characters."""
     c = F.col(name)
-    parts = F.flatten(F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.transform(F.sequence(F.lit(1), F.length(c) - i + 1), lambda k: F.substring(c, i, k))))
-    return df.where(F.length(c) > 0).withColumn("g", F.explode(F.array_distinct(parts)))
+    return df.where(F.length(c) > 0).withColumn("s", F.explode(F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.substring(c, i, F.length(c)))))
+
+
+def common_prefix(a: Column, b: Column) -> Column:
+    """The number of characters that two strings begin with alike; 0 where one is null."""
+    ends = F.sequence(F.lit(1), F.least(F.length(a), F.length(b)))
+    alike = F.aggregate(ends, F.lit(0), lambda n, i: F.when((n == i - 1) & (F.substring(a, i, 1) == F.substring(b, i, 1)), i).otherwise(n))
+    return F.when(a.isNull() | b.isNull() | (F.length(a) == 0) | (F.length(b) == 0), 0).otherwise(alike)
+
+
+def _neighbours(rows: DataFrame) -> DataFrame:
+    """rows (s, distinct, and a boolean mark) with the nearest marked s before or at it and after or at it.
+
+    Rows are range-partitioned by s and numbered by part; inside a part windows look back and forth, and what a part has
+    to hand on, its last and its first marked s, is one row a part.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = cut(rows.repartitionByRange(parts, "s").withColumn("__part", F.spark_partition_id()))
+    marked = F.when(F.col("mark"), F.col("s"))
+    inside = {n: Window.partitionBy("__part").orderBy(o).rowsBetween(Window.unboundedPreceding, 0) for n, o in (("before", F.asc("s")), ("after", F.desc("s")))}
+    edges = placed.groupBy("__part").agg(F.max(marked).alias("__last"), F.min(marked).alias("__first"))
+    over = {n: Window.orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for n, o in (("before", F.asc("__part")), ("after", F.desc("__part")))}
+    edges = edges.select("__part", F.last("__last", ignorenulls=True).over(over["before"]).alias("__b"), F.last("__first", ignorenulls=True).over(over["after"]).alias("__a"))
+    found = placed.select("*", *[F.last(marked, ignorenulls=True).over(w).alias(n) for n, w in inside.items()]).join(F.broadcast(edges), "__part")
+    return found.select(*rows.columns, F.coalesce("before", "__b").alias("before"), F.coalesce("after", "__a").alias("after"))
 
 
 def fuzzy_match(left: DataFrame, right: DataFrame) -> DataFrame:
     """(left_id, right_id, size): the right name with the longest common substring, ties by size / length of it;
     a left name whose best is shared by several right rows is ambiguous and left out, and so is one without a match.
 
-    left and right: (id, name). Of all right names with a substring only the shortest can be best through it, and two of
-    these tell a tie, so each substring keeps the first and the last id of its shortest names, aggregated map-side. Left
-    substrings meet that table by an equi-join: a substring that very many names share adds one row for each, no pairs.
+    left and right: (id, name). Suffixes of both sides are sorted together: what a left suffix shares with any right name
+    it shares with the right suffix next to it, so its longest match is a common prefix of neighbours. The substrings
+    that are longest for some left name are then placed among the right suffixes: a suffix belongs to the deepest of
+    them that it begins with, and what is known of these (the shortest names, with their first and last id: two tell a
+    tie) is handed up to the substrings that they begin with. Rows are as many as characters; equal suffixes are one row.
     """
-    a = _substrings(left.select(F.col("id").alias("left_id"), F.col("name").alias("a")), "a").select("left_id", "g")
-    b = _substrings(right.select(F.col("id").alias("right_id"), F.col("name").alias("b")), "b")
-    short = b.groupBy("g").agg(F.min(F.struct(F.length("b").alias("n"), "right_id")).alias("x"), F.max(F.struct((-F.length("b")).alias("n"), "right_id")).alias("y"))
-    # the longest substring and the shortest name by it, once with the first ids and once with the last: they differ in a tie
-    size, n = F.length("g").alias("size"), F.col("x.n").alias("n")
-    first, last = F.max(F.struct(size, (-n).alias("n"), F.col("y.right_id").alias("id"))), F.min(F.struct((-size).alias("size"), n, F.col("x.right_id").alias("id")))
-    best = a.join(short, "g").groupBy("left_id").agg(first.alias("last"), last.alias("first"))
-    return best.where("first.id = last.id").select("left_id", F.col("first.id").alias("right_id"), F.col("last.size").cast("int").alias("size"))
+    a = _suffixes(left.select(F.col("id").alias("left_id"), F.col("name").alias("a")), "a").select("left_id", "s")
+    b = _suffixes(right.select(F.col("id").alias("right_id"), F.col("name").alias("b")), "b")
+    ends = b.groupBy("s").agg(F.min(F.struct(F.length("b").alias("n"), F.col("right_id").alias("id"))).alias("x"), F.max(F.struct((-F.length("b")).alias("n"), F.col("right_id").alias("id"))).alias("y"))
+    sorted_ = a.select("s", F.lit(False).alias("mark")).unionByName(ends.select("s", F.lit(True).alias("mark"))).groupBy("s").agg(F.max("mark").alias("mark"))
+    size = F.greatest(common_prefix(F.col("s"), F.col("before")), common_prefix(F.col("s"), F.col("after")))
+    sized = cut(a.join(_neighbours(sorted_).select("s", size.alias("size")), "s").where("size > 0"))
+    longest = sized.groupBy("left_id").agg(F.max("size").alias("size"))
+    best = cut(sized.join(longest, ["left_id", "size"]).select("left_id", "size", F.left("s", F.col("size")).alias("g")).distinct())
+
+    wanted = best.select("g").distinct()
+    prefixes = wanted.select(F.col("g").alias("of"), F.explode(F.sequence(F.lit(1), F.length("g"))).alias("k")).withColumn("g", F.left("of", F.col("k")))
+    prefixes = prefixes.join(wanted, "g")
+    chain = prefixes.groupBy("of").agg(F.collect_list("k").alias("ks"))
+    placed = ends.select("s", F.lit(False).alias("mark")).unionByName(wanted.select(F.col("g").alias("s"), F.lit(True).alias("mark"))).groupBy("s").agg(F.max("mark").alias("mark"))
+    near = _neighbours(placed).select("s", F.col("before").alias("of")).join(chain, "of")
+    shared = common_prefix(F.col("s"), F.col("of"))
+    deepest = near.withColumn("c", shared).withColumn("k", F.array_max(F.filter("ks", lambda k: k <= F.col("c")))).where("k > 0").select("s", F.left("of", F.col("k")).alias("of"))
+    held = ends.join(deepest, "s").groupBy("of").agg(F.min("x").alias("x"), F.max("y").alias("y"))
+    known = held.join(prefixes.select("of", "g"), "of").groupBy("g").agg(F.min("x").alias("x"), F.max("y").alias("y"))
+    found = best.join(known, "g").groupBy("left_id").agg(F.min("x").alias("first"), F.max("y").alias("last"), F.max("size").alias("size"))
+    return found.where("first.id = last.id").select("left_id", F.col("first.id").alias("right_id"), F.col("size").cast("int").alias("size"))
 
 
 def second_degree(left: DataFrame, right: DataFrame) -> DataFrame:
