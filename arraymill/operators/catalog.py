@@ -253,7 +253,7 @@ def fuzzy_match(left: DataFrame, right: DataFrame) -> DataFrame:
     size = F.greatest(common_prefix(F.col("s"), F.col("before")), common_prefix(F.col("s"), F.col("after")))
     sized = cut(a.join(_neighbours(sorted_).select("s", size.alias("size")), "s").where("size > 0"))
     longest = sized.groupBy("left_id").agg(F.max("size").alias("size"))
-    best = cut(sized.join(longest, ["left_id", "size"]).select("left_id", "size", F.left("s", F.col("size")).alias("g")).distinct())
+    best = sized.join(longest, ["left_id", "size"]).select("left_id", "size", F.left("s", F.col("size")).alias("g")).distinct()
 
     wanted = best.select("g").distinct()
     prefixes = wanted.select(F.col("g").alias("of"), F.explode(F.sequence(F.lit(1), F.length("g"))).alias("k")).withColumn("g", F.left("of", F.col("k")))

@@ -136,7 +136,7 @@ def mquantiles(df: DataFrame, keys: list[str], value: str, probabilities: tuple[
     """AG59: quantiles with plotting positions 0.4, 0.4 by group: the order statistics around n p + 0.4 + 0.2 p.
     All quantiles of a single value are that value; a group without values has no row.
     """
-    return cumulated(df, keys, _c(value)).groupBy(*keys).agg(*[plotting(p).alias(f"q{int(100 * p)}") for p in probabilities])
+    return cumulated(df.where(_c(value).isNotNull()), keys, _c(value)).groupBy(*keys).agg(*[plotting(p).alias(f"q{int(100 * p)}") for p in probabilities])
 
 
 def smooth_threshold(v: Column, t: Column, mode: str = "high") -> Column:

@@ -27,12 +27,18 @@ def same_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "in
     return left.join(renamed, on, how).drop(*[f"__k{i}" for i in range(len(keys))])
 
 
+def _counts(df: DataFrame, keys: list[str], value: Column) -> DataFrame:
+    """keys, v, n: the distinct values of each group and how often each occurs; nulls are one row of n = 0, so that a
+    group without values stays."""
+    counts = df.select(*keys, value.cast("double").alias("v")).groupBy(*keys, "v")
+    return counts.agg(F.count("v").alias("n"))
+
+
 def cumulated(df: DataFrame, keys: list[str], value: Column) -> DataFrame:
-    """keys, v, n, upto, total: the distinct non-null values of each group, how often each occurs, how many values are not
-    above it, and how many there are. The parts are checkpointed: their bounds come from a sample."""
-    counts = df.select(*keys, value.cast("double").alias("v")).where(_c("v").isNotNull()).groupBy(*keys, "v").agg(F.count("*").alias("n"))
+    """keys, v, n, upto, total: the distinct values of each group, how often each occurs, how many values are not above it,
+    and how many there are. The parts are checkpointed: their bounds come from a sample."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = cut(counts.repartitionByRange(parts, *keys, "v").withColumn("__part", F.spark_partition_id()))
+    placed = cut(_counts(df, keys, value).repartitionByRange(parts, *keys, "v").withColumn("__part", F.spark_partition_id()))
     group = Window.partitionBy(*keys)
     before = group.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     held = placed.groupBy(*keys, "__part").agg(F.sum("n").alias("__c"))
@@ -42,6 +48,14 @@ def cumulated(df: DataFrame, keys: list[str], value: Column) -> DataFrame:
     return rows.select(*keys, "v", "n", (_c("upto") + _c("__base")).alias("upto"), "total")
 
 
+def cumulated_few(df: DataFrame, keys: list[str], value: Column) -> DataFrame:
+    """The same table for values of which a group has few different ones, however often they occur: one window over the
+    distinct values of a group, no range partition."""
+    group = Window.partitionBy(*keys)
+    upto = group.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    return _counts(df, keys, value).select(*keys, "v", "n", F.sum("n").over(upto).alias("upto"), F.sum("n").over(group).alias("total"))
+
+
 def _at(rank: Column, share: Column) -> Column:
     """What a row of `cumulated` adds to the value of a rank (from 0) that counts by a share; null where it has no part."""
     return F.when((rank >= _c("upto") - _c("n")) & (rank < _c("upto")) & (share != 0), _c("v") * share)
@@ -69,5 +83,4 @@ def plotting(probability: float, a: float = 0.4, b: float = 0.4) -> Column:
 
 def quantiles(df: DataFrame, keys: list[str], value: Column, named: dict[str, Column]) -> DataFrame:
     """keys and one column a quantile, for every group of df; null for a group without values."""
-    found = cumulated(df, keys, value).groupBy(*keys).agg(*[q.alias(name) for name, q in named.items()])
-    return same_keys(df.select(*keys).distinct(), found, keys, "left") if keys else found
+    return cumulated(df, keys, value).groupBy(*keys).agg(*[q.alias(name) for name, q in named.items()])

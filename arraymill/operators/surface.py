@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from ..sources.shared import cut
 from .links import roots
-from .quantiles import cumulated, linear, same_keys
+from .quantiles import cumulated_few, linear
 from .volume import AXES
 
 _c = F.col
@@ -101,7 +101,8 @@ def squared_field(points: DataFrame, bounds: DataFrame, keys: list[str], pixdim:
 
         def lowest(batches, axis=axis, weight=float(size) ** 2, kept=kept):
             for pdf in batches:
-                out = [_envelope(list(p), list(v), weight, lo, hi) for p, v, lo, hi in zip(pdf["at"], pdf["values"], pdf[f"lo{axis}"], pdf[f"hi{axis}"], strict=True)]
+                columns = (pdf["at"], pdf["values"], pdf[f"lo{axis}"].tolist(), pdf[f"hi{axis}"].tolist())
+                out = [_envelope(p.tolist(), v.tolist(), weight, lo, hi) for p, v, lo, hi in zip(*columns, strict=True)]
                 yield pdf[kept].assign(out=out)
 
         schema = T.StructType([*lines.select(*kept).schema, T.StructField("out", T.ArrayType(T.DoubleType()))])
@@ -125,9 +126,10 @@ def surface_distances(seg: DataFrame, ref: DataFrame, keys: list[str], pixdim=(1
     at, side = [*keys, *AXES], _c("__side")
     sides = seg.select(*at, F.lit(0).alias("__side")).unionByName(ref.select(*at, F.lit(1).alias("__side")))
     edges = border(sides, [*keys, "__side"])
-    distances = cut(field_distances(edges, edges.withColumn("__side", 1 - side), [*keys, "__side"], pixdim))
-    by_side = distances.groupBy(*keys, "__side").agg(F.sum("distance").alias("s"), F.max("distance").alias("m"))
-    by_side = same_keys(by_side, cumulated(distances, [*keys, "__side"], _c("distance")).groupBy(*keys, "__side").agg(linear(0.95).alias("q")), [*keys, "__side"])
+    distances = field_distances(edges, edges.withColumn("__side", 1 - side), [*keys, "__side"], pixdim)
+    # squared distances are sums of three squares, so a side has few different ones
+    counts = cumulated_few(distances, [*keys, "__side"], _c("distance"))
+    by_side = counts.groupBy(*keys, "__side").agg(F.sum(_c("v") * _c("n")).alias("s"), F.max("v").alias("m"), linear(0.95).alias("q"))
     union = edges.select(*at).distinct().groupBy(*keys).agg(F.count("*").alias("n"))
     both = by_side.groupBy(*keys).agg(F.sum("s").alias("s"), F.max("m").alias("hausdorff_distance"), F.max("q").alias("hausdorff95_distance")).join(union, keys)
     return both.select(*keys, (_c("s") / _c("n")).alias("average_distance"), "hausdorff_distance", "hausdorff95_distance")
