@@ -184,7 +184,7 @@ def test_run_and_registration(stages, spark):
     assert sorted(r.doc_id for r in P.run(spark, SF).select("doc_id").collect()) == sorted(kept(stages["bpe"][0]))
     names = e.queries()
     assert names["pipeline"].__wrapped__ is P.run
-    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14))
     assert set(ORACLE_SQL) <= set(QUERIES)
 
 
