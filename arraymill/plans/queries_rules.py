@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import uuid
 
-import pandas as pd
 from pyspark.sql import functions as F
 
 from ..operators import catalog as C
@@ -35,7 +34,7 @@ def generated_rows(spark, d):
 
     def make(number):
         for i in range(3):
-            yield pd.DataFrame({"number": [number], "item": [i], "value": [float(number * number + i)]})
+            yield number, i, float(number * number + i)
 
     return S.generated_from(table(spark, d, "customer"), "c_custkey", make, "number long, item long, value double")
 

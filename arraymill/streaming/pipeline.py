@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.control import MODES, should_stop
@@ -76,27 +77,60 @@ def keyed_sink(folder: str, column: str = "batch") -> Callable[[DataFrame, int],
     return write
 
 
-def generated_from(rows: DataFrame, column: str, make: Callable[[int], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
-    """ST2: what a generator gives for each number of a column, made in the tasks that hold the rows."""
+#: Rows of the frames that generated pieces are gathered in.
+PIECE_ROWS = 10_000
+
+
+def _gathered(pieces: Iterator[pd.DataFrame | tuple], names: list[str], most: int = PIECE_ROWS) -> Iterator[pd.DataFrame]:
+    """Frames of about `most` rows from frames and single rows (tuples in the order of names), in the order given."""
+    rows: list[tuple] = []
+    frames: list[pd.DataFrame] = []
+    held = 0
+
+    def turned():
+        if rows:
+            frames.append(pd.DataFrame(dict(zip(names, map(list, zip(*rows, strict=True)), strict=True))))
+            rows.clear()
+
+    for piece in pieces:
+        if isinstance(piece, pd.DataFrame):
+            if len(piece):
+                turned()
+                frames.append(piece[names])
+                held += len(piece)
+        else:
+            rows.append(piece)
+            held += 1
+        if held >= most:
+            turned()
+            yield pd.concat(frames, ignore_index=True)
+            frames, held = [], 0
+    turned()
+    if frames:
+        yield pd.concat(frames, ignore_index=True)
+
+
+def _made(rows: DataFrame, column: str, make: Callable[[int], Iterator[pd.DataFrame | tuple]], schema: str) -> DataFrame:
+    names = T.StructType.fromDDL(schema).names
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for number in batch[column].tolist():
-                yield from make(number)
+        yield from _gathered((piece for batch in batches for number in batch[column].tolist() for piece in make(number)), names)
 
     return rows.select(column).mapInPandas(each, schema)
 
 
-def generated(spark: SparkSession, make: Callable[[int], Iterator[pd.DataFrame]], first: int, last: int, schema: str, parts: int = 8) -> DataFrame:
-    """ST2: what a generator gives for the numbers first .. last - 1, made in `parts` tasks at a time. make(number) yields
-    frames; a lost task makes its numbers again, so make must depend on its number alone."""
+def generated_from(rows: DataFrame, column: str, make: Callable[[int], Iterator[pd.DataFrame | tuple]], schema: str) -> DataFrame:
+    """ST2: what a generator gives for each number of a column, made in the tasks that hold the rows.
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for number in batch["id"].tolist():
-                yield from make(number)
+    make(number) yields frames, or rows as tuples in the order of schema; small pieces are gathered before they leave a task.
+    """
+    return _made(rows, column, make, schema)
 
-    return spark.range(first, last, 1, parts).mapInPandas(each, schema)
+
+def generated(spark: SparkSession, make: Callable[[int], Iterator[pd.DataFrame | tuple]], first: int, last: int, schema: str, parts: int = 8) -> DataFrame:
+    """ST2: what a generator gives for the numbers first .. last - 1, made in `parts` tasks at a time. make(number) yields
+    frames or rows, as in generated_from; a lost task makes its numbers again, so make must depend on its number alone."""
+    return _made(spark.range(first, last, 1, parts), "id", make, schema)
 
 
 def inference_steps(spark: SparkSession, rows_per_second: int = 1) -> DataFrame:
