@@ -1,9 +1,11 @@
-"""Near duplicates by shingle overlap: SimHash links and MinHash bands propose pairs, exact overlap decides.
+"""Near duplicates by shingle overlap: an exact similarity join, with SimHash links and MinHash bands ahead of it.
 
 Fingerprints within a small radius miss most edited copies, so documents also meet in buckets of MinHash bands; a document
 is compared with the first and the last of each of its buckets, so proposals are linear in documents however large a
-bucket is. Every proposed pair is checked by the Jaccard similarity of the whole shingle sets, and components of the
-pairs that pass are groups of near copies.
+bucket is. Every proposed pair is checked by the Jaccard similarity of the whole shingle sets. This finds most groups
+cheaply; what it leaves out is found by prefixes: in one order of all shingles, rare ones first, two sets that are similar
+enough share one of the first few shingles of each. Sets that meet there are compared unless they are in one group already,
+so that large groups are not expanded into pairs, and no link between groups is lost.
 
 Rows are written once, in blocks. Beside them travel keys, fingerprints, bands, pairs, and the shingle sets of documents
 that are in a pair; a block gets back the keys of its rows that are in a group.
@@ -11,6 +13,8 @@ that are in a pair; a block gets back the keys of its rows that are in a group.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -26,6 +30,8 @@ from .simhash import links, majority, shingle_hashes
 
 #: A document at the similarity 0.8 to another shares one of its bands with a chance of over 0.998.
 BANDS, ROWS = 16, 5
+#: Bits of the classes of shingles whose texts are counted, and sets of a tile.
+SKETCH_BITS, TILE = 18, 4096
 BLOCK_BYTES, BLOCK_ROWS, ROW_BITS = 4 << 20, 1 << 15, 16
 _A, _B = (np.array([xxhash.xxh64_intdigest(b"minhash", s + k) | (k == 0) for s in range(BANDS * ROWS)], np.uint64) for k in (0, 1 << 20))
 
@@ -92,11 +98,82 @@ def _pairs(prints: DataFrame, radius: int) -> DataFrame:
     return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
 
 
+def _commonness(blocks: DataFrame, text_col: str, shingle: int, seed: int) -> np.ndarray:
+    """For each of 2^SKETCH_BITS classes of shingle hashes, in how many texts its shingles are. It orders shingles, rare ones
+    first; any order gives the same groups, this one few meetings. Its size is bounded."""
+    size = 1 << SKETCH_BITS
+
+    def count(batches):
+        total = np.zeros(size, np.int64)
+        for batch in batches:
+            for cell in batch.column("rows").to_pylist():
+                for text in _texts(_rows(cell), text_col):
+                    np.add.at(total, (np.unique(shingle_hashes(text, shingle, seed)) & np.uint64(size - 1)).astype(np.int64), 1)
+                released()
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["at", "n"])
+
+    out = np.zeros(size, np.int64)
+    for part in blocks.mapInArrow(count, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow().to_batches():
+        out[part.column(0).to_numpy()] = part.column(1).to_numpy()
+    return out
+
+
+def _prefixes(blocks: DataFrame, groups: DataFrame, copies: DataFrame, text_col: str, shingle: int, seed: int, share: int) -> DataFrame:
+    """token, key, root, n, pos: the first shingles of each set in the order of _commonness, so many that similar sets share
+    one; root is the group so far, n the size of the set. Sets that are equal to one of a lesser key are left out."""
+    order = blocks.sparkSession.sparkContext.broadcast(_commonness(blocks, text_col, shingle, seed))
+    at = groups.select(F.col("node").alias("key"), "root").join(copies.select(F.col("v").alias("key"), F.lit(True).alias("copy")), "key", "left")
+    known = at.select("key", "root", F.coalesce("copy", F.lit(False)).alias("copy"), F.shiftright("key", ROW_BITS).alias("block"))
+    names = ["token", "key", "root", "n", "pos"]
+
+    def first(left: pa.Table, right: pa.Table) -> pa.Table:
+        parts = [[np.zeros(0, np.int64)] for _ in names]
+        if left.num_rows:
+            block, texts = left.column("block")[0].as_py(), _texts(_rows(left.column("rows")[0].as_py()), text_col)
+            keys = (block << ROW_BITS) + np.arange(len(texts))
+            root, copy = keys.copy(), np.zeros(len(texts), bool)
+            i = right.column("key").to_numpy() - (block << ROW_BITS)
+            root[i], copy[i] = right.column("root").to_numpy(), right.column("copy").to_numpy(zero_copy_only=False)
+            for k in np.flatnonzero(~copy).tolist():
+                hashes = np.unique(shingle_hashes(texts[k], shingle, seed))
+                n = len(hashes)
+                if not n:
+                    continue
+                common = order.value[(hashes & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64)]
+                held = min(n, n + (-share * n // 1000) + 1)
+                token = hashes[np.lexsort((hashes, common))[:held]].view(np.int64)
+                for column, v in zip(parts, (token, keys[k], root[k], n, np.arange(held)), strict=True):
+                    column.append(np.broadcast_to(np.asarray(v, np.int64), held))
+        return pa.table([pa.array(np.concatenate(p)) for p in parts], names=names)
+
+    return saved(blocks.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(tidy_pair(first), ", ".join(f"{c} long" for c in names)), "near_prefixes")
+
+
+def _met(prefixes: DataFrame, share: int, tile: int = TILE) -> DataFrame:
+    """Pairs (a, b) of keys of different groups that share a shingle of both prefixes and can be similar enough by the sizes of
+    their sets and by what follows the shingle. A shingle of more than `tile` sets is taken in pairs of tiles."""
+    by_root = prefixes.groupBy("token", "root").agg(F.count("*").alias("m"))
+    sizes = by_root.groupBy("token").agg(F.sum("m").alias("m"), F.count("*").alias("roots"), F.max_by("root", "m").alias("top")).where("roots > 1").select("token", "top", F.ceil(F.col("m") / tile).cast("int").alias("tiles"))
+    mine = F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int")
+    spread = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda x: F.struct(F.least(x, F.col("mine")).alias("i"), F.greatest(x, F.col("mine")).alias("j")))
+    rows = prefixes.join(sizes, "token").withColumn("mine", mine).withColumn("p", F.explode(spread)).select("token", "p.i", "p.j", "mine", "key", "root", "n", "pos", (F.col("root") != F.col("top")).cast("int").alias("rest"))
+    # sets of the largest group (0) meet the rest only, never each other; the rest (1) meet among themselves, too
+    other = rows.where("rest = 1").select("token", "i", "j", F.explode(F.array(F.lit(0), F.lit(1))).alias("rest"), *[F.col(c).alias(f"{c}2") for c in ("mine", "key", "root", "n", "pos")])
+    c = F.col
+    # of sets of n and n2 shingles, `need` are shared at least; the first shared one leaves so many at most
+    most = F.least(c("n") - c("pos"), c("n2") - c("pos2"))
+    fits = (F.least("n", "n2") * 1000 >= F.greatest("n", "n2") * share) & (most * (1000 + share) >= (c("n") + c("n2")) * share)
+    pairs = rows.join(other, ["token", "i", "j", "rest"]).where(((c("rest") == 0) | (c("key") < c("key2"))) & (c("root") != c("root2")) & ((c("mine") != c("mine2")) | (c("i") == c("j"))) & fits)
+    return pairs.select(F.least("key", "key2").alias("a"), F.greatest("key", "key2").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, radius: int = 2, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Groups of texts whose sets of word shingles overlap by `similarity` or more (Jaccard, A-Z lower-cased).
 
-    A group is a component of pairs that pass; a pair is found with a chance of over 0.998 where it meets in a bucket of few
-    documents, and else through others of its group. Texts of fewer words than a shingle are one shingle; texts without
+    A group is a component of all pairs that pass: none is left out. Shingles are compared by their 64-bit hashes, equal sets
+    by a digest of 128 bits. Where very many texts are nearly similar enough and not in one group, they are compared in
+    pairs, by tiles in separate tasks. Texts of fewer words than a shingle are one shingle; texts without
     words are near copies of each other and of nothing else.
 
     Returns row (the input row as a struct), component_id (the least id of the group) and kept: true for one row of each
@@ -105,23 +182,25 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5,
     """
     kind = docs.schema[id_col].dataType
     blocks = _blocks(docs, text_col, block_bytes)
-    schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+    schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("same", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
 
     def describe(batches):
         for batch in batches:
             for block, cell in zip(batch.column("block").to_pylist(), batch.column("rows").to_pylist(), strict=True):
-                prints, bands = [], []
+                prints, same, bands = [], [], []
                 for text in _texts(_rows(cell), text_col):
                     hashes = shingle_hashes(text, shingle, seed)
                     prints.append(majority(hashes))
-                    bands.append(band_keys(np.unique(hashes)))
+                    distinct = np.unique(hashes)
+                    same.append(hashlib.blake2b(distinct.tobytes(), digest_size=16).digest())
+                    bands.append(band_keys(distinct))
                 keys = (block << ROW_BITS) + np.arange(len(prints))
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(bands, pa.list_(pa.int64()))], names=schema.names)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(same, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=schema.names)
                 released()
 
-    pairs = saved(_pairs(saved(blocks.mapInArrow(describe, schema), "near_prints"), radius), "near_pairs")
+    prints = saved(blocks.mapInArrow(describe, schema), "near_prints")
     block_of = F.shiftright("key", ROW_BITS).alias("block")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().select("key", block_of)
+    share = round(similarity * 1000)  # similarities are compared in whole thousandths
 
     def sets(left: pa.Table, right: pa.Table) -> pa.Table:
         keys, found = right.column("key").to_pylist() if left.num_rows else [], []
@@ -130,13 +209,22 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5,
             found = [np.unique(shingle_hashes(texts[k & (1 << ROW_BITS) - 1], shingle, seed)).view(np.int64) for k in keys]
         return pa.table([pa.array(keys, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["key", "shingles"])
 
-    held = saved(blocks.groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(tidy_pair(sets), "key long, shingles array<long>"), "near_sets")
-    sides = [held.select(F.col("key").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab"]
-    shared = F.size(F.array_intersect("sa", "sb")).cast("long")
-    compared = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", shared.alias("i"), (F.size("sa") + F.size("sb")).cast("long").alias("n"))
-    # i / (n - i) >= similarity, in whole thousandths
-    edges = compared.where(F.col("i") * 1000 >= F.lit(round(similarity * 1000)) * (F.col("n") - F.col("i"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    def passed(pairs: DataFrame) -> DataFrame:
+        """Links (u, v): the pairs (a, b) whose whole sets are similar enough."""
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().select("key", block_of)
+        held = saved(blocks.groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(tidy_pair(sets), "key long, shingles array<long>"), "near_sets")
+        sides = [held.select(F.col("key").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab"]
+        shared = F.size(F.array_intersect("sa", "sb")).cast("long")
+        compared = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", shared.alias("i"), (F.size("sa") + F.size("sb")).cast("long").alias("n"))
+        return compared.where(F.col("i") * 1000 >= F.lit(share) * (F.col("n") - F.col("i"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
+
+    first = prints.groupBy("same").agg(F.min("key").alias("first"))
+    copies = saved(prints.select("same", "key").join(first, "same").where("first < key").select(F.col("first").alias("u"), F.col("key").alias("v")), "near_copies")
+    edges = saved(passed(saved(_pairs(prints, radius), "near_pairs")).unionByName(copies), "near_edges")
     groups = components(edges)
+    more = saved(passed(saved(_met(_prefixes(blocks, groups, copies, text_col, shingle, seed, share), share), "near_met")), "near_more")
+    if not more.isEmpty():
+        groups = components(edges.unionByName(more))
 
     def ids(left: pa.Table, right: pa.Table) -> pa.Table:
         keys = right.column("key").to_numpy() if left.num_rows else np.zeros(0, np.int64)
