@@ -5,7 +5,7 @@ from __future__ import annotations
 from itertools import product
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -135,12 +135,13 @@ def surface_distances(seg: DataFrame, ref: DataFrame, keys: list[str], pixdim=(1
     return both.select(*keys, (_c("s") / _c("n")).alias("average_distance"), "hausdorff_distance", "hausdorff95_distance")
 
 
-def _labels(x: np.ndarray, y: np.ndarray, z: np.ndarray) -> np.ndarray:
-    """Face-connected components of voxels, numbered from 1 by their first voxel in C order."""
-    order = np.lexsort((z, y, x))
-    p = np.stack([x, y, z], axis=1)[order].astype(np.int64)
+def _labels(group: np.ndarray, x: np.ndarray, y: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """Face-connected components of the voxels of many groups (numbered from 0), numbered from 1 in each by their first voxel
+    in C order."""
+    order = np.lexsort((z, y, x, group))
+    g, p = group[order].astype(np.int64), np.stack([x, y, z], axis=1)[order].astype(np.int64)
     low, span = p.min(axis=0), p.max(axis=0) - p.min(axis=0) + 3
-    code = ((p[:, 0] - low[0] + 1) * span[1] + p[:, 1] - low[1] + 1) * span[2] + p[:, 2] - low[2] + 1
+    code = ((g * span[0] + p[:, 0] - low[0] + 1) * span[1] + p[:, 1] - low[1] + 1) * span[2] + p[:, 2] - low[2] + 1
     label = np.arange(len(p))
     pairs = []
     for step in (span[1] * span[2], span[2], 1):
@@ -156,19 +157,47 @@ def _labels(x: np.ndarray, y: np.ndarray, z: np.ndarray) -> np.ndarray:
         label = label[label]
         if (label == before).all():
             break
+    number = np.unique(label, return_inverse=True)[1]
     out = np.empty(len(p), np.int64)
-    out[order] = np.unique(label, return_inverse=True)[1] + 1
+    # the first voxel of a group has its first component
+    out[order] = number - number[np.searchsorted(g, g)] + 1
     return out
 
 
-def _labelled(rows: DataFrame, groups: list[str]) -> DataFrame:
-    """rows with the component of each voxel inside its group, which is one task's."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", component int"
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pdf.assign(component=_labels(*(pdf[a].to_numpy() for a in AXES)).astype("int32"))
-
-    return rows.groupBy(*groups).applyInPandas(run, schema)
+def _labelled(rows: DataFrame, groups: list[str], tile: int) -> DataFrame:
+    """rows with the component of each voxel inside its group, which is one task's. Groups are sorted and come in batches of
+    many; of a group that a batch ends in, the rows wait for the next one. A group lies in one tile."""
+    schema = T.StructType([*rows.schema, T.StructField("component", T.IntegerType())])
+
+    def numbered(table: pa.Table) -> np.ndarray:
+        new = np.zeros(table.num_rows, bool)
+        for k in groups:
+            codes = table.column(k).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+            new[1:] |= codes[1:] != codes[:-1]
+        return np.cumsum(new)
+
+    def done(table: pa.Table, group: np.ndarray):
+        found = _labels(group, *(table.column(a).to_numpy() % tile for a in AXES)).astype(np.int32)
+        return table.append_column("component", pa.array(found)).to_batches()
+
+    def run(batches):
+        waiting: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            waiting.append(batch)
+            table = pa.Table.from_batches(waiting).combine_chunks()
+            group = numbered(table)
+            whole = int(np.searchsorted(group, group[-1]))
+            if whole:
+                yield from done(table.slice(0, whole).combine_chunks(), group[:whole])
+                waiting = table.slice(whole).combine_chunks().to_batches()
+        if waiting:
+            table = pa.Table.from_batches(waiting).combine_chunks()
+            yield from done(table, numbered(table))
+
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, *groups).sortWithinPartitions(*groups).mapInArrow(run, schema)
 
 
 #: Voxels of a tile along each axis, and the bits of a tile's place on an axis and of a label in it.
@@ -184,10 +213,10 @@ def components(mask: DataFrame, keys: list[str], tile: int = TILE, shape: tuple[
     negative and below tile * 2^15.
     """
     if shape and max(shape) <= tile:
-        return _labelled(mask.select(*keys, *AXES), keys)
+        return _labelled(mask.select(*keys, *AXES), keys, tile)
     tiles = [f"__t{a}" for a in AXES]
     rows = mask.select(*keys, *AXES, *[F.floor(_c(a) / tile).cast("int").alias(t) for a, t in zip(AXES, tiles, strict=True)])
-    one = _labelled(rows, [*keys, *tiles])
+    one = _labelled(rows, [*keys, *tiles], tile)
     if rows.where(F.greatest(*tiles) > 0).isEmpty():
         return one.select(*keys, *AXES, "component")
     place = F.lit(0).cast("long")
