@@ -32,6 +32,8 @@ from .simhash import links, majority, shingle_hashes
 BANDS, ROWS = 16, 5
 #: Bits of the classes of shingles whose texts are counted, and sets of a tile.
 SKETCH_BITS, TILE = 18, 4096
+#: Sets that meet at one shingle before those with more frequent ones are ordered again, and how often they are.
+MANY, ROUNDS = 32, 4
 BLOCK_BYTES, BLOCK_ROWS, ROW_BITS = 4 << 20, 1 << 15, 16
 _A, _B = (np.array([xxhash.xxh64_intdigest(b"minhash", s + k) | (k == 0) for s in range(BANDS * ROWS)], np.uint64) for k in (0, 1 << 20))
 
@@ -98,41 +100,57 @@ def _pairs(prints: DataFrame, radius: int) -> DataFrame:
     return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
 
 
-def _commonness(blocks: DataFrame, text_col: str, shingle: int, seed: int) -> np.ndarray:
-    """For each of 2^SKETCH_BITS classes of shingle hashes, in how many texts its shingles are. It orders shingles, rare ones
-    first; any order gives the same groups, this one few meetings. Its size is bounded."""
+def _commonness(blocks: DataFrame, text_col: str, shingle: int, seed: int, only: DataFrame | None = None) -> np.ndarray:
+    """For each of 2^SKETCH_BITS classes of shingle hashes, in how many texts its shingles are: of all texts, or of those of
+    the keys `only`. It orders shingles, rare ones first; any order gives the same groups, this one few meetings. Its size is
+    bounded."""
     size = 1 << SKETCH_BITS
 
+    def counted(texts, total):
+        for text in texts:
+            np.add.at(total, (np.unique(shingle_hashes(text, shingle, seed)) & np.uint64(size - 1)).astype(np.int64), 1)
+        released()
+
     def count(batches):
         total = np.zeros(size, np.int64)
         for batch in batches:
             for cell in batch.column("rows").to_pylist():
-                for text in _texts(_rows(cell), text_col):
-                    np.add.at(total, (np.unique(shingle_hashes(text, shingle, seed)) & np.uint64(size - 1)).astype(np.int64), 1)
-                released()
+                counted(_texts(_rows(cell), text_col), total)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["at", "n"])
 
+    def count_only(left: pa.Table, right: pa.Table) -> pa.Table:
+        total = np.zeros(size if left.num_rows and right.num_rows else 0, np.int64)
+        if len(total):
+            texts = _texts(_rows(left.column("rows")[0].as_py()), text_col)
+            counted([texts[k & (1 << ROW_BITS) - 1] for k in right.column("key").to_pylist()], total)
+        at = np.flatnonzero(total)
+        return pa.table([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["at", "n"])
+
+    kind = "at int, n long"
+    parts = blocks.mapInArrow(count, kind) if only is None else blocks.groupBy("block").cogroup(only.select("key", F.shiftright("key", ROW_BITS).alias("block")).groupBy("block")).applyInArrow(tidy_pair(count_only), kind)
     out = np.zeros(size, np.int64)
-    for part in blocks.mapInArrow(count, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow().to_batches():
+    for part in parts.groupBy("at").agg(F.sum("n").alias("n")).toArrow().to_batches():
         out[part.column(0).to_numpy()] = part.column(1).to_numpy()
     return out
 
 
-def _prefixes(blocks: DataFrame, groups: DataFrame, copies: DataFrame, text_col: str, shingle: int, seed: int, share: int) -> DataFrame:
+def _prefixes(blocks: DataFrame, groups: DataFrame, copies: DataFrame, text_col: str, shingle: int, seed: int, share: int, only: DataFrame | None = None) -> DataFrame:
     """token, key, root, n, pos: the first shingles of each set in the order of _commonness, so many that similar sets share
-    one; root is the group so far, n the size of the set. Sets that are equal to one of a lesser key are left out."""
-    order = blocks.sparkSession.sparkContext.broadcast(_commonness(blocks, text_col, shingle, seed))
-    at = groups.select(F.col("node").alias("key"), "root").join(copies.select(F.col("v").alias("key"), F.lit(True).alias("copy")), "key", "left")
+    one; root is the group so far, n the size of the set. Sets that are equal to one of a lesser key are left out. Of the
+    sets of the keys `only` (key, root), if given: in an order of their own."""
+    order = blocks.sparkSession.sparkContext.broadcast(_commonness(blocks, text_col, shingle, seed, only))
+    every = only is None
+    at = groups.select(F.col("node").alias("key"), "root").join(copies.select(F.col("v").alias("key"), F.lit(True).alias("copy")), "key", "left") if every else only.withColumn("copy", F.lit(False))
     known = at.select("key", "root", F.coalesce("copy", F.lit(False)).alias("copy"), F.shiftright("key", ROW_BITS).alias("block"))
     names = ["token", "key", "root", "n", "pos"]
 
     def first(left: pa.Table, right: pa.Table) -> pa.Table:
         parts = [[np.zeros(0, np.int64)] for _ in names]
-        if left.num_rows:
+        if left.num_rows and (every or right.num_rows):
             block, texts = left.column("block")[0].as_py(), _texts(_rows(left.column("rows")[0].as_py()), text_col)
             keys = (block << ROW_BITS) + np.arange(len(texts))
-            root, copy = keys.copy(), np.zeros(len(texts), bool)
+            root, copy = keys.copy(), np.full(len(texts), not every)
             i = right.column("key").to_numpy() - (block << ROW_BITS)
             root[i], copy[i] = right.column("root").to_numpy(), right.column("copy").to_numpy(zero_copy_only=False)
             for k in np.flatnonzero(~copy).tolist():
@@ -150,14 +168,26 @@ def _prefixes(blocks: DataFrame, groups: DataFrame, copies: DataFrame, text_col:
     return saved(blocks.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(tidy_pair(first), ", ".join(f"{c} long" for c in names)), "near_prefixes")
 
 
-def _met(prefixes: DataFrame, share: int, tile: int = TILE) -> DataFrame:
-    """Pairs (a, b) of keys of different groups that share a shingle of both prefixes and can be similar enough by the sizes of
-    their sets and by what follows the shingle. A shingle of more than `tile` sets is taken in pairs of tiles."""
+def _shared(prefixes: DataFrame) -> DataFrame:
+    """token, key, root, n, pos, m, top: the prefix shingles of several groups, each with its number of sets and its largest
+    group. Of shingles that are in the prefixes of the very same sets (told by 128 bits), as those of one passage are, the
+    first stands for all: a pair of sets meets there once, not once a shingle."""
     by_root = prefixes.groupBy("token", "root").agg(F.count("*").alias("m"))
-    sizes = by_root.groupBy("token").agg(F.sum("m").alias("m"), F.count("*").alias("roots"), F.max_by("root", "m").alias("top")).where("roots > 1").select("token", "top", F.ceil(F.col("m") / tile).cast("int").alias("tiles"))
+    sizes = by_root.groupBy("token").agg(F.sum("m").alias("m"), F.count("*").alias("roots"), F.max_by("root", "m").alias("top")).where("roots > 1").drop("roots")
+    met = saved(prefixes.join(sizes, "token"), "near_meeting")  # few of all: most shingles are in one set
+    sets = met.groupBy("token").agg(*[F.bit_xor(F.xxhash64("key", F.lit(i))).alias(f"d{i}") for i in (1, 2)])
+    # each of the sets has all of these shingles, so that all agree on the least token and top
+    rows = met.join(sets, "token").groupBy("d1", "d2", "m", "key", "root", "n").agg(F.min("token").alias("token"), F.min("pos").alias("pos"), F.min("top").alias("top"))
+    return rows.select("token", "key", "root", "n", "pos", "m", "top")
+
+
+def _pairs_of(shared: DataFrame, share: int, tile: int = TILE) -> DataFrame:
+    """Pairs (a, b) of keys of different groups that share a row's shingle and can be similar enough by the sizes of their sets
+    and by what follows the shingle. A shingle of more than `tile` sets is taken in pairs of tiles."""
+    tiles = F.ceil(F.col("m") / tile).cast("int")
     mine = F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int")
     spread = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda x: F.struct(F.least(x, F.col("mine")).alias("i"), F.greatest(x, F.col("mine")).alias("j")))
-    rows = prefixes.join(sizes, "token").withColumn("mine", mine).withColumn("p", F.explode(spread)).select("token", "p.i", "p.j", "mine", "key", "root", "n", "pos", (F.col("root") != F.col("top")).cast("int").alias("rest"))
+    rows = shared.withColumn("tiles", tiles).withColumn("mine", mine).withColumn("p", F.explode(spread)).select("token", "p.i", "p.j", "mine", "key", "root", "n", "pos", (F.col("root") != F.col("top")).cast("int").alias("rest"))
     # sets of the largest group (0) meet the rest only, never each other; the rest (1) meet among themselves, too
     other = rows.where("rest = 1").select("token", "i", "j", F.explode(F.array(F.lit(0), F.lit(1))).alias("rest"), *[F.col(c).alias(f"{c}2") for c in ("mine", "key", "root", "n", "pos")])
     c = F.col
@@ -168,6 +198,32 @@ def _met(prefixes: DataFrame, share: int, tile: int = TILE) -> DataFrame:
     return pairs.select(F.least("key", "key2").alias("a"), F.greatest("key", "key2").alias("b")).distinct()
 
 
+def _met(prefixes: DataFrame, share: int, tile: int = TILE) -> DataFrame:
+    """Pairs (a, b) of keys of different groups that share a shingle of both prefixes and can be similar enough."""
+    return _pairs_of(_shared(prefixes), share, tile)
+
+
+def _proposed(prefixes, share: int, many: int = MANY, rounds: int = ROUNDS) -> DataFrame:
+    """The pairs of _met, with few meetings at frequent shingles. prefixes: keys (key, root) or None for all -> their prefixes.
+
+    Sets meet at shingles of at most `many` sets, which makes pairs in proportion to rows. Those that have a more frequent
+    one in their prefix are ordered again by how common shingles are among them alone: their own text comes first then, the
+    lines that brought them together last. As similar sets share a prefix shingle in any order, none is lost: a pair meets at
+    a shingle of few sets, or both are in the next round. The last round takes the pairs of all its shingles, and so does one
+    after which not fewer than half of the sets would be left.
+    """
+    found, keys, left = None, None, None
+    for i in range(rounds):
+        shared = saved(_shared(prefixes(keys)), "near_shared")
+        keys = saved(shared.where(F.col("m") > many).select("key", "root").distinct(), "near_frequent")
+        before, left = left, keys.count()
+        last = not left or i == rounds - 1 or before is not None and 2 * left >= before
+        pairs = _pairs_of(shared if last else shared.where(F.col("m") <= many), share)
+        found = pairs if found is None else found.unionByName(pairs)
+        if last:
+            return found.distinct() if i else found
+
+
 def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, radius: int = 2, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Groups of texts whose sets of word shingles overlap by `similarity` or more (Jaccard, A-Z lower-cased).
 
@@ -222,7 +278,8 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5,
     copies = saved(prints.select("same", "key").join(first, "same").where("first < key").select(F.col("first").alias("u"), F.col("key").alias("v")), "near_copies")
     edges = saved(passed(saved(_pairs(prints, radius), "near_pairs")).unionByName(copies), "near_edges")
     groups = components(edges)
-    more = saved(passed(saved(_met(_prefixes(blocks, groups, copies, text_col, shingle, seed, share), share), "near_met")), "near_more")
+    proposed = _proposed(lambda keys: _prefixes(blocks, groups, copies, text_col, shingle, seed, share, keys), share)
+    more = saved(passed(saved(proposed, "near_met")), "near_more")
     if not more.isEmpty():
         groups = components(edges.unionByName(more))
 
