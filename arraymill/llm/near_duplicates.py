@@ -17,21 +17,22 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .blocks import bucketed, released, sliced, tidy_pair
+from .blocks import bucketed, buckets_for, key_ranges, pack, released, sliced, tidy, tidy_pair, unpack
 from .common import saved
 from .components import components
 from .simhash import links, majority, shingle_hashes
 
 #: A document at the similarity 0.8 to another shares one of its bands with a chance of over 0.998.
 BANDS, ROWS = 16, 5
-#: Bits of the classes of shingles whose texts are counted, and sets of a tile.
-SKETCH_BITS, TILE = 18, 4096
+#: Shingles of a range of classes that is counted at once, bits of a class beyond those of the number of shingles, sets of a tile.
+RANGE, SPARE_BITS, TILE = 1 << 21, 6, 4096
 #: Sets that meet at one shingle before those with more frequent ones are ordered again, and how often they are.
 MANY, ROUNDS = 32, 4
 BLOCK_BYTES, BLOCK_ROWS, ROW_BITS = 4 << 20, 1 << 15, 16
@@ -100,72 +101,89 @@ def _pairs(prints: DataFrame, radius: int) -> DataFrame:
     return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
 
 
-def _commonness(blocks: DataFrame, text_col: str, shingle: int, seed: int, only: DataFrame | None = None) -> np.ndarray:
-    """For each of 2^SKETCH_BITS classes of shingle hashes, in how many texts its shingles are: of all texts, or of those of
-    the keys `only`. It orders shingles, rare ones first; any order gives the same groups, this one few meetings. Its size is
-    bounded."""
-    size = 1 << SKETCH_BITS
+def _sets(left: pa.Table, right: pa.Table, text_col: str, shingle: int, seed: int, every: bool) -> list[tuple[int, int, np.ndarray]]:
+    """(key, group so far, sorted shingle hashes) of the sets of a block: of all but copies, or of those on the right alone.
+    Texts without words are left out."""
+    if not left.num_rows or not (every or right.num_rows):
+        return []
+    base, texts = left.column("block")[0].as_py() << ROW_BITS, _texts(_rows(left.column("rows")[0].as_py()), text_col)
+    root, skip = base + np.arange(len(texts)), np.full(len(texts), not every)
+    i = right.column("key").to_numpy() - base
+    root[i], skip[i] = right.column("root").to_numpy(), right.column("copy").to_numpy(zero_copy_only=False)
+    held = [(k, np.unique(shingle_hashes(texts[k], shingle, seed))) for k in np.flatnonzero(~skip).tolist()]
+    return [(base + k, int(root[k]), hashes) for k, hashes in held if len(hashes)]
 
-    def counted(texts, total):
-        for text in texts:
-            np.add.at(total, (np.unique(shingle_hashes(text, shingle, seed)) & np.uint64(size - 1)).astype(np.int64), 1)
-        released()
 
-    def count(batches):
-        total = np.zeros(size, np.int64)
-        for batch in batches:
-            for cell in batch.column("rows").to_pylist():
-                counted(_texts(_rows(cell), text_col), total)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["at", "n"])
-
-    def count_only(left: pa.Table, right: pa.Table) -> pa.Table:
-        total = np.zeros(size if left.num_rows and right.num_rows else 0, np.int64)
-        if len(total):
-            texts = _texts(_rows(left.column("rows")[0].as_py()), text_col)
-            counted([texts[k & (1 << ROW_BITS) - 1] for k in right.column("key").to_pylist()], total)
-        at = np.flatnonzero(total)
-        return pa.table([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["at", "n"])
-
-    kind = "at int, n long"
-    parts = blocks.mapInArrow(count, kind) if only is None else blocks.groupBy("block").cogroup(only.select("key", F.shiftright("key", ROW_BITS).alias("block")).groupBy("block")).applyInArrow(tidy_pair(count_only), kind)
-    out = np.zeros(size, np.int64)
-    for part in parts.groupBy("at").agg(F.sum("n").alias("n")).toArrow().to_batches():
-        out[part.column(0).to_numpy()] = part.column(1).to_numpy()
-    return out
-
-
-def _prefixes(blocks: DataFrame, groups: DataFrame, copies: DataFrame, text_col: str, shingle: int, seed: int, share: int, only: DataFrame | None = None) -> DataFrame:
-    """token, key, root, n, pos: the first shingles of each set in the order of _commonness, so many that similar sets share
-    one; root is the group so far, n the size of the set. Sets that are equal to one of a lesser key are left out. Of the
-    sets of the keys `only` (key, root), if given: in an order of their own."""
-    order = blocks.sparkSession.sparkContext.broadcast(_commonness(blocks, text_col, shingle, seed, only))
+def _classes(sets: list[tuple[int, int, np.ndarray]], bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The classes (first bits) of the shingles of some sets, each once and in order, and how many of the sets have each."""
+    return np.unique(np.concatenate([h >> np.uint64(64 - bits) for *_, h in sets] or [np.zeros(0, np.uint64)]), return_counts=True)
+
+
+def _class_bits(total: int) -> int:
+    """So many that of `total` shingles about one in a hundred is in a class with another one."""
+    return max(32, min(63, total.bit_length() + SPARE_BITS))
+
+
+def _counts(blocks: DataFrame, known: DataFrame, text_col: str, shingle: int, seed: int, every: bool, total: int) -> DataFrame:
+    """block, range, sets: in how many sets each class of a block's shingles is, in the order of _classes; a row for each range
+    of classes that the block has some of. total: shingles of all these sets.
+
+    The bits of a class and the number of ranges follow `total`, so that neither the chance of two shingles in one class nor a
+    range's size grows with the data. Classes travel as packed differences, counts come back by position.
+    """
+    bits, ranges = _class_bits(total), buckets_for(total, RANGE)
+
+    def sent(left: pa.Table, right: pa.Table) -> pa.Table:
+        at, n = _classes(_sets(left, right, text_col, shingle, seed, every), bits)
+        cells = [(r, pack(np.diff(at[a:b], prepend=np.uint64(0))), pack(n[a:b].astype(np.uint32))) for r, a, b in key_ranges(at, bits, ranges)] if len(at) else []
+        block = pa.array([left.column("block")[0].as_py()] * len(cells) if cells else [], pa.int64())
+        return pa.table([block, *[pa.array([c[i] for c in cells], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.binary()))]], names=["block", "range", "classes", "n"])
+
+    def added(table: pa.Table) -> pa.Table:
+        at = [np.cumsum(unpack(x), dtype=np.uint64) for x in table.column("classes").to_pylist()]
+        of = np.unique(np.concatenate(at), return_inverse=True)[1]
+        sums = np.bincount(of, weights=np.concatenate([unpack(x) for x in table.column("n").to_pylist()]))[of].astype(np.uint32)
+        parts = np.split(sums, np.cumsum([len(x) for x in at])[:-1])
+        return pa.table([table.column("block"), table.column("range"), pa.array([pack(x) for x in parts], pa.binary())], names=["block", "range", "sets"])
+
+    cells = blocks.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(tidy_pair(sent), "block long, range long, classes binary, n binary")
+    return cells.groupBy("range").applyInArrow(tidy(added), "block long, range long, sets binary")
+
+
+def _prefixes(blocks: DataFrame, groups: DataFrame, copies: DataFrame, text_col: str, shingle: int, seed: int, share: int, total: int, only: DataFrame | None = None) -> DataFrame:
+    """token, key, root, n, pos: of each set the first shingles, rarest first, so many that similar sets share one; those that
+    no other set has are left out of the rows. root is the group so far, n the size of the set. Sets that are equal to one of a
+    lesser key are left out. Of the sets of the keys `only` (key, root, n), if given: by how many of these alone have a shingle.
+    total: shingles of all sets.
+
+    Any order gives the same groups; by whole counts few sets meet, as one with enough shingles of its own meets none."""
     every = only is None
     at = groups.select(F.col("node").alias("key"), "root").join(copies.select(F.col("v").alias("key"), F.lit(True).alias("copy")), "key", "left") if every else only.withColumn("copy", F.lit(False))
-    known = at.select("key", "root", F.coalesce("copy", F.lit(False)).alias("copy"), F.shiftright("key", ROW_BITS).alias("block"))
-    names = ["token", "key", "root", "n", "pos"]
+    known = at.select(F.shiftright("key", ROW_BITS).alias("block"), "key", "root", F.coalesce("copy", F.lit(False)).alias("copy"))
+    total = total if every else only.agg(F.sum("n")).first()[0] or 0
+    bits, names = _class_bits(total), ["token", "key", "root", "n", "pos"]
 
     def first(left: pa.Table, right: pa.Table) -> pa.Table:
         parts = [[np.zeros(0, np.int64)] for _ in names]
-        if left.num_rows and (every or right.num_rows):
-            block, texts = left.column("block")[0].as_py(), _texts(_rows(left.column("rows")[0].as_py()), text_col)
-            keys = (block << ROW_BITS) + np.arange(len(texts))
-            root, copy = keys.copy(), np.full(len(texts), not every)
-            i = right.column("key").to_numpy() - (block << ROW_BITS)
-            root[i], copy[i] = right.column("root").to_numpy(), right.column("copy").to_numpy(zero_copy_only=False)
-            for k in np.flatnonzero(~copy).tolist():
-                hashes = np.unique(shingle_hashes(texts[k], shingle, seed))
-                n = len(hashes)
-                if not n:
-                    continue
-                common = order.value[(hashes & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64)]
-                held = min(n, n + (-share * n // 1000) + 1)
-                token = hashes[np.lexsort((hashes, common))[:held]].view(np.int64)
-                for column, v in zip(parts, (token, keys[k], root[k], n, np.arange(held)), strict=True):
-                    column.append(np.broadcast_to(np.asarray(v, np.int64), held))
+        found = _sets(left, right.filter(pc.is_valid(right.column("key"))), text_col, shingle, seed, every)
+        if found:
+            counted = right.filter(pc.is_valid(right.column("range"))).sort_by("range")
+            sets = np.concatenate([unpack(x) for x in counted.column("sets").to_pylist()])
+            classes, _ = _classes(found, bits)
+            if len(sets) != len(classes):
+                raise ValueError(f"block {left.column('block')[0]} has {len(classes)} classes of shingles and {len(sets)} counts")
+        for key, root, hashes in found:
+            n = len(hashes)
+            m = sets[np.searchsorted(classes, hashes >> np.uint64(64 - bits))]
+            order = np.lexsort((hashes, m))[: min(n, n + (-share * n // 1000) + 1)]
+            pos = np.flatnonzero(m[order] > 1)
+            for column, v in zip(parts, (hashes[order[pos]].view(np.int64), key, root, n, pos), strict=True):
+                column.append(np.broadcast_to(np.asarray(v, np.int64), len(pos)))
         return pa.table([pa.array(np.concatenate(p)) for p in parts], names=names)
 
-    return saved(blocks.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(tidy_pair(first), ", ".join(f"{c} long" for c in names)), "near_prefixes")
+    counts = _counts(blocks, known, text_col, shingle, seed, every, total)
+    both = known.unionByName(counts, allowMissingColumns=True)
+    return saved(blocks.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(tidy_pair(first), ", ".join(f"{c} long" for c in names)), "near_prefixes")
 
 
 def _shared(prefixes: DataFrame) -> DataFrame:
@@ -204,7 +222,7 @@ def _met(prefixes: DataFrame, share: int, tile: int = TILE) -> DataFrame:
 
 
 def _proposed(prefixes, share: int, many: int = MANY, rounds: int = ROUNDS) -> DataFrame:
-    """The pairs of _met, with few meetings at frequent shingles. prefixes: keys (key, root) or None for all -> their prefixes.
+    """The pairs of _met, with few meetings at frequent shingles. prefixes: keys (key, root, n) or None for all -> their prefixes.
 
     Sets meet at shingles of at most `many` sets, which makes pairs in proportion to rows. Those that have a more frequent
     one in their prefix are ordered again by how common shingles are among them alone: their own text comes first then, the
@@ -215,7 +233,7 @@ def _proposed(prefixes, share: int, many: int = MANY, rounds: int = ROUNDS) -> D
     found, keys, left = None, None, None
     for i in range(rounds):
         shared = saved(_shared(prefixes(keys)), "near_shared")
-        keys = saved(shared.where(F.col("m") > many).select("key", "root").distinct(), "near_frequent")
+        keys = saved(shared.where(F.col("m") > many).select("key", "root", "n").distinct(), "near_frequent")
         before, left = left, keys.count()
         last = not left or i == rounds - 1 or before is not None and 2 * left >= before
         pairs = _pairs_of(shared if last else shared.where(F.col("m") <= many), share)
@@ -238,20 +256,21 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5,
     """
     kind = docs.schema[id_col].dataType
     blocks = _blocks(docs, text_col, block_bytes)
-    schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("same", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+    schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("same", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("n", T.LongType())])
 
     def describe(batches):
         for batch in batches:
             for block, cell in zip(batch.column("block").to_pylist(), batch.column("rows").to_pylist(), strict=True):
-                prints, same, bands = [], [], []
+                prints, same, bands, sizes = [], [], [], []
                 for text in _texts(_rows(cell), text_col):
                     hashes = shingle_hashes(text, shingle, seed)
                     prints.append(majority(hashes))
                     distinct = np.unique(hashes)
                     same.append(hashlib.blake2b(distinct.tobytes(), digest_size=16).digest())
                     bands.append(band_keys(distinct))
+                    sizes.append(len(distinct))
                 keys = (block << ROW_BITS) + np.arange(len(prints))
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(same, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=schema.names)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(same, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sizes, pa.int64())], names=schema.names)
                 released()
 
     prints = saved(blocks.mapInArrow(describe, schema), "near_prints")
@@ -278,7 +297,8 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5,
     copies = saved(prints.select("same", "key").join(first, "same").where("first < key").select(F.col("first").alias("u"), F.col("key").alias("v")), "near_copies")
     edges = saved(passed(saved(_pairs(prints, radius), "near_pairs")).unionByName(copies), "near_edges")
     groups = components(edges)
-    proposed = _proposed(lambda keys: _prefixes(blocks, groups, copies, text_col, shingle, seed, share, keys), share)
+    total = prints.agg(F.sum("n")).first()[0] or 0
+    proposed = _proposed(lambda keys: _prefixes(blocks, groups, copies, text_col, shingle, seed, share, total, keys), share)
     more = saved(passed(saved(proposed, "near_met")), "near_more")
     if not more.isEmpty():
         groups = components(edges.unionByName(more))
