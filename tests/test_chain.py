@@ -13,6 +13,7 @@ from arraymill.plans import chain
 from arraymill.plans import runs as R
 from arraymill.plans.spec import read_config
 
+from .test_bricks import brute
 from .test_own_shapes import arrays
 
 SHAPES = {"a": (3, 4, 2), "b": (5, 2, 3)}
@@ -78,6 +79,22 @@ def test_cubic_sampling_is_the_spline_through_the_voxels(spark):
     assert rows.keys() == want.keys() and all(rows[p] == pytest.approx(v, abs=1e-9) for p, v in want.items())
 
 
+@pytest.mark.parametrize("order", [0, 1])
+def test_volumes_of_several_bricks_are_sampled_by_their_own_sizes(spark, order):
+    shapes = {"a": (19, 3, 9), "b": (2, 10, 17)}
+    a, df = packed(spark, {k: np.eye(4) for k in shapes}, {k: (1.0,) * 3 for k in shapes}, shapes)
+    nx, ny, nz = (F.col(n) for n in V.SIZES)
+    matrix = [[0.5, 0.0, 0.0, 0.25], [0.0, -1.0, 0.0, (ny - 1).cast("double")], [0.0, 0.0, 1.0, 0.75]]
+    got = arrays(chain.sampled(R.voxel_table(df, "subject_id"), R.volumes_of(df, "subject_id"), "subject_id", matrix, [2 * nx, ny, nz], order))
+    for k, v in a.items():
+        assert got[k, 0, 0].shape == (2 * v.shape[0], *v.shape[1:])
+        cells = {p: float(v[p]) for p in np.ndindex(v.shape)}
+        for p in np.ndindex(got[k, 0, 0].shape):
+            at = (0.5 * p[0] + 0.25, v.shape[1] - 1 - p[1], p[2] + 0.75)
+            want = brute(cells, v.shape, at) if order else cells[tuple(min(round(q), n - 1) for q, n in zip(at, v.shape, strict=True))]
+            assert got[k, 0, 0][p] == pytest.approx(want, abs=1e-9)
+
+
 def test_shrinking_volumes_are_smoothed_by_their_own_width(spark):
     shapes = {"a": (6, 5, 7), "b": (5, 6, 4), "c": (4, 4, 4), "d": (5, 5, 5)}
     _, df = packed(spark, {k: np.eye(4) for k in shapes}, {k: (1.0,) * 3 for k in shapes}, shapes)
