@@ -1,12 +1,14 @@
 """Image files as packed volumes: NIfTI-1, and formats of Spark's image source (SC6-SC13, SC17, SK3, U3).
 
-Files are listed and read by Spark's readers, so any store works; a decoder is a function of bytes and runs in Arrow
-batches of files, each executor decoding its own.
+A folder is read by Spark's readers, so any store works; the driver holds its list of files. Files that are listed by path
+are opened by the tasks, where pyarrow reaches their store, and no list of them goes through the driver. A decoder is a
+function of bytes and runs in Arrow batches of files, each executor decoding its own.
 """
 
 from __future__ import annotations
 
 import gzip
+import re
 import struct
 from collections.abc import Callable, Iterator
 
@@ -17,6 +19,8 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import cut, qualified, unsized
+
 PACKED = "path string, shape array<int>, affine array<double>, pixdim array<double>, voxels array<float>"
 
 #: NIfTI-1 data type codes.
@@ -180,6 +184,73 @@ def decoded(files: DataFrame, loader: str | None = None) -> DataFrame:
     return files.mapInPandas(run, PACKED)
 
 
+def store_of(path: str) -> tuple[fs.FileSystem, str]:
+    """pyarrow's file system of a path as Spark names it (not escaped), and the path in it."""
+    at = re.match(r"([A-Za-z][A-Za-z0-9+.-]+):(//[^/]*)?(/.*)?$", path, re.DOTALL)
+    if at is None or at[1] == "file":
+        return fs.LocalFileSystem(), (at[3] or "/") if at else path
+    store, base = fs.FileSystem.from_uri(f"{at[1]}:{at[2] or '//'}/")
+    return store, base.rstrip("/") + (at[3] or "/")
+
+
+def reached(path: str) -> bool:
+    """Whether tasks can open a path themselves."""
+    try:
+        store_of(path)
+    except (pa.ArrowInvalid, OSError, NotImplementedError):
+        return False
+    return True
+
+
+def _dealt(named: DataFrame) -> DataFrame:
+    """(subject_id, path) dealt to tasks by path, equal paths side by side: 4,096 files a task, or fewer."""
+    parts = int(named.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return named.repartition(max(parts, named.count() // 4096 + 1), "path").sortWithinPartitions("path")
+
+
+def absent(named: DataFrame) -> DataFrame:
+    """The paths of (subject_id, path) that no file is at, looked up by the tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            gone = [p for p in dict.fromkeys(batch.column("path").to_pylist()) if _info(p).type != fs.FileType.File]
+            yield pa.RecordBatch.from_arrays([pa.array(gone, pa.string())], names=["path"])
+
+    def _info(path):
+        store, at = store_of(path)
+        return store.get_file_info(at)
+
+    return _dealt(named).select("path").mapInArrow(run, "path string")
+
+
+#: Bytes of voxels, and rows, after which a task hands over what it has decoded.
+_FRAME, _ROWS = 1 << 24, 1000
+
+
+def opened(named: DataFrame, loader: str | None = None) -> DataFrame:
+    """SC6, SC12: packed volumes of the listed files (subject_id, path), opened and decoded by the tasks, once for each path."""
+    loaders = dict(LOADERS)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, volume, rows, held = None, {}, [], 0
+        for batch in batches:
+            for subject, path in zip(batch["subject_id"], batch["path"], strict=True):
+                if path != last:
+                    store, at = store_of(path)
+                    with store.open_input_stream(at, compression=None) as f:
+                        last, volume = path, decode(f.read(), loader, loaders)
+                rows.append({"path": path, **volume, "subject_id": subject})
+                held += 4 * len(volume["voxels"])
+                if held >= _FRAME or len(rows) >= _ROWS:
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows, held = [], 0
+        if rows:
+            yield pd.DataFrame(rows, columns=columns)
+
+    columns = ["path", "shape", "affine", "pixdim", "voxels", "subject_id"]
+    return unsized(_dealt(named).mapInPandas(run, f"{PACKED}, subject_id string"))
+
+
 def read_pictures(spark: SparkSession, path: str) -> DataFrame:
     """SC7, SC9: PNG, JPEG and the like by Spark's image source, blue-green-red turned to red-green-blue, in the JVM.
 
@@ -205,17 +276,18 @@ def nifti_bytes(packed: DataFrame) -> DataFrame:
 
 def write_files(named: DataFrame, folder: str) -> DataFrame:
     """One file a row of (path, content) in a folder of a store that pyarrow reaches, written by the tasks; returns (name,
-    path), read back from the folder, so that nothing is written twice. A task that runs again writes the same files."""
+    path), kept by the tasks that wrote them, so that nothing is written twice and no folder is listed. A task that runs
+    again writes the same files."""
+    whole = qualified(named.sparkSession, folder).rstrip("/")
+
     def run(batches):
-        store, base = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        store, base = store_of(whole)
         store.create_dir(base, recursive=True)
         for batch in batches:
             for name, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                with store.open_output_stream(f"{base}/{name}") as out:
+                with store.open_output_stream(f"{base}/{name}", compression=None) as out:
                     out.write(content)
             yield pa.RecordBatch.from_arrays([batch.column("path")], names=["name"])
 
-    names = named.select("path", "content").mapInArrow(run, "name string")
-    names.write.format("noop").mode("overwrite").save()
-    found = named.sparkSession.read.format("binaryFile").load(folder).select("path")
-    return found.select(F.regexp_extract("path", r"([^/]*)$", 1).alias("name"), "path")
+    names = cut(named.select("path", "content").mapInArrow(run, "name string").distinct())
+    return names.select("name", F.concat(F.lit(f"{whole}/"), "name").alias("path"))
